@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoglake.llm import packing, simhash_neardup
+from dialoglake.llm import fingerprints, language_id, licenses, mixing, packing, quality_rules, simhash_neardup, substring_dedup, toxicity, warc
 from dialoglake.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,9 +21,104 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_neardup.near_duplicate_components(read(spark, sf_dir, "documents"), shingle_words=3, radius=2)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edited_text(read(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("rejected_by")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(read(spark, sf_dir, "documents")).drop("row")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains are the classes of the labels table; the weights ask for mostly clean text."""
+    labelled = mixing.domains_of_labels(read(spark, sf_dir, "labels"))
+    return mixing.mix(read(spark, sf_dir, "documents"), labelled, {"clean": 0.9, "low": 0.07, "toxic": 0.03}, anchor="clean").drop("row")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(read(spark, sf_dir, "pages"), min_bytes=0)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_best_fit_packing, op2_simhash_near_dedup, op3_document_fingerprints, op4_quality_rules, op5_substring_dedup,
+    op6_toxicity, op7_source_mixing, op8_warc, op9_language_id, op10_license_scans,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup)}
+    return {f.__name__: f for f in _ALL}
+
+
+_OP8_SQL = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + CAST(floor(CAST('0x' || substr(h, 1 + 5 * CAST(k // 4 AS INTEGER), 5) AS INTEGER) / power(32, 3 - k % 4)) AS INTEGER) % 32, 1)), '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
+
+
+def _op10_sql() -> str:
+    """Brute force: every line against every template."""
+    templates = ", ".join(f"('{label}', {licenses._template_words(t)!r})" for t, label in licenses.TEMPLATES.items())
+    phrases = ", ".join(f"('{label}', '{p}', {p.split()!r})" for p, label in licenses.PHRASES.items())
+    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+WITH t(label, words) AS (VALUES {templates}),
+ph(label, phrase, words) AS (VALUES {phrases}),
+d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{gap}'), lambda x: x <> '') AS w,
+        string_split(lower(coalesce(text, '')), chr(10)) AS lines
+    FROM documents
+), places AS (
+    SELECT r, label, unnest(list_filter(range(len(w)), lambda i: list_slice(w, i + 1, i + len(words)) = words)) AS pos
+    FROM d, ph WHERE list_has_all(w, words)
+), base AS (
+    SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY r
+), blocks AS (
+    SELECT r, unnest(lines) AS line FROM d
+), sets AS (
+    SELECT r, list_distinct(list_filter(regexp_split_to_array(line, '{gap}'), lambda x: x <> '')) AS s FROM blocks
+), hits AS (
+    SELECT r, label, len(list_intersect(s, words)) / len(words) AS share FROM sets, t
+    WHERE len(list_intersect(s, words)) >= ceil(round({licenses.THRESHOLD} * len(words), 9))
+), method AS (
+    SELECT r, list_distinct(list(label)) AS labels, max(share) AS best FROM hits GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+    coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(method.labels, [])))), ','), '') AS labels,
+    CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN method USING (r)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": _OP8_SQL, "op10_license_scans": _op10_sql()}
