@@ -45,7 +45,7 @@ def _votes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """rows with keys and a text -> keys, f0, f1 (the two halves of the fingerprint). Keys must tell rows apart."""
     t = rows.select(*keys, F.explode_outer(_terms(F.col(text))).alias("t"))
     h = F.xxhash64("t.a", "t.b")
-    t = t.select(*keys, h.alias("h0"), F.xxhash64(h).alias("h1"), F.coalesce(F.least(F.length("t.a") + F.length("t.b"), F.lit(16)), F.lit(0)).cast("long").alias("w"))
+    t = t.select(*keys, h.alias("h0"), F.xxhash64(h).alias("h1"), F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.least(F.length("t.a") + F.length("t.b"), F.lit(16))).cast("long").alias("w"))
     lanes = [F.sum(F.shiftright(F.col(f"h{i}"), k).bitwiseAND(F.lit(_LANES)) * F.col("w")).alias(f"v{i}_{k}") for i in range(2) for k in range(32)]
     summed = t.groupBy(*keys).agg(F.sum("w").alias("total"), *lanes)
 

@@ -114,7 +114,7 @@ def _chunk_rows(docs: DataFrame, id_col: str, text_col: str, with_place: bool) -
     return picked.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans to remove, one row each: doc_id, row (hash of id and text), start and length (code points), n_words,
     first_doc_id (the smallest id of a document that keeps one of the span's chunks)."""
     once = _chunk_rows(docs, id_col, text_col, with_place=False)
@@ -136,7 +136,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id",
     )
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated spans cut out of the text; all other columns as they were."""
     spans = repeated_spans(docs, min_words, id_col, text_col)
     cut = spans.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("__doc"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__cut"))

@@ -51,7 +51,7 @@ def features(text: str | None) -> np.ndarray:
     return np.unique((np.concatenate(parts) >> _TO_PLACE).astype(np.int64))
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 3, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 8, alpha: float = 3.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Places and weights that are not zero, and the bias (which carries no L1 term)."""
     z, n = np.zeros(PLACES), np.zeros(PLACES)
     bz = bn = 0.0
