@@ -23,8 +23,11 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from dialoglake.plans import corpus  # noqa: F401  registers its queries
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _ORACLES
