@@ -135,9 +135,18 @@ def ngrams(items: Column, n: int) -> Column:
     return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(0), F.size(items) - n), lambda i: F.array_join(F.slice(items, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def char_ngrams(c: Column, n: int) -> Column:
+    """All runs of n characters; empty for fewer. Zips shifted copies of the split text: a lambda that looked into the
+    text would scan it again for every place."""
+    chars = F.split(c, "")
+    out = chars
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(chars, k + 1, F.greatest(F.length(c), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.array_compact(out)
+
+
 def char_bigrams(c: Column) -> Column:
-    t = norm_key(c)
-    return F.when(F.length(t) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(char_ngrams(norm_key(c), 2))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -235,7 +244,7 @@ def repetition_score(c: Column) -> Column:
     """Longer is better up to 400 characters; questions and repeated 3-grams of characters cost."""
     t = strip(text_of(c))
     n = F.length(t)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
+    grams = char_ngrams(t, 3)
     rep = F.when(n < 12, 0.0).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
     score = F.least(n, F.lit(400)) / 400.0 - 0.06 * F.least(F.regexp_count(t, F.lit("[?？]")), F.lit(6)) - 1.2 * F.least(rep, F.lit(0.4))
     return F.when(n == 0, -1e9).otherwise(score)

@@ -46,7 +46,7 @@ def pair_turns(turns: DataFrame) -> DataFrame:
     count; of several user turns in a row the last is answered; only the first answer to a user turn counts."""
     t = turns.where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role", T.norm_text(F.col("text")).alias("text")).where("text <> ''")
     p = t.select("*", *(F.lag(c).over(ORDER).alias(f"before_{c}") for c in ("role", "text", "turn"))).where("role = 'assistant' and before_role = 'user'")
-    return p.select("conv_id", (F.row_number().over(ORDER) - 1).alias("pair_idx"), F.col("before_turn").alias("user_turn"), F.col("before_text").alias("user_text"), F.col("text").alias("assistant_text"))
+    return p.select("conv_id", (F.row_number().over(ORDER) - 1).cast("long").alias("pair_idx"), F.col("before_turn").alias("user_turn"), F.col("before_text").alias("user_text"), F.col("text").alias("assistant_text"))
 
 
 def adjacent_pairs(turns: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def _split(seed: str, key: str, test: int = 500, valid: int = 1000, modulus: int
     return f"CASE WHEN {b} < {test} THEN 'test' WHEN {b} < {valid} THEN 'valid' ELSE 'train' END"
 
 
-@register("corpus_samples", f"WITH {_CONTEXT} SELECT conv_id, pair_idx, {_split('7', 'conv_id')} AS split, context AS input, CAST(ceil(length(context) / 3.0) AS BIGINT) AS n_tokens, {_first(_NORM.format('user_focus') if False else 'user_focus_n', V.RISK, 'R0')} AS risk, {_first('user_focus_n', V.EMOTION, 'none')} AS emotion, (contains(user_focus_n, 'the') OR contains(user_focus_n, 'and')) AS domain FROM (SELECT *, {_NORM.replace('{0}', 'user_focus')} AS user_focus_n FROM context)")
+@register("corpus_samples", f"WITH {_CONTEXT} SELECT conv_id, pair_idx, {_split('7', 'conv_id')} AS split, context AS input, CAST(ceil(length(context) / 3.0) AS BIGINT) AS n_tokens, {_first('user_focus_n', V.RISK, 'R0')} AS risk, {_first('user_focus_n', V.EMOTION, 'none')} AS emotion, (contains(user_focus_n, 'the') OR contains(user_focus_n, 'and')) AS domain FROM (SELECT *, {_NORM.replace('{0}', 'user_focus')} AS user_focus_n FROM context)")
 def corpus_samples(spark, sf):
     return L.corpus_samples(D.pair_context(D.pair_turns(V.turns(spark, sf))), "7", V.RISK, V.EMOTION, V.DOMAIN)
 
@@ -293,16 +293,16 @@ replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escap
 def text_measures(spark, sf):
     c = F.col("text")
     return V.turns(spark, sf).select(
-        "conv_id", "turn", T.norm_text(c).alias("norm"), F.md5(T.norm_key(c).cast("binary")).alias("key_hash"), T.count_cjk(c).alias("n_cjk"), T.count_ascii_letters(c).alias("n_ascii"), T.count_tokens(c).alias("tokens"),
-        T.estimate_tokens(c).alias("tokens_evidence"), T.searchable_text(F.col("role"), c, {"user": "[U]", "assistant": "[A]"}).alias("searchable"), T.snippet(c, 40).alias("snippet"), T.html_escape(c).alias("escaped"), F.size(T.words(c)).alias("n_words"),
+        "conv_id", "turn", T.norm_text(c).alias("norm"), F.md5(T.norm_key(c).cast("binary")).alias("key_hash"), T.count_cjk(c).cast("long").alias("n_cjk"), T.count_ascii_letters(c).cast("long").alias("n_ascii"), T.count_tokens(c).alias("tokens"),
+        T.estimate_tokens(c).alias("tokens_evidence"), T.searchable_text(F.col("role"), c, {"user": "[U]", "assistant": "[A]"}).alias("searchable"), T.snippet(c, 40).alias("snippet"), T.html_escape(c).alias("escaped"), F.size(T.words(c)).cast("long").alias("n_words"),
         T.user_hash(F.col("conv_id")).alias("user_hash"), T.extract_choice(c).alias("choice"), T.date_label(F.lit(1_700_000_000) + F.col("conv_id") * 3600).alias("day"),
     )
 
 
-_GRAMS = "list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, CAST(i AS INTEGER), 3))"
+_GRAMS = "list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])"
 
 
-@register("repetition_score", f"""SELECT doc_id, round(CASE WHEN length(t) = 0 THEN -1e9 ELSE least(length(t), 400) / 400.0 - 0.06 * least(len(regexp_extract_all(t, '[?？]')), 6) - 1.2 * least(CASE WHEN length(t) < 12 THEN 0 ELSE 1 - len(list_distinct({_GRAMS})) / len({_GRAMS}) END, 0.4) END, 9) AS score FROM (SELECT doc_id, {_S} AS t FROM documents)""")
+@register("repetition_score", f"""SELECT doc_id, round(CASE WHEN length(t) = 0 THEN -1e9 ELSE least(length(t), 400) / 400.0 - 0.06 * least(len(regexp_extract_all(t, '[?？]')), 6) - 1.2 * least(CASE WHEN length(t) < 12 THEN 0 ELSE 1 - len(list_distinct({_GRAMS})) / len({_GRAMS}) END, 0.4) END, 9) AS score FROM (SELECT doc_id, {_S} AS t, string_split({_S}, '') AS c FROM documents)""")
 def repetition_score(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.round(T.repetition_score(F.col("text")), 9).alias("score"))
 

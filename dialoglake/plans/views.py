@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dialoglake.operators.dialogue import assign_turns
 
 # Latin lexicons that hit in the given tables.
-RISK = {"R2": ["der "[:3], "ción"], "R1": ["que"]}
+RISK = {"R2": ["der", "ción"], "R1": ["que"]}
 EMOTION = {"calm": ["thatthe", "ruhe"], "sad": ["ouan", "enst"], "glad": ["anth", "erer"]}
 DOMAIN = ["the", "and"]
 TOPICS = {"en": ["the"], "de": ["und"], "fr": ["les"], "es": ["los"]}
