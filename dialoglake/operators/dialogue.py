@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from dialoglake.functions import lexicons as X
 from dialoglake.functions import text as T
 
-ORDER = Window.partitionBy("conv_id").orderBy("turn")
+
+def in_order() -> WindowSpec:
+    """The turns of a conversation up to this one."""
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 def canonical_turns(conversations: DataFrame) -> DataFrame:
@@ -45,13 +48,13 @@ def pair_turns(turns: DataFrame) -> DataFrame:
     """User text and the assistant's answer: conv_id, pair_idx, user_turn, user_text, assistant_text. Empty texts don't
     count; of several user turns in a row the last is answered; only the first answer to a user turn counts."""
     t = turns.where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role", T.norm_text(F.col("text")).alias("text")).where("text <> ''")
-    p = t.select("*", *(F.lag(c).over(ORDER).alias(f"before_{c}") for c in ("role", "text", "turn"))).where("role = 'assistant' and before_role = 'user'")
-    return p.select("conv_id", (F.row_number().over(ORDER) - 1).cast("long").alias("pair_idx"), F.col("before_turn").alias("user_turn"), F.col("before_text").alias("user_text"), F.col("text").alias("assistant_text"))
+    p = t.select("*", *(F.lag(c).over(in_order()).alias(f"before_{c}") for c in ("role", "text", "turn"))).where("role = 'assistant' and before_role = 'user'")
+    return p.select("conv_id", (F.row_number().over(in_order()) - 1).cast("long").alias("pair_idx"), F.col("before_turn").alias("user_turn"), F.col("before_text").alias("user_text"), F.col("text").alias("assistant_text"))
 
 
 def adjacent_pairs(turns: DataFrame) -> DataFrame:
     """User turns directly followed by an assistant turn, texts as they are: conv_id, turn, user_text, assistant_text."""
-    p = turns.select("*", F.lead("role").over(ORDER).alias("next_role"), F.lead("text").over(ORDER).alias("assistant_text"))
+    p = turns.select("*", F.lead("role").over(in_order()).alias("next_role"), F.lead("text").over(in_order()).alias("assistant_text"))
     return p.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("user_text"), "assistant_text")
 
 
@@ -128,7 +131,7 @@ def user_windows(turns: DataFrame, ok: Column, sizes: tuple[int, ...] = (1, 2, 3
     u = turns.where("role = 'user'").select("conv_id", "turn", T.norm_text(F.col("text")).alias("text"), ok.alias("ok"))
     out = None
     for k in sizes:
-        w = ORDER.rowsBetween(0, k - 1)
+        w = in_order().rowsBetween(0, k - 1)
         part = u.select("conv_id", F.lit(k).alias("n_turns"), F.col("turn").alias("start"), F.collect_list("text").over(w).alias("x"), F.min("ok").over(w).alias("all_ok")).where((F.size("x") == k) & F.col("all_ok"))
         part = part.select("conv_id", "n_turns", "start", F.array_join("x", "\n").alias("text"))
         out = part if out is None else out.unionByName(part)
@@ -140,7 +143,7 @@ def user_windows(turns: DataFrame, ok: Column, sizes: tuple[int, ...] = (1, 2, 3
 def classifier_window(turns: DataFrame, n: int = 3, prefix: str = "[USER] ") -> DataFrame:
     """At each user turn, its and the n - 1 user texts before it: conv_id, turn, window."""
     u = turns.where((F.col("role") == "user") & (T.strip(T.text_of(F.col("text"))) != "")).withColumn("line", F.concat(F.lit(prefix), T.strip(F.col("text"))))
-    return u.select("conv_id", "turn", F.array_join(F.collect_list("line").over(ORDER.rowsBetween(-(n - 1), 0)), "\n").alias("window"))
+    return u.select("conv_id", "turn", F.array_join(F.collect_list("line").over(in_order().rowsBetween(-(n - 1), 0)), "\n").alias("window"))
 
 
 def pick_best_utterance(turns: DataFrame, good: Column) -> DataFrame:
@@ -148,7 +151,7 @@ def pick_best_utterance(turns: DataFrame, good: Column) -> DataFrame:
     equals; with the text before it if that is good: conv_id, turn, sample."""
     t = turns.select("conv_id", "turn", T.norm_text(F.col("text")).alias("text"), good.alias("good"))
     score = F.length("text") + F.when(F.col("text").rlike("[？?]"), 3).otherwise(0) + F.when(F.col("text").contains("。"), 2).otherwise(0)
-    t = t.withColumns({"before": F.when(F.lag("good").over(ORDER), F.lag("text").over(ORDER)), "score": score})
+    t = t.withColumns({"before": F.when(F.lag("good").over(in_order()), F.lag("text").over(in_order())), "score": score})
     best = t.where("good").groupBy("conv_id").agg(F.max_by(F.struct("turn", "text", "before"), F.struct("score", "turn")).alias("b"))
     sample = F.when(F.col("b.before").isNotNull(), F.concat(F.lit("上文："), "b.before", F.lit("\n用户："), "b.text")).otherwise(F.col("b.text"))
     return best.select("conv_id", "b.turn", sample.alias("sample"))
@@ -181,8 +184,8 @@ def prompt_prefix(turns: DataFrame, max_msgs: int = 8, max_prompt: int = 1200, m
     character cap are dropped: conv_id, turn, prompt, prompt_chars, chosen."""
     t = turns.where(F.col("role").isin("user", "assistant"))
     line = F.concat("role", F.lit(": "), T.strip(F.col("text")))
-    w = ORDER.rowsBetween(-(max_msgs - 1), 0)
-    p = t.select("conv_id", "turn", "role", F.collect_list(line).over(w).alias("lines"), F.lead("role").over(ORDER).alias("next_role"), T.strip(F.lead("text").over(ORDER)).alias("chosen"))
+    w = in_order().rowsBetween(-(max_msgs - 1), 0)
+    p = t.select("conv_id", "turn", "role", F.collect_list(line).over(w).alias("lines"), F.lead("role").over(in_order()).alias("next_role"), T.strip(F.lead("text").over(in_order())).alias("chosen"))
     p = p.where("role = 'user' and next_role = 'assistant'").withColumn("prompt", F.array_join("lines", "\n")).withColumn("prompt_chars", F.length("prompt").cast("long"))
     return p.where((F.col("prompt_chars") <= max_prompt) & (F.length("chosen") <= max_chosen) & (F.col("prompt_chars") + F.length("chosen") <= max_total)).select("conv_id", "turn", "prompt", "prompt_chars", "chosen")
 
@@ -213,8 +216,8 @@ def since_watermark(turns: DataFrame, marks: DataFrame) -> DataFrame:
 def assign_turns(turns: DataFrame) -> DataFrame:
     """Adds position (1-based), turn_id (the user message that opened the exchange; an assistant before any opens its
     own) and reply_to (that user message, for assistant messages; null if there is none)."""
-    opened = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
-    t = turns.select("*", F.row_number().over(ORDER).cast("long").alias("position"), opened.alias("opened"))
+    opened = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    t = turns.select("*", F.row_number().over(in_order()).cast("long").alias("position"), opened.alias("opened"))
     return t.withColumns({"turn_id": F.coalesce("opened", "turn"), "reply_to": F.when(F.col("role") == "assistant", F.col("opened"))}).drop("opened")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoglake.functions import text as T
-from dialoglake.operators.dialogue import ORDER
+from dialoglake.operators.dialogue import in_order
 from dialoglake.operators.sampling import round_robin, seeded
 from dialoglake.storage import global_rank
 
@@ -18,7 +18,7 @@ def chosen_candidates(turns: DataFrame, least: int = 60, max_msgs: int = 8, open
     """Every adjacent pair whose cleaned answer has at least `least` key characters: conv_id, turn, prompt, chosen."""
     t = turns.where(F.col("role").isin("user", "assistant"))
     line = F.concat("role", F.lit(": "), T.strip(F.col("text")))
-    p = t.select("conv_id", "turn", "role", F.collect_list(line).over(ORDER.rowsBetween(-(max_msgs - 1), 0)).alias("lines"), F.lead("role").over(ORDER).alias("next_role"), T.clean_reply(F.lead("text").over(ORDER), openers).alias("chosen"))
+    p = t.select("conv_id", "turn", "role", F.collect_list(line).over(in_order().rowsBetween(-(max_msgs - 1), 0)).alias("lines"), F.lead("role").over(in_order()).alias("next_role"), T.clean_reply(F.lead("text").over(in_order()), openers).alias("chosen"))
     return p.where((F.col("role") == "user") & (F.col("next_role") == "assistant") & (F.length(T.norm_key(F.col("chosen"))) >= least)).select("conv_id", "turn", F.array_join("lines", "\n").alias("prompt"), "chosen")
 
 

@@ -416,9 +416,9 @@ _PRED = f"""m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY tur
 
 
 def _predictions(spark, sf):
-    from dialoglake.operators.dialogue import ORDER
+    from dialoglake.operators.dialogue import in_order
 
-    m = V.turns(spark, sf).where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("prediction"), F.lead("text").over(ORDER).alias("reference")).where("reference is not null")
+    m = V.turns(spark, sf).where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("prediction"), F.lead("text").over(in_order()).alias("reference")).where("reference is not null")
     return m.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(F.lit("run"), F.col("conv_id") % 2).alias("run"), F.when(F.col("conv_id") % 3 == 0, "seen").otherwise("unseen").alias("split"), "prediction", "reference")
 
 
