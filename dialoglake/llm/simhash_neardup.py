@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -129,26 +130,53 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 # --- near copies of a stated similarity, for filtering -----------------------------------------------------------
 
+_MARKS = ["fp", "s0", "s1", "s2", "s3"]
+
 
 def _copy_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(doc_id, fp: vote of the distinct words, s0..s3: 256-bit vote of the distinct word shingles, digest of the text)."""
-    names = ["doc_id", "fp", "s0", "s1", "s2", "s3", "digest"]
+    """(doc_id, digest of the text, fp: vote of the distinct words, s0..s3: 256-bit vote of the distinct word shingles)."""
+    names = ["doc_id", "digest", *_MARKS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[int]] = [[] for _ in range(6)]
-            for t in b.column(1).to_pylist():
-                raw = (t or "").encode()
-                words = raw.lower().split()
+            out: list[list[int]] = [[] for _ in _MARKS]
+            for t in b.column(2).to_pylist():
+                words = (t or "").encode().lower().split()
                 h = _hashes(list(set(word_shingles(words, shingle_words))), 42)
-                for x, v in zip(out, (majority(_hashes(list(set(words)), 42)), *(majority(_mixed(h, k)) for k in range(4)), xxhash.xxh3_64_intdigest(raw) - (1 << 63))):
+                for x, v in zip(out, (majority(_hashes(list(set(words)), 42)), *(majority(_mixed(h, k)) for k in range(4)))):
                     x.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in out)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in out)], names)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     return picked.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in names]))
 
 
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(node, shingles: hashes of the distinct word shingles) of the document that stands for each wanted node.
+    wanted: (node, rep: doc_id and digest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_hashes(list(set(word_shingles((t or "").encode().lower().split(), shingle_words))), 42).view("<i8") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    of = wanted.select("node", F.col("rep.doc_id").alias("w_id"), F.col("rep.digest").alias("w_digest"))
+    met = rows.join(of, (F.col("digest") == F.col("w_digest")) & F.col("id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    return freeze(met.dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>"), "near-copy-shingles")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity, exactly."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb") - shared).alias("all"))
+    return freeze(met.where(F.col("n") >= F.col("all") * similarity - 1e-9).select("a", "b"), "near-copy-links")
+
+
 def _halves(pairs: int) -> list[list[int]]:
     """Bit sets of the search tables: pairs of complementary halves of the 64 bits, so that any two fingerprints at
     most 2*r+1 bits apart are within r bits on one half of each pair."""
@@ -160,18 +188,20 @@ def _halves(pairs: int) -> list[list[int]]:
     return out
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, table_pairs: int = 3, radius: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, table_pairs: int = 5, radius: int = 2) -> DataFrame:
     """(doc_id, component_id) per input row: near copies of at least the given similarity of word-shingle sets.
 
     Candidates: each half of the 64-bit vote of a text's distinct words is searched by ball hashing (variants within
-    half the radius). Verification: the angle between the 256-bit votes of the distinct word shingles, which
-    estimates their cosine; a Jaccard similarity s of sets of like size is a cosine of 2s/(1+s). The estimate's
-    standard error is about 5 of 256 bits, and pairs up to half of that over the bound are accepted.
+    half the radius); in a bucket each text is paired with the two before it. Screen: the angle between the 256-bit
+    votes of the distinct word shingles estimates their cosine; a Jaccard similarity s of sets of like size is a
+    cosine of 2s/(1+s), and pairs up to 26 bits (over four standard errors) beyond its angle stay. Verification: the
+    Jaccard similarity of the shingle sets, exactly. The likeliest candidate of every text is verified first; the
+    rest only where the first links left both texts in different groups, so a large group of copies isn't verified
+    pair by pair.
     """
     fp = freeze(_copy_fingerprints(docs, id_col, text_col, shingle_words), "near-copies")
-    marks = ["fp", "s0", "s1", "s2", "s3"]
-    # A node is a distinct pair of fingerprints; exact copies share it and search once.
-    nodes = freeze(fp.select(*marks).distinct().withColumn("node", F.xxhash64(*marks)), "near-copy-nodes")
+    # A node is a distinct set of marks; exact copies share it and search once. Its first document stands for it.
+    nodes = freeze(fp.groupBy(*_MARKS).agg(F.min(F.struct("doc_id", "digest")).alias("rep"), F.min("doc_id").alias("first_id")).withColumn("node", F.xxhash64(*_MARKS)), "near-copy-nodes")
     masks = [sum(1 << b for b in bits) for bits in _halves(table_pairs)]
     tables = F.array(
         *(
@@ -182,17 +212,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = nodes.select("node", F.explode(tables).alias("x")).select("node", "x.t", F.explode("x.variants").alias("variant"))
     keyed = near.select("node", F.xxhash64("t", "variant").alias("variant"))
     w = Window.partitionBy("variant").orderBy("node")
-    pairs = freeze(keyed.select(F.lag("node").over(w).alias("a"), F.col("node").alias("b")).where("a is not null and a <> b").distinct(), "near-copy-candidates")
-    from math import acos, pi
-
-    most = int(256 * acos(2 * similarity / (1 + similarity)) / pi + 2.5)
+    before = keyed.select("node", F.array_compact(F.array(F.lag("node", 1).over(w), F.lag("node", 2).over(w))).alias("before"))
+    pairs = before.select(F.explode("before").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    most = int(256 * acos(2 * similarity / (1 + similarity)) / pi + 26)
     left = nodes.select(F.col("node").alias("a"), *(F.col(f"s{k}").alias(f"l{k}") for k in range(4)))
     right = nodes.select(F.col("node").alias("b"), *(F.col(f"s{k}") for k in range(4)))
     apart = sum((F.bit_count(F.col(f"l{k}").bitwiseXOR(F.col(f"s{k}"))) for k in range(4)), F.lit(0))
-    links = pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
-    comp = connected_components(links)
-    firsts = freeze(fp.groupBy(*marks).agg(F.min("doc_id").alias("first_id")).select(F.xxhash64(*marks).alias("node"), "first_id"), "near-copy-firsts")
-    linked = firsts.join(comp, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    likely = freeze(pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= most), "near-copy-candidates")
+    ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    sets = _shingle_sets(docs, nodes.join(ends, "node", "left_semi"), id_col, text_col, shingle_words)
+    both = likely.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "apart")
+    best = both.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    links = _similar(best, sets, similarity)
+    group = freeze(connected_components(links), "near-copy-groups")
+    ca, cb = group.select(F.col("node").alias("a"), F.col("component").alias("ca")), group.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    rest = likely.join(best, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").where("ca is null or cb is null or ca <> cb")
+    comp = connected_components(links.union(_similar(rest, sets, similarity)))
+    linked = nodes.join(comp, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     lowest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     classes = freeze(linked.join(lowest, "component").select("node", "component_id"), "near-copy-classes")
-    return fp.select("doc_id", F.xxhash64(*marks).alias("node")).join(classes, "node").select("doc_id", "component_id")
+    return fp.select("doc_id", F.xxhash64(*_MARKS).alias("node")).join(classes, "node").select("doc_id", "component_id")

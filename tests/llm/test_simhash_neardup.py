@@ -93,6 +93,21 @@ def test_near_copies_keeps_distinct_texts_apart(spark):
         w = t.split()
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if group[i] == group[j] and len(shingles(texts[i]) & shingles(texts[j])) >= 0.85 * len(shingles(texts[i]) | shingles(texts[j]))]
+    def similarity(i, j):
+        x, y = shingles(texts[i]), shingles(texts[j])
+        return len(x & y) / len(x | y)
+
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if group[i] == group[j] and similarity(i, j) >= 0.8]
     assert sum(got[i] == got[j] for i, j in near) >= 0.95 * len(near) and near
+    # Verified exactly: whoever is in a group has a partner of that similarity there.
+    for i, c in got.items():
+        members = [j for j in got if got[j] == c and j != i]
+        assert not members or max(similarity(i, j) for j in members) >= 0.8
     assert S.near_copies(docs.limit(0)).collect() == []
+
+
+def test_near_copies_of_odd_rows(spark):
+    rows = [(None, "one two three four five six"), (4, "one two three four five six"), (4, "one two three four five six"), (5, None), (6, ""), (7, "ONE two"), (8, "one two"), (9, "one three")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
+    got = sorted((r.doc_id or -1, r.component_id) for r in S.near_copies(docs).collect())
+    assert got == [(-1, 4), (4, 4), (4, 4), (5, 5), (6, 5), (7, 7), (8, 7), (9, 9)]
