@@ -177,6 +177,25 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return freeze(met.where(F.col("n") >= F.col("all") * similarity - 1e-9).select("a", "b"), "near-copy-links")
 
 
+def _apart_still(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the groups (node, component) don't hold together already."""
+    ca, cb = (group.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    return pairs.join(ca, "a", "left").join(cb, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
+
+
+def _hub_pairs(links: DataFrame, group: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Each group's most linked text against all texts of sets that are in no group, by an exact prefix filter: of two
+    sets of at least the similarity, the |x| - ceil(s |x|) + 1 smallest hashes of both have one in common."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    hub = degree.join(group, "node").groupBy("component").agg(F.max_by("node", F.struct("n", "node")).alias("node")).select("node")
+    size = F.size("shingles")
+    prefix = F.slice(F.array_sort("shingles"), F.lit(1), (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))
+    tokens = sets.select("node", size.alias("size"), F.explode(prefix).alias("token"))
+    a = tokens.join(hub, "node", "left_semi").select(F.col("node").alias("a"), F.col("size").alias("na"), "token")
+    b = tokens.join(group, "node", "left_anti").select(F.col("node").alias("b"), F.col("size").alias("nb"), "token")
+    return a.join(b, "token").where((F.col("na") >= F.col("nb") * similarity - 1e-9) & (F.col("nb") >= F.col("na") * similarity - 1e-9)).select("a", "b").distinct()
+
+
 def _halves(pairs: int) -> list[list[int]]:
     """Bit sets of the search tables: pairs of complementary halves of the 64 bits, so that any two fingerprints at
     most 2*r+1 bits apart are within r bits on one half of each pair."""
@@ -188,7 +207,7 @@ def _halves(pairs: int) -> list[list[int]]:
     return out
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, table_pairs: int = 5, radius: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, table_pairs: int = 5, radius: int = 2, pivots_a_round: int = 3) -> DataFrame:
     """(doc_id, component_id) per input row: near copies of at least the given similarity of word-shingle sets.
 
     Candidates: each half of the 64-bit vote of a text's distinct words is searched by ball hashing (variants within
@@ -198,6 +217,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Jaccard similarity of the shingle sets, exactly. The likeliest candidate of every text is verified first; the
     rest only where the first links left both texts in different groups, so a large group of copies isn't verified
     pair by pair.
+
+    Crowded buckets (over three texts): the two before a text may both fail where another member would pass, as with
+    many edited copies of one text. So every member is also paired with the bucket's most central members, a few a
+    round, as long as rounds find new links; then each group's most linked text is tested exactly against all texts
+    of these buckets that are still alone. Rows grow with the members, not with their pairs.
     """
     fp = freeze(_copy_fingerprints(docs, id_col, text_col, shingle_words), "near-copies")
     # A node is a distinct set of marks; exact copies share it and search once. Its first document stands for it.
@@ -212,22 +236,39 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = nodes.select("node", F.explode(tables).alias("x")).select("node", "x.t", F.explode("x.variants").alias("variant"))
     keyed = near.select("node", F.xxhash64("t", "variant").alias("variant"))
     w = Window.partitionBy("variant").orderBy("node")
-    before = keyed.select("node", F.array_compact(F.array(F.lag("node", 1).over(w), F.lag("node", 2).over(w))).alias("before"))
-    pairs = before.select(F.explode("before").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    place = lambda k: F.lag("node", k).over(w)
+    crowded = place(3).isNotNull() | F.lead("node", 3).over(w).isNotNull()
+    buckets = freeze(keyed.select("node", "variant", F.array_compact(F.array(place(1), place(2))).alias("before"), crowded.alias("crowded")).where("size(before) > 0 or crowded"), "near-copy-buckets")
+    pairs = buckets.select(F.explode("before").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     most = int(256 * acos(2 * similarity / (1 + similarity)) / pi + 26)
     left = nodes.select(F.col("node").alias("a"), *(F.col(f"s{k}").alias(f"l{k}") for k in range(4)))
     right = nodes.select(F.col("node").alias("b"), *(F.col(f"s{k}") for k in range(4)))
     apart = sum((F.bit_count(F.col(f"l{k}").bitwiseXOR(F.col(f"s{k}"))) for k in range(4)), F.lit(0))
-    likely = freeze(pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= most), "near-copy-candidates")
-    ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    sets = _shingle_sets(docs, nodes.join(ends, "node", "left_semi"), id_col, text_col, shingle_words)
+    screened = lambda p: p.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= most)
+    likely = freeze(screened(pairs), "near-copy-candidates")
     both = likely.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "apart")
+    # Members of crowded buckets, the most central first: the source of many edited copies is nearer to them than they are to each other.
+    central = both.groupBy("node").agg(F.avg("apart").alias("mean"))
+    inner = Window.partitionBy("variant").orderBy(F.col("mean").asc_nulls_last(), "node")
+    crowd = freeze(buckets.where("crowded").select("node", "variant").join(central, "node", "left").select("node", "variant", F.row_number().over(inner).alias("place")), "near-copy-crowds")
+    ends = both.select("node").union(crowd.select("node")).distinct()
+    sets = _shingle_sets(docs, nodes.join(ends, "node", "left_semi"), id_col, text_col, shingle_words)
     best = both.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
     links = _similar(best, sets, similarity)
     group = freeze(connected_components(links), "near-copy-groups")
-    ca, cb = group.select(F.col("node").alias("a"), F.col("component").alias("ca")), group.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = likely.join(best, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").where("ca is null or cb is null or ca <> cb")
-    comp = connected_components(links.union(_similar(rest, sets, similarity)))
+    rest = _apart_still(likely.join(best, ["a", "b"], "left_anti"), group)
+    links = links.union(_similar(rest, sets, similarity))
+    first = 1
+    while not crowd.where(F.col("place") >= first).isEmpty():
+        group = freeze(connected_components(links), "near-copy-groups")
+        pivots = crowd.where(F.col("place").between(first, first + pivots_a_round - 1)).select("variant", F.col("node").alias("a"))
+        tried = _apart_still(crowd.select("variant", F.col("node").alias("b")).join(pivots, "variant").where("a <> b").select("a", "b").distinct(), group)
+        new = _similar(screened(tried), sets, similarity)
+        if new.isEmpty():
+            break
+        links, first = links.union(new), first + pivots_a_round
+    group = freeze(connected_components(links), "near-copy-groups")
+    comp = connected_components(links.union(_similar(_hub_pairs(links, group, sets, similarity), sets, similarity)))
     linked = nodes.join(comp, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     lowest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     classes = freeze(linked.join(lowest, "component").select("node", "component_id"), "near-copy-classes")

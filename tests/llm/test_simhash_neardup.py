@@ -111,3 +111,31 @@ def test_near_copies_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
     got = sorted((r.doc_id or -1, r.component_id) for r in S.near_copies(docs).collect())
     assert got == [(-1, 4), (4, 4), (4, 4), (5, 5), (6, 5), (7, 7), (8, 7), (9, 9)]
+
+
+def test_near_copies_of_one_original(spark):
+    rng = random.Random(12)
+    vocabulary = ["w%d" % k for k in range(5000)]
+    original = rng.choices(vocabulary, k=400)
+    texts = []
+    for _ in range(1000):
+        x = list(original)
+        for at in rng.sample(range(400), 8):
+            x[at] = "e%d" % rng.randrange(1 << 30)
+        texts.append(" ".join(x))
+    texts.insert(500, " ".join(original))
+    texts += [" ".join(rng.choices(vocabulary, k=400)) for _ in range(100)]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for t in texts]
+    near = [i for i in range(1001) if len(sets[i] & sets[500]) >= 0.8 * len(sets[i] | sets[500])]
+    assert len(near) >= 900
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_copies(docs).collect()}
+    found = sum(got[i] == got[500] for i in near)
+    print(f"{found} of {len(near)} texts of the original's group found")
+    assert found >= 0.99 * len(near)
+    assert all(got[i] == i for i in range(1001, 1101))
