@@ -1,7 +1,8 @@
 """Operator 10, license scans by an exact set-similarity join, with built-in functions only.
 
-A text block is a line. A block matches a template if it contains at least `threshold` of the template's distinct
-words. The join is exact: template words are ordered by how many blocks of the corpus hold them, rarest first; a block
+A text block is a line; with `wrapped`, also each run of words over the lines of a paragraph, as long as the template /
+`threshold`. A block matches a template if it contains at least `threshold` of the template's distinct words; runs count
+for the templates that no line of the text matches. Runs are found in overlapping windows that suit the longest template. The join is exact: template words are ordered by how many blocks of the corpus hold them, rarest first; a block
 that reaches the threshold must hold one of the first |T| - need + 1 words of the template (prefix filter), must have
 at least `need` of all templates' words (length filter), and what is left of both sides after the first common word
 must suffice (positional filter). Survivors are verified by counting. Words that no template has can't change an
@@ -76,7 +77,7 @@ def _template_words(template: str) -> list[str]:
     return sorted(set(template.split()))
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_base (places of phrases), first_word, last_word, base_labels, labels
     (with those of matching templates), score (1 for a phrase, else the best containment that reached the threshold)."""
     spark = docs.sparkSession
@@ -85,7 +86,17 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     vocabulary = F.array(*(F.lit(w) for w in sorted({w for ws in words.values() for w in ws})))
     least = min(need.values())
     split = lambda x: F.split(F.regexp_replace(F.lower(x), _GAP, " "), " ")
-    blocks = F.filter(F.transform(F.split("text", "\n"), lambda line: F.array_intersect(vocabulary, split(line))), lambda b: F.size(b) >= least)
+    blocks = F.transform(F.split("text", "\n"), lambda line: F.struct(F.array_intersect(vocabulary, split(line)).alias("words"), F.lit(None).cast("array<string>").alias("run")))
+    if wrapped:
+        # Windows of twice the length at every length: whatever is as long lies in one of them.
+        length = ceil(max(len(t.split()) for t in templates) / threshold)
+        lines = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
+        starts = lambda w: F.sequence(F.lit(0), F.floor((F.size(w) - 1) / length).cast("int"))
+        masked = lambda p: F.transform(F.array_remove(split(p), ""), lambda x: F.when(F.array_contains(vocabulary, x), x).otherwise(""))
+        part = lambda w, k: F.slice(w, k * length + 1, 2 * length)
+        window = lambda w, k: F.struct(F.array_intersect(vocabulary, part(w, k)).alias("words"), part(w, k).alias("run"))
+        blocks = F.concat(blocks, F.flatten(F.transform(F.transform(lines, masked), lambda w: F.transform(starts(w), lambda k: window(w, k)))))
+    blocks = F.filter(blocks, lambda b: F.size(b["words"]) >= least)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", _spaced(F.col("text")).alias("spaced"))
     found = {p: _places(p) for p in phrases}
@@ -102,7 +113,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
         ),
         "license-rows",
     )
-    block = base.select("row", F.posexplode("blocks").alias("block", "words"))
+    block = base.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.words", "b.run")
     ranked = spark.createDataFrame([(t, templates[t], w, need[t], len(words[t])) for t in templates for w in words[t]], "template string, label string, word string, need int, size int")
     often = block.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     order = freeze(ranked.join(often, "word", "left").fillna(0, ["df"]), "license-order")
@@ -110,12 +121,17 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     placed = order.withColumn("pos", F.row_number().over(Window.partitionBy("template").orderBy("df", "word")))
     prefix = placed.where(F.col("pos") <= F.col("size") - F.col("need") + 1).select("template", "label", "word", "need", "size", "pos")
     template_sets = placed.groupBy("template").agg(F.collect_set("word").alias("wanted"))
-    token = block.select("row", "block", "words", F.explode("words").alias("word")).join(F.broadcast(prefix), "word")
+    token = block.select("row", "block", "words", "run", F.explode("words").alias("word")).join(F.broadcast(prefix), "word")
     # The first prefix word a block shares with the template decides what is left of the template.
-    met = token.groupBy("row", "block", "words", "template", "label", "need", "size").agg(F.min("pos").alias("first"))
+    met = token.groupBy("row", "block", "words", "run", "template", "label", "need", "size").agg(F.min("pos").alias("first"))
     met = met.where((F.size("words") >= F.col("need")) & (F.col("size") - F.col("first") + 1 >= F.col("need")))
     checked = met.join(F.broadcast(template_sets), "template").withColumn("overlap", F.size(F.array_intersect("words", "wanted"))).where("overlap >= need")
-    hits = checked.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("best"))
+    long = F.ceil(F.size(F.split("template", " ")) / threshold).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("run") - long)), lambda i: F.size(F.array_intersect(F.slice("run", i + 1, long), "wanted")))
+    checked = checked.withColumn("overlap", F.when(F.col("run").isNull(), F.col("overlap")).otherwise(F.array_max(runs))).where("overlap >= need")
+    share = F.col("overlap") / F.col("size")
+    matched = checked.groupBy("row", "template", "label").agg(F.coalesce(F.max(F.when(F.col("run").isNull(), share)), F.max(share)).alias("share"))
+    hits = matched.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("best"))
     out = base.drop("blocks").join(hits, "row", "left")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),

@@ -55,7 +55,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"), wrapped=True)
 
 
 _ALL = (

@@ -3,6 +3,7 @@ import random
 import re
 
 from dialoglake.llm import licenses as L
+from dialoglake.llm import queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -47,3 +48,14 @@ def test_against_brute_force(spark):
         assert g[:7] == w[:7] and abs(g[7] - w[7]) < 1e-9
     assert len(got) == len(want)
     assert L.scan_licenses(docs.limit(0)).collect() == []
+
+
+def test_wrapped_notices(spark, tmp_path):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0."
+    narrow = "\n".join(gpl.split())
+    texts = [gpl, bsd, mpl, narrow, "word " * 27 + gpl, "a b\n" * 13 + mpl, bsd.replace("\n", "\n\n"), bsd.replace("\n", "\n" + "other words " * 60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.labels, r.score) for r in queries.op10_license_scans(spark, str(tmp_path)).collect()}
+    assert got == {0: ("gpl", 1.0), 1: ("bsd", 1.0), 2: ("mpl-2", 1.0), 3: ("gpl", 1.0), 4: ("gpl", 1.0), 5: ("mpl-2", 1.0), 6: ("", 0.0), 7: ("", 0.0)}
