@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from dialoglake.functions import text as T
@@ -11,7 +13,7 @@ from dialoglake.operators import memory as M
 from dialoglake.operators import profiles as P
 from dialoglake.operators import retrieval as R
 from dialoglake.plans import views as V
-from dialoglake.plans.catalog import register
+from dialoglake.plans.catalog import _ORACLES, register
 from dialoglake.plans.corpus import _K
 
 _TOK = V.TOKENS_SQL
@@ -46,23 +48,31 @@ def upsert_index(spark, sf):
 
 _CH = "ch AS (SELECT message_id, i AS chunk_index, substr(content, i * 200 + 1, 200) AS content FROM msgs, range(4) r(i) WHERE length(content) > i * 200)"
 
+_CH_WHOLE = "ch AS (SELECT message_id, i AS chunk_index, substr(content, i * 200 + 1, 200) AS content FROM (SELECT *, unnest(range((length(content) + 199) // 200)) AS i FROM msgs))"
+
 
-def _chunks(spark, sf):
+def _chunks(spark, sf, whole=False):
     m = V.messages(spark, sf)
-    c = m.select("message_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.substring("content", i * 200 + 1, F.lit(200)))).alias("chunk_index", "content"))
+    last = F.floor((F.length("content") - 1) / 200).cast("int") if whole else F.lit(3)
+    c = m.select("message_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("content", i * 200 + 1, F.lit(200)))).alias("chunk_index", "content"))
     return c.where("content <> ''").select("message_id", F.col("chunk_index").cast("long"), "content")
 
 
 @register("upsert_chunks", f"WITH {_M}, {_CH} SELECT * FROM ch WHERE message_id % 4 <> 0 UNION ALL SELECT message_id, 0, 'again' FROM msgs WHERE message_id % 4 = 0")
-def upsert_chunks(spark, sf):
-    c = _chunks(spark, sf)
+def upsert_chunks(spark, sf, whole=False):
+    c = _chunks(spark, sf, whole)
     new = V.messages(spark, sf).where("message_id % 4 = 0").select("message_id", F.lit(0).cast("long").alias("chunk_index"), F.lit("again").alias("content"))
     return M.upsert_chunks(c, new)
 
 
 @register("reassemble_messages", f"WITH {_M} SELECT message_id, substr(content, 1, 800) AS content FROM msgs WHERE content <> ''")
-def reassemble_messages(spark, sf):
-    return M.reassemble_messages(_chunks(spark, sf))
+def reassemble_messages(spark, sf, whole=False):
+    return M.reassemble_messages(_chunks(spark, sf, whole))
+
+
+# The same over whole contents, however long.
+register("upsert_chunks_whole", _ORACLES["upsert_chunks"].replace(_CH, _CH_WHOLE))(partial(upsert_chunks, whole=True))
+register("reassemble_messages_whole", f"WITH {_M} SELECT message_id, content FROM msgs WHERE content <> ''")(partial(reassemble_messages, whole=True))
 
 
 @register("active_units", f"WITH {_U}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, unit_id DESC) AS r FROM units WHERE is_final AND role = 'user') SELECT unit_id, user_id FROM r WHERE r <= 5")
@@ -278,19 +288,21 @@ def retrieval_trace(spark, sf):
 # --- profiles
 
 _PR = f"""{_M}, pr AS (SELECT message_id AS id, user_id, substr(content, 1, 20 + message_id % 30) AS content, CASE WHEN message_id % 9 = 0 THEN 'deleted' ELSE 'active' END AS status, created_at FROM msgs WHERE role = 'user')"""
+_PR_WHOLE = _PR.replace("substr(content, 1, 20 + message_id % 30)", "content")
 
 
-def _profiles(spark, sf):
+def _profiles(spark, sf, whole=False):
     m = V.messages(spark, sf).where("role = 'user'")
-    return m.select(F.col("message_id").alias("id"), "user_id", F.substring("content", F.lit(1), (20 + F.col("message_id") % 30).cast("int")).alias("content"), F.when(F.col("message_id") % 9 == 0, "deleted").otherwise("active").alias("status"), "created_at")
+    content = F.col("content") if whole else F.substring("content", F.lit(1), (20 + F.col("message_id") % 30).cast("int"))
+    return m.select(F.col("message_id").alias("id"), "user_id", content.alias("content"), F.when(F.col("message_id") % 9 == 0, "deleted").otherwise("active").alias("status"), "created_at")
 
 
 @register("validate_ops", f"""WITH {_PR}, ops AS (SELECT id AS message_id, user_id, CASE id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 10 = 1 THEN -5 ELSE id END AS target_id, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN content ELSE repeat('z', CAST(id % 90 AS INTEGER)) || ' x' END AS content FROM pr),
 j AS (SELECT o.*, p.content AS now, trim(o.content) AS c FROM ops o LEFT JOIN pr p ON p.status = 'active' AND p.user_id = o.user_id AND p.id = o.target_id),
 n AS (SELECT *, CASE WHEN c = '' THEN '' WHEN regexp_matches(c, '[。！？.!?]$') THEN c ELSE c || '。' END AS nc, CASE WHEN trim(now) = '' THEN '' WHEN regexp_matches(regexp_replace(trim(now), '\\s+', ' ', 'g'), '[。！？.!?]$') THEN regexp_replace(trim(now), '\\s+', ' ', 'g') ELSE regexp_replace(trim(now), '\\s+', ' ', 'g') || '。' END AS nn FROM j)
 SELECT message_id, op, CASE WHEN op = 'add' AND target_id IS NOT NULL THEN 'add_has_target' WHEN op <> 'delete' AND c = '' THEN 'empty_content' WHEN op <> 'add' AND now IS NULL THEN 'unknown_target' WHEN op = 'update' AND regexp_replace(nc, '\\s+', ' ', 'g') = nn THEN 'unchanged' WHEN op = 'delete' AND c <> '' THEN 'delete_has_content' WHEN length(c) > 64 THEN 'content_too_long' WHEN {_TOK.format('c')} > 20 THEN 'too_many_tokens' END AS reason FROM n""")
-def validate_ops(spark, sf):
-    p, i = _profiles(spark, sf), F.col("id")
+def validate_ops(spark, sf, whole=False):
+    p, i = _profiles(spark, sf, whole), F.col("id")
     op = F.when(i % 3 == 0, "add").when(i % 3 == 1, "update").otherwise("delete")
     target = F.when(i % 6 == 0, F.lit(None).cast("long")).when(i % 10 == 1, F.lit(-5).cast("long")).otherwise(i)
     content = F.when(i % 5 == 0, "").when(i % 5 == 1, F.col("content")).otherwise(F.concat(F.repeat(F.lit("z"), (i % 90).cast("int")), F.lit(" x")))
@@ -300,8 +312,8 @@ def validate_ops(spark, sf):
 
 @register("enforce_limits", f"""WITH {_PR}, r AS (SELECT *, count(*) OVER w AS n, sum(length(content) + 3) OVER w - 1 AS chars FROM pr WINDOW w AS (PARTITION BY user_id, status ORDER BY created_at DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT id, CASE WHEN status = 'active' AND (n > 8 OR greatest(1, ceil(chars / 3.0)) > 80) THEN 'deleted' ELSE status END AS status FROM r""")
-def enforce_limits(spark, sf):
-    return P.enforce_limits(_profiles(spark, sf), 8, 80).select("id", "status")
+def enforce_limits(spark, sf, whole=False):
+    return P.enforce_limits(_profiles(spark, sf, whole), 8, 80).select("id", "status")
 
 
 @register("drop_orphans", f"WITH {_PR}, un AS (SELECT message_id FROM msgs WHERE NOT is_deleted), g AS (SELECT id, bool_or(u.message_id IS NOT NULL) AS alive FROM pr LEFT JOIN un u ON u.message_id = pr.id WHERE id % 2 = 0 GROUP BY id) SELECT id, CASE WHEN alive = FALSE THEN 'deleted' ELSE status END AS status FROM pr LEFT JOIN g USING (id)")
@@ -312,8 +324,8 @@ def drop_orphans(spark, sf):
 
 
 @register("forget_matching", f"WITH {_PR} SELECT id, CASE WHEN status = 'active' AND (contains(content, CASE WHEN user_id % 2 = 0 THEN 'er' ELSE 'que' END) OR contains(CASE WHEN user_id % 2 = 0 THEN 'er' ELSE 'que' END, content)) THEN 'deleted' ELSE status END AS status FROM pr")
-def forget_matching(spark, sf):
-    p = _profiles(spark, sf)
+def forget_matching(spark, sf, whole=False):
+    p = _profiles(spark, sf, whole)
     return P.forget_matching(p, p.select("user_id", F.when(F.col("user_id") % 2 == 0, "er").otherwise("que").alias("keyword")).distinct()).select("id", "status")
 
 
@@ -325,8 +337,13 @@ def maintenance_due(spark, sf):
 
 
 @register("render_profile", f"WITH {_PR} SELECT user_id, string_agg('- ' || replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10) ORDER BY created_at, id) AS profile FROM pr WHERE status = 'active' GROUP BY user_id")
-def render_profile(spark, sf):
-    return P.render_profile(_profiles(spark, sf))
+def render_profile(spark, sf, whole=False):
+    return P.render_profile(_profiles(spark, sf, whole))
+
+
+# The same over whole contents.
+for _f in (validate_ops, enforce_limits, forget_matching, render_profile):
+    register(f"{_f.__name__}_whole", _ORACLES[_f.__name__].replace(_PR, _PR_WHOLE))(partial(_f, whole=True))
 
 
 # --- analytics
