@@ -414,6 +414,14 @@ def conversation_workspace(spark, sf):
     return A.conversation_workspace(V.messages(spark, sf), m.where("conversation_id < 0"), t.where("conversation_id < 0")).withColumn("n_metrics", F.col("n_metrics").cast("int"))
 
 
+@register("conversation_workspace_whole", f"""WITH {_C}, {_M.strip()}, th AS (SELECT conversation_id, string_agg(role || ': ' || content, chr(10) ORDER BY position) AS thread FROM msgs GROUP BY 1), nm AS (SELECT conversation_id, count(*) AS n FROM turn_metrics GROUP BY 1)
+SELECT conversation_id, thread, coalesce(n, 0) AS n_metrics, coalesce(status, 'pending') AS status FROM th LEFT JOIN nm USING (conversation_id) LEFT JOIN tr USING (conversation_id)""")
+def conversation_workspace_whole(spark, sf):
+    """conversation_workspace with all metrics and triage rows."""
+    m, _, t = _product(spark, sf)
+    return A.conversation_workspace(V.messages(spark, sf), m, t)
+
+
 @register("empty_conversations", f"WITH {_C} SELECT id FROM pc WHERE id NOT IN (SELECT conversation_id FROM turn_metrics WHERE id % 3 = 0)")
 def empty_conversations(spark, sf):
     m, c, _ = _product(spark, sf)

@@ -16,3 +16,10 @@ def test_contents_are_whole(spark):
     late = {r.id for r in tail.where("instr(content, k) > 50").collect()}
     gone = {r.id for r in q["forget_matching_whole"](spark, SF).where("status = 'deleted'").collect()}
     assert late and late <= gone
+
+
+def test_workspace_has_metrics_and_triage(spark):
+    got = catalog.queries()["conversation_workspace_whole"](spark, SF).collect()
+    n = {r.conversation_id: r["count"] for r in V.turn_metrics(spark, SF).groupBy("conversation_id").count().collect()}
+    assert all(r.n_metrics == n.get(r.conversation_id, 0) for r in got)
+    assert any(r.n_metrics > 0 for r in got) and any(r.status != "pending" for r in got)
