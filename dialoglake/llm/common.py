@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +14,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own if it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-dialoglake-"))
     return _own_dir[0]
@@ -25,22 +29,54 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/dialoglake/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go when the write that needed them is done, not when the driver happens to collect garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end_here(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of the writes made inside are deleted as soon as each write is done."""
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+
+
 def freeze(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns it read back: lineage ends here, so a lost executor costs no
     recomputation, and whatever was decided by task order stays decided."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_end_here(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_frozen(df: DataFrame) -> None:
-    """Deletes a frozen table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_frozen(*tables: DataFrame) -> None:
+    """Deletes frozen tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or the name with underscores after it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that columns added beside it can't clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

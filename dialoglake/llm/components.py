@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoglake.llm.common import freeze
+from dialoglake.llm.common import drop_frozen, freeze
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = e.union(e.select(F.col("b"), F.col("a"))).toDF("a", "b")
     low = freeze(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "large-star")
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), low
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = freeze(down.groupBy("a").agg(F.min("b").alias("m")), "small-star")
     moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(low.select("a", F.col("m").alias("b"))).distinct(), low
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     A round costs four shuffles of the edges. Each star step takes a minimum per node (combined before the shuffle)
     and joins it back to the edges; the minimum is a stored table, so both join inputs are plain exchanges and the
-    adaptive planner can split a hub's edges. Rounds needed grow with the logarithm of the longest path.
+    adaptive planner can split a hub's edges. Rounds needed grow with the logarithm of the longest path. Tables of
+    earlier rounds are deleted.
     """
     a, b = (F.col(c) for c in edges.columns[:2])
     e = freeze(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(), "edges")
@@ -35,7 +36,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         parents = e.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         if parents.where("n > 1").isEmpty() and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
-        e = freeze(_small_star(_large_star(e)), "stars")
+        large, low = _large_star(e)
+        large = freeze(large, "large-stars")
+        small, lower = _small_star(large)
+        before, e = e, freeze(small, "stars")
+        drop_frozen(before, low, large, lower)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
