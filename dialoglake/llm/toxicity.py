@@ -5,10 +5,12 @@ places. FTRL-proximal keeps a learning rate per coordinate and, by its L1 term,
 model is a short list of places and weights that is broadcast to score all documents.
 
 The model is fitted in one task on at most about `max_rows` labelled rows (a documented bound): labelled rows are
-taken by a hash of their id, each class up to half of the bound. Scoring reads every text whole.
+taken by a hash of their id, each class up to half of the bound. The sampled ids are broadcast to the documents, so
+only the texts of the sample leave the tasks that read them; their features are made in parallel and stored, and the
+fitting task reads those alone. Scoring reads every text whole.
 
 Defined results: null and empty texts score the bias alone; several labels of a document count as the highest, null
-labels don't count; without labels every score is 0.5 less a hair (no evidence, predicted 0); repeated rows and
+labels don't count; of several texts of a labelled id that with the smallest hash is learned; without labels every score is 0.5 less a hair (no evidence, predicted 0); repeated rows and
 repeated or null ids are rows of their own; an empty table gives no rows; other columns are not read.
 """
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoglake.llm.common import freeze, held_out
+from dialoglake.llm.common import drop_frozen, freeze, held_out
 
 PLACES = 1 << 22
 _WORD = re.compile(r"\w+")
@@ -37,7 +39,7 @@ def features(text: str | None) -> np.ndarray:
     """Places of the distinct words, neighbour pairs and skip pairs of a text, ascending."""
     words = _WORD.findall((text or "").lower())
     if not words:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     if len(_hash_of) > _CACHE_WORDS:
         _hash_of.clear()
     h = np.empty(len(words), np.uint64)
@@ -48,7 +50,7 @@ def features(text: str | None) -> np.ndarray:
             x = _hash_of[w] = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)
         h[i] = x
     parts = [h * _A, (h[:-1] * _A + h[1:]) * _B, (h[:-2] * _B + h[2:]) * _C]
-    return np.unique((np.concatenate(parts) >> _TO_PLACE).astype(np.int64))
+    return np.unique((np.concatenate(parts) >> _TO_PLACE).astype(np.int32))
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 8, alpha: float = 3.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -83,17 +85,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, id_col: str
     share = lambda y: min(1.0, max_rows / 2 / max(1, per_class.get(y, 0)))
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     taken = known.where(draw < F.when(F.col("y") == 1, share(1)).otherwise(share(0)))
+    # At most about max_rows ids, so they may be broadcast.
+    taken = freeze(taken, "toxicity-ids")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    one = texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = [features(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "y", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((d, y, features(t)) for b in batches for d, y, t in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[1], len(r[2])))
+        rows = []
+        for b in batches:
+            places = b.column(2)
+            flat, ends = places.flatten().to_numpy(), np.cumsum(places.value_lengths().to_numpy())
+            rows += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), np.split(flat, ends[:-1]))
+        rows.sort(key=lambda r: r[:2])
         if rows:
             idx, w, bias = fit_ftrl([(f, y) for _, y, f in rows])
             idx, w = np.append(idx, -1), np.append(w, bias)
             yield pa.RecordBatch.from_arrays([pa.array(idx, pa.int64()), pa.array(w, pa.float64())], ["place", "weight"])
 
-    # One task of at most about max_rows rows, whatever the corpus holds.
-    model = freeze(texts.join(taken, "doc_id").select("doc_id", "y", "text").coalesce(1).mapInArrow(run, "place long, weight double"), "toxicity-model").toArrow()
+    sample = freeze(one.select("doc_id", "y", "t.text").mapInArrow(measure, "doc_id long, y int, places array<int>"), "toxicity-sample")
+    model = sample.coalesce(1).mapInArrow(run, "place long, weight double").toArrow()
+    drop_frozen(taken, sample)
     idx, w = model.column("place").to_numpy(), model.column("weight").to_numpy()
     if not len(idx):
         return np.empty(0, np.int64), np.empty(0, np.float32), -1e-9

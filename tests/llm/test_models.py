@@ -46,6 +46,35 @@ def test_toxicity_finds_marked_words(spark):
     assert len(none) == len(rows) and not any(r.predicted for r in none)
 
 
+def test_ftrl_against_a_plain_version():
+    """Coordinate by coordinate, with dictionaries, as the method is published."""
+    rng = random.Random(6)
+    rows = [(np.array(sorted(rng.sample(range(40), rng.randint(0, 8))), np.int32), rng.randint(0, 1)) for _ in range(60)]
+    alpha, beta, l1, l2, epochs = 0.7, 1.0, 0.3, 0.1, 3
+    got = T.fit_ftrl(rows, epochs, alpha, beta, l1, l2)
+    z, n, order = {}, {}, np.random.default_rng(7)
+
+    def weight(i, thinned):
+        if abs(z.get(i, 0.0)) <= thinned:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * thinned) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            places, y = rows[k]
+            used = [(int(i), weight(int(i), l1)) for i in places] + [("bias", weight("bias", 0.0))]
+            g = 1 / (1 + np.exp(-sum(w for _, w in used))) - y
+            for i, w in used:
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - before**0.5) / alpha * w
+    want = {i: weight(i, l1) for i in z if i != "bias" and weight(i, l1)}
+    assert dict(zip(got[0].tolist(), got[1].tolist())).keys() == want.keys()
+    assert all(abs(w - want[i]) < 1e-6 for i, w in zip(got[0].tolist(), got[1].tolist()))
+    assert abs(got[2] - weight("bias", 0.0)) < 1e-9
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 5, 6, 17):
         c = L.codewords(n)
