@@ -1,13 +1,15 @@
 """Operator 8, WARC archives with revisit records, and capture histories by external index merge.
 
 Writing: payloads are compared by SHA-1; of equal ones the smallest id becomes a response record, the others revisit
-it. Every task sorts its records by URL key and time and writes them as WARC/1.1 through Spark's writer (a record is a
+it. Only digests that occur twice or more are joined to the pages, by a broadcast while they are few, so payloads are
+shuffled only if repeats are many. Every task sorts its records by URL key and time and writes them as WARC/1.1 through Spark's writer (a record is a
 row, the blank lines between records are the line separator), so each file is one locally sorted capture run and a
-lost task leaves nothing behind. Reading: files are parsed by their Content-Length; a response's digest and
+lost task leaves nothing behind. Files are bounded in bytes: pages of like size are written together, as many to a
+file as 64 MB take. Reading: files are parsed by their Content-Length; a response's digest and
 size are taken from the payload read, a revisit's from its header and the HTTP head that it repeats.
 
-Histories: index entries are dealt by ranges of (URL key, time, id); inside a range the runs that reach it are merged
-by a loser tree. A host or URL may hold any share of the captures, as ranges end anywhere in the triple.
+Histories: index entries are dealt by ranges of (URL key, time, id), as many ranges as keep each at about 200,000
+entries; inside a range the runs that reach it are merged by a loser tree. A host or URL may hold any share of the captures, as ranges end anywhere in the triple.
 
 Defined results: null html is the empty payload; a null URL has no target line and comes first; blanks and control
 characters of a URL are percent-encoded; several rows of the smallest id are all responses; null ids come last; repeated
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoglake.llm.common import freeze, new_path
+from dialoglake.llm.common import drop_frozen, freeze, new_path, shuffles_end_here
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z, the first capture
@@ -51,14 +53,23 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(F.regexp_extract(rest, r"^[^/?]*(.*)$", 1) == "", "/").otherwise(F.regexp_extract(rest, r"^[^/?]*(.*)$", 1)))
 
 
+#: Most payload bytes of a page and pages to a file.
+FILE_CLASSES = [(32 << 10, 2_000), (1 << 20, 60), (16 << 20, 4), (1 << 62, 1)]
+#: Repeated digests (36 bytes each) that are broadcast at most; beyond that they are joined by a shuffle.
+BROADCAST_DIGESTS = 500_000
+ENTRIES_A_RANGE = 200_000
+
+
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_a_file: int = 2_000) -> None:
     """Writes a WARC record for every row of pages (page_id, url, html) to files under path. Captures are dated by
     page_id, a second apart, as pages have no time of their own."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    firsts = freeze(p.groupBy("sha").agg(F.min("page_id").alias("first_id")), "warc-firsts")
-    j = p.join(firsts, "sha")
-    revisit = (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    digests = freeze(p.groupBy(F.unhex("sha").alias("digest"), "bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "warc-digests")
+    repeated = digests.where("n > 1").select("digest", "first_id", F.lit(True).alias("again"))
+    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_DIGESTS else repeated
+    j = p.withColumn("digest", F.unhex("sha")).join(side, "digest", "left")
+    revisit = F.coalesce("again", F.lit(False)) & (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     date = F.date_format(F.timestamp_seconds(F.coalesce(F.pmod("page_id", F.lit(_SPAN)), F.lit(0)) + _EPOCH), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     url = F.col("url")
@@ -73,8 +84,17 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_a_file:
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn("first_id")))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit(_CRLF), block,
     )
-    runs = j.select(record.alias("value"), url_key(url).alias("k"), date.alias("t"), "page_id").sortWithinPartitions("k", "t", "page_id").select("value")
-    runs.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_a_file).text(path)
+    runs = j.select(record.alias("value"), "bytes", url_key(url).alias("k"), date.alias("t"), "page_id")
+    largest = digests.agg(F.max("bytes")).first()[0] or 0
+    least = -1
+    for most, records in FILE_CLASSES:
+        of_class = digests.where((F.col("bytes") > least) & (F.col("bytes") <= most))
+        if least < 0 or (largest > least and not of_class.isEmpty()):
+            run = runs.where((F.col("bytes") > least) & (F.col("bytes") <= most)).sortWithinPartitions("k", "t", "page_id").select("value")
+            with shuffles_end_here(pages.sparkSession):
+                run.write.mode("append").option("lineSep", _CRLF * 2).option("maxRecordsPerFile", min(records, records_a_file)).text(path)
+        least = most
+    drop_frozen(digests)
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
@@ -159,8 +179,9 @@ class LoserTree:
 
 def merge_runs(index: DataFrame, partitions: int | None = None) -> DataFrame:
     """Stored index entries of many runs -> the same entries in the global order of (url_key, captured, page_id):
-    partitions follow each other, and `place` counts inside a partition."""
-    n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions follow each other, and `place` counts inside a partition. A task holds one partition's entries, about
+    ENTRIES_A_RANGE at most whatever the size of the index, and no payloads."""
+    n = partitions or max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // ENTRIES_A_RANGE))
     order = [F.coalesce("url_key", F.lit("")), F.col("captured"), F.coalesce("page_id", F.lit((1 << 63) - 1)), F.col("run"), F.col("pos")]
     dealt = index.repartitionByRange(n, *order).sortWithinPartitions("run", "pos")
     names = [*index.columns, "place"]

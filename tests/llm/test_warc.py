@@ -53,6 +53,26 @@ def test_files_are_valid_records_in_sorted_runs(spark):
     assert W.archive_and_index(pages.limit(0)).collect() == []
 
 
+def test_files_are_bounded_in_bytes(spark):
+    rows = [(i, f"http://h.org/{i}", "m" * (2_500_000 + i)) for i in range(9)] + [(100 + i, f"http://h.org/s{i}", "s" * i) for i in range(50)]
+    rows += [(200, "http://h.org/again", rows[4][2]), (201, "http://h.org/huge", "h" * 20_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "warc-test")
+    W.write_warc(pages, path)
+    files = spark.read.format("binaryFile").load(path).select("length").collect()
+    assert max(f.length for f in files) < 21_000_000 and len(files) == 5
+    got = {r.page_id: r for r in W.merge_runs(W.read_index(spark, path), partitions=4).collect()}
+    assert len(got) == len(rows) and all(got[i].payload_bytes == len(h) for i, _, h in rows)
+    assert got[200].record_type == "revisit" and got[200].refers_to == 4
+
+
+def test_repeats_are_joined_alike_with_and_without_a_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string, record_type string")
+    want = sorted(map(str, W.archive_and_index(pages).drop("run", "pos", "offset", "place").collect()))
+    monkeypatch.setattr(W, "BROADCAST_DIGESTS", -1)
+    assert sorted(map(str, W.archive_and_index(pages).drop("run", "pos", "offset", "place").collect())) == want
+
+
 def test_url_key(spark):
     from pyspark.sql import functions as F
 
