@@ -6,14 +6,16 @@ vote counters share a long (32-bit lanes), so a row costs 64 additions inside ge
 summed where the text is read: no row per term is ever shuffled.
 
 The likeness of two fingerprints is the share of bits in which they agree. `within_radius` finds all fingerprints in
-a Hamming radius through permuted block tables.
+a Hamming radius through permuted block tables; `neighbours` counts the documents in the radius of the queried ones.
 
-`with_edited_text` needs each document's successor by doc_id. Rows are dealt into blocks of neighbouring ids (equal
-width, heavy blocks split again), the first row of a block is copied to the end of the block before, and a window
-inside each block does the rest: the texts are shuffled once, and no task sees more than its block.
+`with_edited_text` needs each document's successor by doc_id. Rows are dealt into ranges of (doc_id, hash of the text),
+64 MB of text each, and stored; the first row of a range is copied to the end of the range before, and a window inside
+each range does the rest. Ranges are quantiles, so outlying ids, null ids and repeated ids don't crowd one range; only
+rows that are equal in both stay together. The driver sees one number per range.
 
 Defined results: null text is the empty text; a text without words has fingerprint zero, one of a single word is
-hashed by that word; null ids come first; rows with equal ids follow each other in order of text; repeated rows
+hashed by that word; null ids come first; rows with equal ids follow each other in order of
+a hash of their text; repeated rows
 count as documents of their own; the last document's successor is the first, a lone document is its own; an empty table
 gives no rows; other columns are not read.
 """
@@ -26,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dialoglake.llm.common import freeze
+
 BITS = 128
-ROWS_A_BLOCK = 512
-MOST_BLOCKS = 20_000
 _LANES = (1 << 32) | 1
 
 
@@ -77,51 +79,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _votes(rows, ["doc_id", "sha"], "text").select("doc_id", "f0", "f1")
 
 
-def _blocked(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text) -> with block, and copy: false for the row itself, true for the copy of a block's first
-    row at the end of the block before (of the first block: of the last)."""
-    lo, hi, n = rows.select(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    blocks = max(1, min(MOST_BLOCKS, n // ROWS_A_BLOCK))
-    place = (F.col("doc_id").cast("double") - F.lit(float(lo or 0))) / F.lit((float(hi or 0) - float(lo or 0) + 1) / blocks)
-    coarse = F.coalesce(F.least(F.floor(place), F.lit(blocks - 1)).cast("long"), F.lit(-1).cast("long"))
-    # Blocks that hold far more than their share are split again; there are at most MOST_BLOCKS of them.
-    heavy = [r for r in rows.groupBy(coarse.alias("c")).count().where(F.col("count") > 4 * max(ROWS_A_BLOCK, n // blocks)).collect() if r["c"] >= 0]
-    parts = F.lit(1)
-    if heavy:
-        table = rows.sparkSession.createDataFrame([(r["c"], min(1 << 20, r["count"] // ROWS_A_BLOCK)) for r in heavy], "c long, parts long")
-        rows = rows.withColumn("c", coarse).join(F.broadcast(table), "c", "left")
-        parts = F.coalesce(F.col("parts"), F.lit(1))
-    inside = F.coalesce(F.least(F.floor((place - F.floor(place)) * parts), parts - 1).cast("long"), F.lit(0).cast("long"))
-    dealt = rows.select(coarse.alias("c"), inside.alias("i"), "doc_id", "text").select(F.struct("c", "i").alias("block"), "doc_id", "text")
-    # One row for each block.
-    firsts = sorted(dealt.groupBy("block").agg(F.min("doc_id").alias("first_id")).collect(), key=lambda r: tuple(r["block"]))
-    if not firsts:
-        return dealt.select("block.c", "block.i", F.lit(False).alias("copy"), "doc_id", "text")
-    moves = [(tuple(r["block"]), r["first_id"], tuple(firsts[k - 1]["block"])) for k, r in enumerate(firsts)]
-    to = rows.sparkSession.createDataFrame(moves, "block struct<c: long, i: long>, first_id long, to struct<c: long, i: long>")
-    joined = dealt.join(F.broadcast(to), "block").select(
-        "doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(F.struct("block", F.lit(False).alias("copy")), F.struct(F.col("to").alias("block"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct("block", F.lit(False).alias("copy"))))).alias("x")
-    )
-    return joined.select("x.block.c", "x.block.i", "x.copy", "doc_id", "text")
+BYTES_A_RANGE = 64 << 20
+LEAST_RANGES = 64
+_PLACE = (1 << 33) - 1
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) -> stored with part, the number of their range, and pos, their place in it."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(max(LEAST_RANGES, size // BYTES_A_RANGE), *order).sortWithinPartitions(*order, "text")
+    place = F.monotonically_increasing_id()
+    return freeze(dealt.select(F.spark_partition_id().alias("part"), place.bitwiseAND(F.lit(_PLACE)).alias("pos"), "doc_id", "text"), "fingerprint-ranges")
+
+
+def _with_copies(ranged: DataFrame) -> DataFrame:
+    """Adds copy: false for the row itself, true for the copy of a range's first row at the end of the range before
+    (of the first range: of the last)."""
+    firsts = ranged.where("pos = 0")
+    parts = sorted(r["part"] for r in firsts.select("part").collect())
+    moves = ranged.sparkSession.createDataFrame([(p, parts[k - 1]) for k, p in enumerate(parts)], "part int, before int")
+    copies = firsts.join(F.broadcast(moves), "part").select(F.col("before").alias("part"), "pos", "doc_id", "text", F.lit(True).alias("copy"))
+    return ranged.withColumn("copy", F.lit(False)).unionByName(copies)
 
 
 def with_edited_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text, whose last floor(n/2) code points are the first as many
     of the next document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    w = Window.partitionBy("c", "i").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
-    placed = _blocked(rows).select("*", F.row_number().over(w).alias("pos"), F.lead("text").over(w).alias("next_text"), F.length("text").cast("long").alias("n_chars"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    w = Window.partitionBy("part").orderBy("copy", "pos")
+    placed = _with_copies(_ranges(rows)).select("*", F.lead("text").over(w).alias("next_text"), F.length("text").cast("long").alias("n_chars"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
-    keys = ["c", "i", "pos", "copy", "doc_id", "n_chars", "edited_sha256", "edited"]
+    keys = ["part", "pos", "copy", "doc_id", "n_chars", "edited_sha256", "edited"]
     both = placed.withColumn("e", F.when(~F.col("copy"), edited)).select(
-        "c", "i", "pos", "copy", "doc_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"),
+        "part", "pos", "copy", "doc_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"),
         F.explode(F.when(F.col("copy"), F.array(F.struct(F.lit(False).alias("edited"), "text"))).otherwise(F.array(F.struct(F.lit(False).alias("edited"), "text"), F.struct(F.lit(True).alias("edited"), F.col("e").alias("text"))))).alias("x"),
     ).select(*keys[:-1], "x.edited", "x.text")
     fp = _votes(both, keys, "text")
     pick = lambda f, e: F.max(F.when(F.col("edited") == F.lit(e), F.col(f)))
     wide = fp.groupBy(*keys[:-1]).agg(pick("f0", False).alias("f0"), pick("f1", False).alias("f1"), pick("f0", True).alias("e0"), pick("f1", True).alias("e1"))
-    order = Window.partitionBy("c", "i").orderBy("pos")
+    order = Window.partitionBy("part").orderBy("copy", "pos")
     wide = wide.withColumns({"n0": F.lead("f0").over(order), "n1": F.lead("f1").over(order)}).where(~F.col("copy"))
     return wide.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint_text("f0", "f1").alias("fingerprint"), fingerprint_text("e0", "e1").alias("edited_fingerprint"),
@@ -129,6 +127,21 @@ def with_edited_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def neighbours(marked: DataFrame, queried: Column, radius: int = 3) -> DataFrame:
+    """Adds near_count to rows with a fingerprint: for queried rows, the number of rows whose fingerprint is at most
+    radius bits from theirs (their own included), else null. Equal fingerprints are searched once."""
+    word = lambda at: F.conv(F.substring("fingerprint", at, 8), 16, 10).cast("long")
+    half = lambda at: F.shiftleft(word(at), 32).bitwiseOR(word(at + 8))
+    rows = marked.withColumn("__asked", F.coalesce(queried, F.lit(False)))
+    sizes = freeze(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max("__asked").alias("asked")), "fingerprint-sizes")
+    fps = sizes.select(half(17).alias("f0"), half(1).alias("f1"), "n", "asked")
+    met = within_radius(fps.where("asked").select("f0", "f1"), fps.select("f0", "f1"), radius, blocks=radius + 1)
+    counted = met.join(fps.select("f0", "f1", "n"), ["f0", "f1"]).groupBy("q0", "q1").agg(F.sum("n").alias("near_count"))
+    found = freeze(counted.select(fingerprint_text("q0", "q1").alias("fingerprint"), "near_count"), "fingerprint-neighbours")
+    joined = rows.join(found, "fingerprint", "left").withColumn("near_count", F.when(F.col("__asked"), F.col("near_count")))
+    return joined.select(*marked.columns, "near_count")
+
+
 def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int = 8) -> DataFrame:
     """All pairs of a query fingerprint and a fingerprint at most radius bits apart, both tables (f0, f1), given
     distinct: q0, q1, f0, f1, distance.
@@ -137,7 +150,7 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: i
     in one of the tables, each keyed by another choice of so many blocks, they have the same key. A pair is kept only
     in the first table in which it meets, so no distinct is needed.
     """
-    if not 0 <= radius < blocks or 64 % (blocks // 2):
+    if not 0 <= radius < blocks or blocks % 2 or 64 % (blocks // 2):
         raise ValueError("needs radius < blocks, and blocks that divide each half evenly")
     size, per = BITS // blocks, blocks // 2
     mask = F.lit((1 << size) - 1 if size < 64 else -1).cast("long")

@@ -51,11 +51,17 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _lower(text: Column) -> Column:
+    """The text with A-Z in lower case, and no other character changed."""
+    return F.translate(text, _UPPER, _UPPER.lower())
 
 
 def _spaced(text: Column) -> Column:
     """Words of a-z, 0-9 and beyond ASCII, each with a blank of its own on either side."""
-    trimmed = F.trim(F.regexp_replace(F.lower(text), _GAP, " "))
+    trimmed = F.trim(F.regexp_replace(_lower(text), _GAP, " "))
     return F.when(trimmed == "", "").otherwise(F.concat(F.lit(" "), F.replace(trimmed, F.lit(" "), F.lit("  ")), F.lit(" ")))
 
 
@@ -85,7 +91,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     need = {t: ceil(round(threshold * len(w), 9)) for t, w in words.items()}
     vocabulary = F.array(*(F.lit(w) for w in sorted({w for ws in words.values() for w in ws})))
     least = min(need.values())
-    split = lambda x: F.split(F.regexp_replace(F.lower(x), _GAP, " "), " ")
+    split = lambda x: F.split(F.regexp_replace(_lower(x), _GAP, " "), " ")
     blocks = F.transform(F.split("text", "\n"), lambda line: F.struct(F.array_intersect(vocabulary, split(line)).alias("words"), F.lit(None).cast("array<string>").alias("run")))
     if wrapped:
         # Windows of twice the length at every length: whatever is as long lies in one of them.

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dialoglake.llm import fingerprints, language_id, licenses, mixing, packing, quality_rules, simhash_neardup, substring_dedup, toxicity, warc
-from dialoglake.llm.common import read
+from dialoglake.llm.common import freeze, read
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,7 +23,9 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.with_edited_text(read(spark, sf_dir, "documents"))
+    """near_count: for every doc_id divisible by 20, the documents with a fingerprint within 3 bits of its own."""
+    marked = freeze(fingerprints.with_edited_text(read(spark, sf_dir, "documents")), "fingerprints")
+    return fingerprints.neighbours(marked, F.col("doc_id") % 20 == 0, radius=3)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +44,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains are the classes of the labels table; the weights ask for mostly clean text."""
     labelled = mixing.domains_of_labels(read(spark, sf_dir, "labels"))
-    return mixing.mix(read(spark, sf_dir, "documents"), labelled, {"clean": 0.9, "low": 0.07, "toxic": 0.03}, anchor="clean").drop("row")
+    return mixing.mix(read(spark, sf_dir, "documents"), labelled, {"clean": 0.9, "low": 0.07, "toxic": 0.03}, anchor="clean").drop("row", "digest")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,14 +91,15 @@ def _op10_sql() -> str:
     """Brute force: every line against every template."""
     templates = ", ".join(f"('{label}', {licenses._template_words(t)!r})" for t, label in licenses.TEMPLATES.items())
     phrases = ", ".join(f"('{label}', '{p}', {p.split()!r})" for p, label in licenses.PHRASES.items())
+    lower = f"translate(coalesce(text, ''), '{licenses._UPPER}', '{licenses._UPPER.lower()}')"
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
 WITH t(label, words) AS (VALUES {templates}),
 ph(label, phrase, words) AS (VALUES {phrases}),
 d AS (
     SELECT row_number() OVER () AS r, doc_id,
-        list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{gap}'), lambda x: x <> '') AS w,
-        string_split(lower(coalesce(text, '')), chr(10)) AS lines
+        list_filter(regexp_split_to_array({lower}, '{gap}'), lambda x: x <> '') AS w,
+        string_split({lower}, chr(10)) AS lines
     FROM documents
 ), places AS (
     SELECT r, label, unnest(list_filter(range(len(w)), lambda i: list_slice(w, i + 1, i + len(words)) = words)) AS pos

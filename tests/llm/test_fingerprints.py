@@ -8,7 +8,7 @@ from dialoglake.llm import fingerprints as P
 
 
 def test_edited_text_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(P, "ROWS_A_BLOCK", 5)
+    monkeypatch.setattr(P, "LEAST_RANGES", 7)
     rng = random.Random(1)
     texts = ["", None, "one", "a b", "ñandú été 日本 x\ty\nz", *(" ".join(rng.choices(["the", "of", "longer", "wörds", "here"], k=rng.randint(1, 60))) for _ in range(60))]
     ids = rng.sample(range(-50, 100_000), len(texts) - 3) + [7_000_000, 7_000_001, 7_000_002]
@@ -78,3 +78,39 @@ def test_within_radius_against_brute_force(spark):
     queries = [(r.f0, r.f1) for r in df.limit(40).collect()]
     apart = lambda a, b: bin(a[0] ^ b[0]).count("1") + bin(a[1] ^ b[1]).count("1")
     assert got == {(*q, *f): apart(q, f) for q in queries for f in fps if apart(q, f) <= 3}
+
+
+def test_ranges_hold_outlying_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(P, "LEAST_RANGES", 16)
+    rng = random.Random(2)
+    ids = [*range(400), 10**15, *([None] * 300), *([77] * 300)]
+    rows = [(i, f"text {k} of {rng.random()}") for k, i in enumerate(ids)]
+    ranged = P._ranges(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    sizes = {}
+    for r in ranged:
+        sizes[r.part] = sizes.get(r.part, 0) + 1
+    assert len(ranged) == len(rows) and max(sizes.values()) < len(rows) / 4
+    assert sorted((r.doc_id or 0, r.text) for r in ranged) == sorted((i or 0, t) for i, t in rows)
+    order = sorted(ranged, key=lambda r: (r.part, r.pos))
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in order] == sorted((i is not None, i or 0) for i in ids)
+    assert P.with_edited_text(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
+def test_neighbours_against_brute_force(spark):
+    rng = random.Random(3)
+    words = ["w%d" % k for k in range(50)]
+    base = [rng.choices(words, k=300) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        w = list(base[i % 6])
+        for _ in range(i // 12):
+            w[rng.randrange(300)] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    rows += [(60, None), (80, ""), (None, "")]
+    marked = P.with_edited_text(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = P.neighbours(marked, F.col("doc_id") % 20 == 0).collect()
+    apart = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    for r in got:
+        want = sum(apart(r.fingerprint, x.fingerprint) <= 3 for x in got)
+        assert r.near_count == (want if r.doc_id is not None and r.doc_id % 20 == 0 else None)
+    assert len(got) == len(rows) and max(r.near_count or 0 for r in got) > 2
