@@ -1,10 +1,11 @@
 """Operator 5, substring dedup by content-defined chunking with a gear rolling hash.
 
-A text is cut after a blank where the gear hash of the last 16 bytes is low, so about every sixth word; between
-characters beyond ASCII where no blank is near, less often. The cut depends on those bytes alone: text inserted before a passage
-moves no cut inside it beyond the first. Chunks are compared by a 128-bit digest. Of equal chunks the one in the
+A text is cut after a blank where the gear hash of the last 16 bytes is low, so about every fifth word. Where no blank
+stands in the last 32 bytes, as in scripts without blanks or long codes, any character may be cut at by the same hash,
+about every 16 bytes. A cut depends on the 32 bytes before it alone, and none is forced: text inserted before a passage
+moves no cut inside it beyond the first few. Chunks are compared by a 128-bit digest. Of equal chunks the one in the
 document with the smallest id stays, in its first place there; runs of neighbouring chunks that repeat an earlier one
-and have at least `min_words` words are removed.
+and have at least `min_words` words are removed. Bytes without a blank in the 32 before them count as a word for eight.
 
 Scale: texts are cut where they are read (twice, which is cheaper than storing all chunks). Chunk rows are shuffled by
 digest once to find repeated digests (counts are combined first, so a digest that a third of all documents hold is one
@@ -28,16 +29,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dialoglake.llm.common import freeze
+from dialoglake.llm.common import freeze, row_of
 
 WINDOW = 16
-MOST_BYTES = 1024
+UNBROKEN = 32
 _LAST = (1 << 63) - 1
 _GEAR = np.random.default_rng(2024).integers(0, 1 << 16, 256, dtype=np.uint16)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _unbroken(blank: np.ndarray) -> np.ndarray:
+    """Which bytes have UNBROKEN bytes and no blank before them."""
+    seen = np.concatenate([[0], np.cumsum(blank)])
+    out = np.zeros(len(blank), bool)
+    out[UNBROKEN:] = seen[UNBROKEN:-1] == seen[: -1 - UNBROKEN]
+    return out
+
+
 def cuts(raw: bytes) -> np.ndarray:
     """Ends of the chunks of a text, in bytes; the last is its length."""
     b = np.frombuffer(raw, np.uint8)
@@ -46,31 +55,18 @@ def cuts(raw: bytes) -> np.ndarray:
     for k in range(1, min(WINDOW, len(b))):
         h[k:] += g[:-k] << np.uint16(k)
     blank = _SPACE[b]
-    ends = np.flatnonzero(blank & (h < 65536 // 6)) + 1
-    high = b >= 0xC0
-    if high.any():
-        seen = np.concatenate([[0], np.cumsum(blank)])
-        at = np.flatnonzero(high & (h < 65536 // 16))
-        at = at[(at >= WINDOW) & (seen[at] == seen[np.maximum(at - WINDOW, 0)])]
-        ends = np.union1d(ends, at)
-    ends = ends[(ends > 0) & (ends < len(b))]
-    out, start = [], 0
-    if len(b) > MOST_BYTES:
-        for e in [*ends.tolist(), len(b)]:
-            while e - start > MOST_BYTES:
-                start += MOST_BYTES
-                while b[start] & 0xC0 == 0x80:
-                    start -= 1
-                out.append(start)
-            out.append(e)
-            start = e
-        return np.array(out, dtype=np.int64)
-    return np.append(ends, len(b)).astype(np.int64)
-
-
-def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Digests (n x 2 longs) of a text's chunks, and where each stands: first code point << 25 | code points << 13 |
-    words << 1 | 1 if no chunk before it in this text is equal."""
+    ends = np.flatnonzero(blank & (h < 65536 // 5)) + 1
+    if len(b) > UNBROKEN:
+        inside = _unbroken(blank) & ((b & 0xC0) != 0x80)
+        inside[1:] &= h[:-1] < 65536 // 16
+        if inside.any():
+            ends = np.union1d(ends, np.flatnonzero(inside))
+    return np.append(ends[(ends > 0) & (ends < len(b))], len(b)).astype(np.int64)
+
+
+def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests (n x 2 longs) of a text's chunks, where each stands (first code point << 32 | code points << 1 | 1 if no
+    chunk before it in this text is equal), and how many words each has."""
     ends = cuts(raw)
     starts = np.concatenate([[0], ends[:-1]])
     b = np.frombuffer(raw, np.uint8)
@@ -79,9 +75,10 @@ def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     first = np.array([not (d in seen or seen.add(d)) for d in digests], dtype=np.int64)
     chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
     blank = _SPACE[b]
-    words = np.concatenate([[0], np.cumsum(~blank & np.concatenate([[True], blank[:-1]]))])
-    place = chars[starts] << 25 | (chars[ends] - chars[starts]) << 13 | (words[ends] - words[starts]) << 1 | first
-    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), place.astype(np.int64)
+    eighths = 8 * (~blank & np.concatenate([[True], blank[:-1]])) + (_unbroken(blank) & ~blank if len(b) > UNBROKEN else 0)
+    words = np.concatenate([[0], np.cumsum(eighths) // 8])
+    place = chars[starts] << 32 | (chars[ends] - chars[starts]) << 1 | first
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), place.astype(np.int64), (words[ends] - words[starts]).astype(np.int64)
 
 
 def _key(id_col: str) -> Column:
@@ -93,7 +90,7 @@ def _row(id_col: str, text_col: str) -> Column:
 
 
 def _chunk_rows(docs: DataFrame, id_col: str, text_col: str, with_place: bool) -> DataFrame:
-    names = ["doc", "row", "d0", "d1", "place"] if with_place else ["doc", "d0", "d1"]
+    names = ["doc", "row", "d0", "d1", "place", "words"] if with_place else ["doc", "d0", "d1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,11 +100,11 @@ def _chunk_rows(docs: DataFrame, id_col: str, text_col: str, with_place: bool) -
                 kept = [(d, r, *chunks(t.encode())) for d, r, t in zip(docs_[at : at + step], rows[at : at + step], texts[at : at + step]) if t]
                 if not kept:
                     continue
-                sizes = [len(p) for *_, p in kept]
+                sizes = [len(x[3]) for x in kept]
                 digest = np.concatenate([x[2] for x in kept])
                 cols = [np.repeat([x[0] for x in kept], sizes), digest[:, 0], digest[:, 1]]
                 if with_place:
-                    cols = [cols[0], np.repeat([x[1] for x in kept], sizes), *cols[1:], np.concatenate([x[3] for x in kept])]
+                    cols = [cols[0], np.repeat([x[1] for x in kept], sizes), *cols[1:], np.concatenate([x[3] for x in kept]), np.concatenate([x[4] for x in kept])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in cols], names)
 
     picked = docs.select(_key(id_col).alias("doc"), _row(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -122,8 +119,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     every = _chunk_rows(docs, id_col, text_col, with_place=True)
     first = F.col("place").bitwiseAND(1) == 1
     again = every.join(known, ["d0", "d1"]).where((F.col("doc") != F.col("keeper")) | ~first)
-    start, chars = F.shiftright("place", 25), F.shiftright("place", 13).bitwiseAND(0xFFF)
-    again = again.select("doc", "row", "keeper", start.alias("start"), (start + chars).alias("end"), F.shiftright("place", 1).bitwiseAND(0xFFF).alias("words"))
+    start, chars = F.shiftright("place", 32), F.shiftright("place", 1).bitwiseAND(0x7FFFFFFF)
+    again = again.select("doc", "row", "keeper", start.alias("start"), (start + chars).alias("end"), "words")
     w = Window.partitionBy("doc", "row").orderBy("start")
     # A row that is there twice has each chunk twice; the second is dropped here.
     again = again.withColumn("before", F.lag("start").over(w)).where("before is null or before <> start")
@@ -136,15 +133,19 @@ def repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     )
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated spans cut out of the text; all other columns as they were."""
+def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """docs with the repeated spans cut out of the text; all other columns as they were. drop_emptied leaves out rows
+    of whose text nothing stays."""
     spans = repeated_spans(docs, min_words, id_col, text_col)
-    cut = spans.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("__doc"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__cut"))
-    joined = docs.withColumn("__doc", _key(id_col)).withColumn("__row", _row(id_col, text_col)).join(cut, ["__doc", "__row"], "left")
+    cut = spans.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.col("row").alias("hash")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("cut"))
+    rows = docs.select(_key(id_col).alias("doc"), _row(id_col, text_col).alias("hash"), F.col(text_col).alias("text"), row_of(docs))
+    joined = rows.join(cut, ["doc", "hash"], "left")
     # What stays between the cut spans, joined again.
-    n = F.size("__cut")
-    begin = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("__cut", i - 1)["start"] + F.get("__cut", i - 1)["length"])
-    end = lambda i: F.when(i == n, F.length(text_col).cast("long")).otherwise(F.get("__cut", i)["start"])
-    left = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col(text_col), (begin(i) + 1).cast("int"), (end(i) - begin(i)).cast("int")))
-    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, ""))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    n = F.size("cut")
+    begin = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("cut", i - 1)["start"] + F.get("cut", i - 1)["length"])
+    end = lambda i: F.when(i == n, F.length("text").cast("long")).otherwise(F.get("cut", i)["start"])
+    left = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("text"), (begin(i) + 1).cast("int"), (end(i) - begin(i)).cast("int")))
+    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(left, ""))
+    if drop_emptied:
+        joined = joined.where(F.col("cut").isNull() | (text != ""))
+    return joined.select(*((text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -11,12 +11,12 @@ def test_chunks_cover_the_text_and_resist_shifts():
     rng = random.Random(1)
     text = some_text(rng, 400)
     for t in (text, "x", "日本語" * 900, "a" * 5000, "\n\n", "é " * 50):
-        digests, place = S.chunks(t.encode())
+        digests, place, words = S.chunks(t.encode())
         at = 0
         for p in place.tolist():
-            assert p >> 25 == at
-            at += p >> 13 & 0xFFF
-        assert at == len(t) and sum(p >> 1 & 0xFFF for p in place.tolist()) == len(t.encode().split())
+            assert p >> 32 == at
+            at += p >> 1 & 0x7FFFFFFF
+        assert at == len(t) and sum(words.tolist()) >= len(t.encode().split())
     same = {bytes(d) for d in S.chunks(text.encode())[0]}
     for prefix in ("inserted ", "more words put before, ", "é"):
         moved = {bytes(d) for d in S.chunks((prefix + text).encode())[0]}
@@ -25,7 +25,7 @@ def test_chunks_cover_the_text_and_resist_shifts():
 
 def brute(rows, min_words):
     """Chunk by chunk: a chunk goes if an equal one stands in a smaller id or earlier in this row; runs of them."""
-    cut = {i: [(bytes(d), p) for d, p in zip(*(x.tolist() if False else x for x in S.chunks(t.encode())))] for i, t in rows if t}
+    cut = {i: [(bytes(d), (int(p), int(w))) for d, p, w in zip(*S.chunks(t.encode()))] for i, t in rows if t}
     count, keeper = {}, {}
     for i, cs in cut.items():
         for d, _ in cs:
@@ -38,7 +38,7 @@ def brute(rows, min_words):
             gone = d is not None and count[d] > 1 and (keeper[d] != i or d in seen)
             seen.add(d)
             if gone:
-                run.append((int(p) >> 25, int(p) >> 13 & 0xFFF, int(p) >> 1 & 0xFFF, keeper[d]))
+                run.append((p[0] >> 32, p[0] >> 1 & 0x7FFFFFFF, p[1], keeper[d]))
             else:
                 if sum(r[2] for r in run) >= min_words:
                     out.add((i, run[0][0], run[-1][0] + run[-1][1] - run[0][0], sum(r[2] for r in run), min(r[3] for r in run)))
@@ -84,3 +84,26 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     left = [(r.doc_id, r.text) for r in S.remove_repeats(docs).collect()]
     assert sorted(left, key=str) == sorted([(1, t), (2, ""), (2, ""), (None, "")], key=str)
     assert S.repeated_spans(docs.limit(0)).collect() == [] and S.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_text_without_blanks_resists_shifts(spark):
+    rng = random.Random(9)
+    codes = "".join(rng.choices("0123456789abcdef", k=60_000))
+    chinese = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000))
+    for text in (codes, chinese):
+        before = [bytes(d) for d in S.chunks(text.encode())[0]]
+        after = {bytes(d) for d in S.chunks((text[:50] + "x" + text[50:]).encode())[0]}
+        assert sum(d in after for d in before) >= 0.95 * len(before) and len(before) > 1000
+    passage = chinese[:300]
+    rows = [(1, chinese[1000:1100] + passage), (2, chinese[2000:2150] + passage + chinese[3000:3050]), (3, chinese[4000:4400])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.repeated_spans(docs).collect()
+    assert [r.doc_id for r in got] == [2] and 250 <= got[0].length <= 300
+
+
+def test_clashing_columns_are_carried(spark):
+    passage = " ".join(f"shared{k}" for k in range(90))
+    docs = spark.createDataFrame([(1, passage, 5, "a"), (2, passage + " own", 6, "b"), (2, passage + " own", 6, "b")], "doc_id long, text string, cut long, row string")
+    got = S.remove_repeats(docs, drop_emptied=True)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.cut, r.row) for r in got.collect()) == [(1, 5, "a"), (2, 6, "b"), (2, 6, "b")]
