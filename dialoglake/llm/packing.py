@@ -5,7 +5,8 @@ it. Pieces of one length are alike, so the plan only needs how many pieces of ea
 `capacity` numbers, whatever the size of the corpus. A segment tree over the remaining capacities finds the tightest
 open class of sequences in logarithmic time; sequences with the same room are handled as runs. The plan (runs of
 places per length) is bounded by the capacity alone, so it is safe to broadcast. Spark then numbers the pieces of
-each length (in salted groups, so that one length may hold any share of the rows) and every task looks up places.
+each length, in salted groups of about a million pieces, so that one length may hold any share of the rows, and every
+task looks up places. Pieces as long as a sequence fill one each and are not numbered at all.
 
 Defined results: a null or empty text is one piece with the end id only; documents longer than a sequence are cut
 into full pieces, the last may be shorter; repeated rows and repeated or null ids are packed as documents of their own;
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 
 from dialoglake.llm.common import freeze
 
-SALTS = 256
+PIECES_A_GROUP = 1_000_000
 CACHE_WORDS = 600_000
 _worker: dict[str, object] = {}
 
@@ -130,28 +131,26 @@ def token_bytes(texts: list[str | None], path: str, end_id: int) -> Iterator[byt
             yield b"".join(map(cache.__getitem__, words)) + end
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of at most capacity tokens: PIECES, and with keep_ids also their ids (array of int)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(6)]
             for doc, raw in zip(b.column(0).to_pylist(), token_bytes(b.column(1).to_pylist(), tokenizer_path, end_id)):
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
-                    turn += 1
-                    row = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), turn * 2654435761 % (1 << 32) % SALTS)
+                    row = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))
                     for c, v in zip(cols, row):
                         c.append(v)
                     if keep_ids:
-                        cols[6].append(np.frombuffer(part, "<u4").astype(np.int32))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"]
-            n = 7 if keep_ids else 6
+                        cols[5].append(np.frombuffer(part, "<u4").astype(np.int32))
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+            n = 6 if keep_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types)], names[:n])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -159,38 +158,41 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
 
 
 def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to a stored table of pieces with length and salt."""
-    # At most capacity * SALTS rows, whatever the corpus holds.
-    groups = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()
-    base, totals = {}, {}
-    for g in sorted(groups, key=lambda g: (g["length"], g["salt"])):
-        base[g["length"], g["salt"]] = totals.get(g["length"], 0)
-        totals[g["length"]] = totals.get(g["length"], 0) + g["n"]
+    """Adds sequence_id and offset to a stored table of pieces with length and at (a number of the row). Sequences of
+    one full piece have negative numbers."""
+    # At most capacity rows, whatever the corpus holds.
+    totals = {r["length"]: r["count"] for r in pieces.where(F.col("length") < capacity).groupBy("length").count().collect()}
     runs, _ = plan_best_fit(totals, capacity)
-    shared = pieces.sparkSession.sparkContext.broadcast((base, runs))
-    numbered = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")).cast("long"))
-    names = [c for c in pieces.columns if c != "salt"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "salt") + ", sequence_id long, offset long"
+    shared = pieces.sparkSession.sparkContext.broadcast(runs)
+    names = [c for c in pieces.columns if c != "at"]
+    full = pieces.where(F.col("length") == capacity).select(*names, (-1 - F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    salts = 1 + sum(totals.values()) // PIECES_A_GROUP
+    salted = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(salts)))
+    groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = groups.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("base"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("at")) - 1)
+    numbered = ranked.join(before, ["length", "salt"]).select(*names, (F.col("base") + F.col("rank")).alias("rank"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "at") + ", sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, runs = shared.value
+        runs = shared.value
         starts = [r[:2] for r in runs]
         for b in batches:
             seqs, offsets = [], []
-            for length, salt, rank in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("length", "salt", "rank"))):
-                rank += base[length, salt] - 1
+            for length, rank in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("length", "rank"))):
                 _, first_rank, per, first, offset = runs[bisect_right(starts, (length, rank)) - 1]
                 q, r = divmod(rank - first_rank, per)
                 seqs.append(first + q)
                 offsets.append(offset + r * length)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(seqs, pa.int64()), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Best-fit packing of whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
-    return place_pieces(freeze(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, keep_ids), "pieces"), capacity)
+    cut = cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, keep_ids)
+    return place_pieces(freeze(cut.withColumn("at", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
