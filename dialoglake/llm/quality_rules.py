@@ -17,7 +17,7 @@ rows and repeated or null ids are rows of their own; an empty table gives no row
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, lgamma, log
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -104,12 +104,20 @@ def _measures() -> dict[str, Column]:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), exact up to rounding."""
+    """P(X <= k) for X ~ Binomial(n, p), exact up to rounding. Terms are added from the k-th down until they vanish,
+    which takes about as many as the standard deviation, not k."""
     if k >= n:
         return 1.0
-    terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k + 1)]
-    top = max(terms)
-    return min(1.0, exp(top) * sum(exp(t - top) for t in terms))
+    term = first = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p)
+    top, total, step = first, 1.0, log1p(-p) - log(p)
+    for i in range(k, 0, -1):
+        term += log(i) - log(n - i + 1) + step
+        if term > top:
+            total, top = total * exp(top - term), term
+        total += exp(term - top)
+        if term < top - 45 and i < p * n:
+            break
+    return min(1.0, exp(top + log(total)))
 
 
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, grid: dict[str, list[float]] = GRID, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:

@@ -68,3 +68,15 @@ def test_without_labels_only_base_rules(spark):
     got = Q.apply_rules(docs, labels.limit(0)).collect()
     assert len(got) == 63 and all(r.kept != r.base_failed for r in got)
     assert Q.apply_rules(docs.limit(0), labels).collect() == []
+
+
+def test_binomial_tail_of_many_rows():
+    from fractions import Fraction
+    from math import comb
+
+    for n in (1, 7, 60, 200):
+        for p in (0.01, 0.05, 0.5):
+            for k in range(0, n, max(1, n // 9)):
+                want = float(sum(comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k + 1)))
+                assert abs(Q.binomial_tail(k, n, p) - want) <= 1e-9 * max(want, 1e-12) + 1e-300
+    assert Q.binomial_tail(9_800_000, 10**9, 0.01) < 1e-12 < 0.999 < Q.binomial_tail(10_200_000, 10**9, 0.01)
