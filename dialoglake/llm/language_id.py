@@ -6,7 +6,8 @@ the logistic loss of the margin in its direction, weighted by how well that bit'
 fitted on; the cheapest codeword wins, and a small lead over the second flags ambiguity.
 
 The classifiers are fitted on at most `max_rows_a_language` rows of each language (a documented bound), taken by a
-hash of the id; their counts are summed by Spark. Prediction reads every text whole.
+hash of the id; their counts are summed by Spark. Of more than `max_languages` values of the language column (a documented
+bound, for dirty columns) the most frequent are learned. Prediction reads every text whole.
 
 Defined results: null texts and texts without a letter are `und` with score 0; if no row has a language to learn from,
 all are; with a single learned language that is the prediction; repeated rows and repeated or null ids are rows of
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoglake.llm.common import freeze, held_out
+from dialoglake.llm.common import freeze, fresh, held_out
 
 PLACES = 1 << 14
 
@@ -59,12 +60,12 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
-def fit(docs: DataFrame, max_rows_a_language: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(docs: DataFrame, max_rows_a_language: int = 4_000, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits on rows with text and language outside the held-out fifth; None if there are none."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), (F.pmod(F.xxhash64(F.lit("language"), F.col(id_col).cast("long")), F.lit(1 << 20)) / float(1 << 20)).alias("draw")
     )
-    count = rows.groupBy("lang").count().select("lang", (F.lit(float(max_rows_a_language)) / F.col("count")).alias("share"))
+    count = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang", (F.lit(float(max_rows_a_language)) / F.col("count")).alias("share"))
     taken = rows.join(F.broadcast(freeze(count, "language-shares")), "lang").where("draw < share").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +144,12 @@ def _predictor(docs: DataFrame, model: Model | None, carried: list[str], text_co
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of docs, columns unchanged, whose text has a predicted language that is not ambiguous."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __lang string, __score double, __unsure boolean"
+    names, lang, score, unsure = docs.columns, *(fresh(docs, x) for x in ("lang_pred", "score", "ambiguous"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {lang} string, {score} double, {unsure} boolean"
     predictor = _predictor(docs, model, names, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in predictor(batches):
-            yield b.rename_columns([*names, "__lang", "__score", "__unsure"])
+            yield b.rename_columns([*names, lang, score, unsure])
 
-    return docs.mapInArrow(run, schema).where("__lang <> 'und' and not __unsure").select(*names)
+    return docs.mapInArrow(run, schema).where((F.col(lang) != "und") & ~F.col(unsure)).select(*(f"`{c}`" for c in names))
