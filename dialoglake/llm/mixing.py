@@ -11,7 +11,9 @@ number per domain; the descent starts at rate 1 for every document and only as m
 reach the driver.
 
 The classifier is fitted on about `max_labelled` labelled rows at most, taken by a hash of the id, and has at most
-`max_words` words per table (documented bounds), so its table may be broadcast. Everything else covers all rows.
+`max_words` words in its table (documented bounds), so the table may be broadcast: words that `min_rows` labelled rows
+or more have and whose chi-squared distance is over `min_apart`, which leaves out words that say nothing. Everything
+else covers all rows. If the targets can't be met, `miss` says by how much.
 
 Defined results: null and empty texts have no tokens, the prior as posterior and the rate their posterior implies;
 several labels of a document count each; null domains don't count; without labels all posteriors are uniform; a domain
@@ -26,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoglake.llm.common import freeze
+from dialoglake.llm.common import freeze, row_of
 
 
 def _words(text: str) -> Column:
@@ -45,7 +47,7 @@ def _total(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def learn_table(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labelled: int = 20_000, max_words: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[float]]:
+def learn_table(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labelled: int = 20_000, max_words: int = 20_000, min_rows: int = 5, min_apart: float = 40.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[float]]:
     """Word table (mark, l0..: log-odds of each domain) and the domains' log priors. labelled: (id, domain)."""
     known = labelled.where(F.col("domain").isin(domains)).select(F.col(id_col).cast("long").alias("doc_id"), "domain")
     n_known = known.count()
@@ -65,7 +67,7 @@ def learn_table(docs: DataFrame, labelled: DataFrame, domains: list[str], max_la
     seen = marks.select("domain", F.explode("marks").alias("mark")).groupBy("mark").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(domains)), F.count(F.lit(1)).alias("n"))
     # Chi-squared distance of a word's counts from the domains' sizes.
     apart = _total(F.pow(F.col(f"n{k}") - F.col("n") * (n / total), 2) / (F.col("n") * (max(n, 1) / total)) for k, n in enumerate(of))
-    best = seen.where("n >= 5").withColumn("apart", apart).where("apart > 40").orderBy(F.desc("apart"), "mark").limit(max_words)
+    best = seen.where(F.col("n") >= min_rows).withColumn("apart", apart).where(F.col("apart") > min_apart).orderBy(F.desc("apart"), "mark").limit(max_words)
     # Counts are smoothed towards the domains' sizes, so that a rare word says little.
     rate = lambda k: (F.col(f"n{k}") + 0.5 * of[k] / total) / (of[k] + 0.5)
     overall = (F.col("n") + 0.5) / (total + 0.5)
@@ -74,42 +76,44 @@ def learn_table(docs: DataFrame, labelled: DataFrame, domains: list[str], max_la
 
 
 def posteriors(docs: DataFrame, table: DataFrame, prior: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, n_tokens, p0..) for every row of docs, as a stored table."""
+    """(row, doc_id, digest of the text, n_tokens, p0..) for every row of docs, as a stored table."""
     k = range(len(prior))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.filter(_words(text_col), lambda x: x != "").alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.filter(_words(text_col), lambda x: x != "").alias("words"))
     rows = rows.withColumn("n_tokens", F.size("words").cast("long"))
-    marks = rows.select("row", "doc_id", "n_tokens", F.explode(_marks(F.col("words"), F.col("n_tokens"))).alias("word"))
-    met = marks.select("row", "doc_id", "n_tokens", F.xxhash64("word").alias("mark")).join(F.broadcast(table), "mark", "left")
-    summed = met.groupBy("row", "doc_id", "n_tokens").agg(*(F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"s{i}") for i in k))
+    marks = rows.select("row", "doc_id", "digest", "n_tokens", F.explode(_marks(F.col("words"), F.col("n_tokens"))).alias("word"))
+    met = marks.select("row", "doc_id", "digest", "n_tokens", F.xxhash64("word").alias("mark")).join(F.broadcast(table), "mark", "left")
+    summed = met.groupBy("row", "doc_id", "digest", "n_tokens").agg(*(F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"s{i}") for i in k))
     logit = [F.col(f"s{i}") + F.lit(prior[i]) for i in k]
     top = F.greatest(*logit) if len(prior) > 1 else logit[0]
-    e = summed.select("row", "doc_id", "n_tokens", *(F.exp(x - top).alias(f"e{i}") for i, x in enumerate(logit)))
-    return freeze(e.select("row", "doc_id", "n_tokens", *((F.col(f"e{i}") / _total(F.col(f"e{j}") for j in k)).alias(f"p{i}") for i in k)), "mixing-posteriors")
+    e = summed.select("row", "doc_id", "digest", "n_tokens", *(F.exp(x - top).alias(f"e{i}") for i, x in enumerate(logit)))
+    return freeze(e.select("row", "doc_id", "digest", "n_tokens", *((F.col(f"e{i}") / _total(F.col(f"e{j}") for j in k)).alias(f"p{i}") for i in k)), "mixing-posteriors")
 
 
-def fit_rates(members: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
-    """members (n_tokens, p0..) with rates added; targets: expected tokens wanted of each domain."""
+def fit_rates(members: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-4) -> tuple[DataFrame, float]:
+    """members (n_tokens, p0..) with rates added, and the largest miss of a target as a share of all targets, at most
+    the tolerance unless the rounds ended before. targets: expected tokens wanted of each domain."""
     k = range(len(targets))
     sums = lambda rate: [F.coalesce(F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)) for i in k]
     mass = members.agg(*sums(F.lit(1.0))).first()
     rate, df = F.lit(1.0), members
-    for r in range(1, rounds + 1):
+    for r in range(rounds + 1):
         got = df.agg(*sums(rate)).first()
         miss = [(got[i] - targets[i]) if mass[i] > 0 else 0.0 for i in k]
-        if max(abs(m) for m in miss) <= tolerance * max(1.0, sum(targets)):
+        share = max(abs(m) for m in miss) / max(1.0, sum(targets))
+        if share <= tolerance or r == rounds:
             break
         rate = F.greatest(F.lit(0.0), rate - _total(F.col(f"p{i}") * F.lit(miss[i] / mass[i] if mass[i] > 0 else 0.0) for i in k))
-        if r % 10 == 0:  # keeps the expression short
-            df = freeze(df.drop("rate").withColumn("rate", rate) if "rate" not in df.columns else df.withColumn("rate", rate), "mixing-rates")
+        if r % 10 == 9:  # keeps the expression short
+            df = freeze(df.withColumn("rate", rate), "mixing-rates")
             rate = F.col("rate")
-    return df.withColumn("rate", rate)
+    return df.withColumn("rate", rate), share
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, anchor_rate: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rates that give the domains their weights: row, doc_id, n_tokens, p_<domain>.., rate, copies.
+    """Rates that give the domains their weights: row, doc_id, digest, n_tokens, p_<domain>.., rate, copies, miss.
 
     labelled: (id, domain). The token budget is such that the anchor domain keeps anchor_rate times its expected
-    tokens. copies is the rate rounded up or down by a hash of the row, so that it is right on average.
+    tokens. copies is the rate rounded up or down by a hash of id and text, so that it is right on average; miss is the same in all rows (see fit_rates).
     """
     domains = list(weights)
     table, prior = learn_table(docs, labelled, domains, id_col=id_col, text_col=text_col)
@@ -118,9 +122,18 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor:
     expected = members.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{a}")), F.lit(0.0)).alias("t")).first()["t"]
     share = sum(weights.values())
     budget = anchor_rate * expected / (weights[anchor] / share)
-    rated = fit_rates(members, [budget * weights[d] / share for d in domains])
-    draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "row"), F.lit(1 << 30)) / float(1 << 30)
-    return rated.select("row", "doc_id", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate", F.floor(F.col("rate") + draw).cast("long").alias("copies"))
+    rated, miss = fit_rates(members, [budget * weights[d] / share for d in domains])
+    draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "digest"), F.lit(1 << 30)) / float(1 << 30)
+    return rated.select("row", "doc_id", "digest", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate", F.floor(F.col("rate") + draw).cast("long").alias("copies"), F.lit(miss).alias("miss"))
+
+
+def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, anchor_rate: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of docs as many times as its copies in `mix`, columns unchanged."""
+    rated = mix(docs, labelled, weights, anchor, anchor_rate, id_col, text_col)
+    key = lambda i, digest: F.struct(F.coalesce(i, F.lit(0)).alias("id"), i.isNull().alias("none"), digest.alias("digest")).alias("key")
+    copies = rated.groupBy(key(F.col("doc_id"), F.col("digest"))).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
+    rows = docs.select(key(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))), row_of(docs))
+    return rows.join(copies, "key").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def domains_of_labels(labels: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ def test_rates_match_targets(spark):
     mass = [sum(r[0] * r[1 + k] for r in rows) for k in range(3)]
     for factors in ((1, 1, 1), (1.3, 0.7, 0.9), (1.0, 0.6, 1.2)):
         targets = [m * f for m, f in zip(mass, factors)]
-        got = M.fit_rates(df, targets, rounds=200).collect()
+        rated, miss = M.fit_rates(df, targets, rounds=200)
+        got = rated.collect()
+        assert miss <= 1e-4
         assert all(r.rate >= 0 for r in got)
         for k in range(3):
             assert sum(r.rate * r.n_tokens * r[f"p{k}"] for r in got) == pytest.approx(targets[k], rel=2e-3)
@@ -23,7 +25,7 @@ def test_rates_match_targets(spark):
 
 def test_rates_of_a_dropped_domain_reach_zero(spark):
     df = spark.createDataFrame([(10, 1.0, 0.0)] * 5 + [(10, 0.0, 1.0)] * 5, "n_tokens long, p0 double, p1 double")
-    got = M.fit_rates(df, [100.0, 0.0]).collect()
+    got = M.fit_rates(df, [100.0, 0.0])[0].collect()
     assert [round(r.rate, 3) for r in got] == [2.0] * 5 + [0.0] * 5
 
 
@@ -47,3 +49,57 @@ def test_mix_learns_the_labelled_table(spark):
     assert all(abs(r.copies - r.rate) < 1 for r in got)
     assert M.mix(docs.limit(0), labelled, {"good": 0.9, "bad": 0.1}, anchor="good").collect() == []
     assert len(M.mix(docs, labelled.limit(0), {"good": 0.9, "bad": 0.1}, anchor="good").collect()) == len(rows)
+
+
+def test_a_missed_target_is_told(spark):
+    df = spark.createDataFrame([(10, 0.5, 0.5)] * 5, "n_tokens long, p0 double, p1 double")
+    assert M.fit_rates(df, [50.0, 0.0])[1] > 0.2
+
+
+def test_rates_against_plain_projected_gradient(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 300), (p := rng.random()), 1 - p) for _ in range(200)]
+    rated = M.fit_rates(spark.createDataFrame(rows, "n_tokens long, p0 double, p1 double"), [20_000.0, 4_000.0], rounds=25, tolerance=0.0)[0]
+    got = sorted((r.n_tokens, r.p0, r.rate) for r in rated.collect())
+    mass = [sum(n * p[k] for n, *p in rows) for k in range(2)]
+    rates = [1.0] * len(rows)
+    for _ in range(25):
+        miss = [sum(r * n * p[k] for r, (n, *p) in zip(rates, rows)) - t for k, t in enumerate((20_000, 4_000))]
+        rates = [max(0.0, r - sum(p[k] * miss[k] / mass[k] for k in range(2))) for r, (_, *p) in zip(rates, rows)]
+    want = sorted((n, p, r) for r, (n, p, _) in zip(rates, rows))
+    assert all(abs(a[2] - b[2]) < 1e-6 for a, b in zip(got, want))
+
+
+def test_posteriors_against_plain_naive_bayes(spark):
+    from math import exp, log
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(["a", "b", "c", "d"], [1, 1 + 5 * (i % 2), 1, 1], k=30))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "odd" if i % 2 else "even") for i in range(60)], "doc_id long, domain string")
+    table, prior = M.learn_table(docs, labelled, ["odd", "even"], min_rows=1, min_apart=-1.0)
+    got = {r.doc_id: r.p0 for r in M.posteriors(docs, table, prior).collect()}
+
+    def marks(t):
+        w = t.split()
+        return {*w, f"distinct-share:{10 * len(set(w)) // len(w)}"}
+
+    seen = [marks(t) for _, t in rows]
+    share = {m: [sum(m in seen[i] for i in range(60) if i % 2 == k) for k in (1, 0)] for m in set().union(*seen)}
+    for i, t in rows:
+        logit = [log(31 / 62)] * 2
+        for m in seen[i]:
+            n = share[m]
+            if sum(n):
+                for k in range(2):
+                    logit[k] += log((n[k] + 0.25) / 30.5 + 1e-6) - log((sum(n) + 0.5) / 60.5 + 1e-6)
+        assert abs(got[i] - 1 / (1 + exp(logit[1] - logit[0]))) < 1e-9
+
+
+def test_resample_repeats_rows_of_any_id(spark):
+    rows = [(i, "good words here", "x") for i in range(50)] + [(None, f"null id {k}", "y") for k in range(50)] + [(7, "good words here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copies string")
+    labelled = spark.createDataFrame([(i, "good") for i in range(50)], "doc_id long, domain string")
+    got = M.resample(docs, labelled, {"good": 1.0}, anchor="good", anchor_rate=2.0)
+    assert got.columns == docs.columns and got.count() == 2 * len(rows)
+    assert M.resample(docs.limit(0), labelled, {"good": 1.0}, anchor="good").collect() == []
