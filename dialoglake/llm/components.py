@@ -33,8 +33,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a, b = (F.col(c) for c in edges.columns[:2])
     e = freeze(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(), "edges")
     for _ in range(max_rounds):
-        parents = e.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        if parents.where("n > 1").isEmpty() and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        # Settled: no node has two parents, or a parent that has one itself.
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x"))
+        if ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.max("x.down").alias("down")).where("up + down > 1 and up > 0").isEmpty():
             break
         large, low = _large_star(e)
         large = freeze(large, "large-stars")

@@ -16,8 +16,8 @@ their own; an empty table gives no rows; columns other than id and text are not
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
+from functools import reduce
 from math import acos, pi
 
 import numpy as np
@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dialoglake.llm.common import freeze
+from dialoglake.llm.common import drop_frozen, freeze, row_of
 from dialoglake.llm.components import connected_components
 
 _BITS_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_PLACE = np.arange(8) * 256
-_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
 def word_shingles(words: list[bytes], k: int) -> list[bytes]:
@@ -130,20 +130,47 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 # --- near copies of a stated similarity, for filtering -----------------------------------------------------------
 
-_MARKS = ["fp", "s0", "s1", "s2", "s3"]
+LANES = 5
+_LANE = [f"f{k}" for k in range(LANES)]
+_MARKS = ["set0", "set1", *_LANE]
+_CACHE_WORDS = 500_000
+_hash_of: dict[bytes, int] = {}
 
 
-def _copy_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(doc_id, digest of the text, fp: vote of the distinct words, s0..s3: 256-bit vote of the distinct word shingles)."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """XXH64 of every word of the text, A-Z lower-cased."""
+    words = (text or "").encode().lower().split()
+    if len(_hash_of) > _CACHE_WORDS:
+        _hash_of.clear()
+    for w in set(words).difference(_hash_of):
+        _hash_of[w] = xxhash.xxh64_intdigest(w, 42)
+    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
+    """Distinct hashes of the runs of k words, from the words' hashes; of the whole sequence if it is shorter."""
+    if not len(words):
+        return words
+    n = max(1, len(words) - k + 1)
+    h = words[:n].copy()
+    for j in range(1, min(k, len(words))):
+        h = h * _SPREAD[0] + words[j : j + n]
+    return np.unique(_mixed(h, 1))
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(doc_id, digest of the text, set0 and set1: digest of the set of its shingles, f0..f4: votes of its distinct
+    pairs of neighbouring words)."""
     names = ["doc_id", "digest", *_MARKS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[int]] = [[] for _ in _MARKS]
             for t in b.column(2).to_pylist():
-                words = (t or "").encode().lower().split()
-                h = _hashes(list(set(word_shingles(words, shingle_words))), 42)
-                for x, v in zip(out, (majority(_hashes(list(set(words)), 42)), *(majority(_mixed(h, k)) for k in range(4)))):
+                words = word_hashes(t)
+                shingles, pairs = shingle_set(words, shingle_words), shingle_set(words, 2)
+                sums = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (shingles, _mixed(shingles, 2)))
+                for x, v in zip(out, (*sums, *(majority(_mixed(pairs, k)) for k in range(LANES)))):
                     x.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in out)], names)
 
@@ -152,124 +179,164 @@ def _copy_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_word
     return picked.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in names]))
 
 
+#: Rows of (node, id, digest) that are broadcast at most, 32 bytes each; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(node, shingles: hashes of the distinct word shingles) of the document that stands for each wanted node.
+    """(node, shingles: hashes of the distinct shingles) of the document that stands for each wanted node.
     wanted: (node, rep: doc_id and digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [_hashes(list(set(word_shingles((t or "").encode().lower().split(), shingle_words))), 42).view("<i8") for t in b.column(1).to_pylist()]
+            sets = [shingle_set(word_hashes(t), shingle_words).view("<i8") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    of = wanted.select("node", F.col("rep.doc_id").alias("w_id"), F.col("rep.digest").alias("w_digest"))
-    met = rows.join(of, (F.col("digest") == F.col("w_digest")) & F.col("id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    of = freeze(wanted.select("node", F.col("rep.doc_id").alias("w_id"), F.col("rep.digest").alias("w_digest")), "near-copy-wanted")
+    side = F.broadcast(of) if of.count() <= BROADCAST_ROWS else of
+    met = rows.join(side, (F.col("digest") == F.col("w_digest")) & F.col("id").eqNullSafe(F.col("w_id"))).select("node", "text")
     return freeze(met.dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>"), "near-copy-shingles")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity, exactly."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb") - shared).alias("all"))
-    return freeze(met.where(F.col("n") >= F.col("all") * similarity - 1e-9).select("a", "b"), "near-copy-links")
-
-
-def _apart_still(pairs: DataFrame, group: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the groups (node, component) don't hold together already."""
-    ca, cb = (group.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return pairs.join(ca, "a", "left").join(cb, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-
-
-def _hub_pairs(links: DataFrame, group: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Each group's most linked text against all texts of sets that are in no group, by an exact prefix filter: of two
-    sets of at least the similarity, the |x| - ceil(s |x|) + 1 smallest hashes of both have one in common."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    hub = degree.join(group, "node").groupBy("component").agg(F.max_by("node", F.struct("n", "node")).alias("node")).select("node")
+class _Verifier:
+    """Tests candidate pairs (a, b) of nodes by the exact Jaccard similarity of their shingle sets. Sets are taken from
+    the texts when a pair first needs them."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float):
+        self.nodes, self.similarity = nodes, similarity
+        self.sets: DataFrame | None = None
+        self.fetch = lambda wanted: _shingle_sets(docs, wanted, id_col, text_col, shingle_words)
+        # Votes farther apart than those of sets of half the similarity: such pairs needn't be verified.
+        half = similarity / 2
+        self.most_bits = int(64 * LANES * acos(2 * half / (1 + half)) / pi)
+
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the wanted nodes, and of those wanted before."""
+        missing = self.nodes.join(wanted, "node", "left_semi")
+        if self.sets is None:
+            self.sets = self.fetch(missing)
+        elif not (missing := missing.join(self.sets, "node", "left_anti")).isEmpty():
+            self.sets = self.sets.union(self.fetch(missing))
+        return self.sets
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        left = self.nodes.select(F.col("node").alias("a"), *(F.col(x).alias(f"l_{x}") for x in _LANE))
+        right = self.nodes.select(F.col("node").alias("b"), *_LANE)
+        apart = sum((F.bit_count(F.col(f"l_{x}").bitwiseXOR(F.col(x))) for x in _LANE), F.lit(0))
+        near = freeze(pairs.join(left, "a").join(right, "b").where(apart <= self.most_bits).select("a", "b"), "near-copy-candidates")
+        sets = self.sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+        y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        shared = F.size(F.array_intersect("sa", "sb"))
+        met = near.join(x, "a").join(y, "b").select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb") - shared).alias("all"))
+        return freeze(met.where(F.col("n") >= F.col("all") * self.similarity - 1e-9).select("a", "b"), "near-copy-links")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _colliding(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes that meet on a variant: pairs (a, b) that are alone on theirs, and rows (key, node, n) of the variants on
+    which n nodes, three or more, meet. Each half of a lane is a table of its own, searched by ball hashing. A lane's
+    rows are counted by variant (combined before the shuffle, so a variant may hold any share of them), and its shuffle
+    is gone before the next lane begins."""
+    pairs, crowds = [], []
+    for lane, name in enumerate(_LANE):
+        f = F.col(name)
+        halves = [F.lit((2 * lane + h) << 32).cast("long").bitwiseOR(x) for h, x in enumerate((f.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f, 32)))]
+        near = nodes.select("node", F.explode(F.concat(*(_ball(k, list(range(32)), (radius + 1) // 2) for k in halves))).alias("key"))
+        met = near.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = freeze(met, "near-copy-keys")
+        pairs.append(met.where("n = 2").select("a", "b"))
+        crowds.append(freeze(near.join(met.where("n > 2").select("key", "n"), "key"), "near-copy-crowds"))
+    return freeze(reduce(DataFrame.union, pairs).distinct(), "near-copy-pairs"), reduce(DataFrame.union, crowds)
+
+
+def _grouped(rows: DataFrame, group: DataFrame) -> DataFrame:
+    """rows with a node -> with its component; a node without links is one of its own."""
+    return rows.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _apart_still(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components, in rest (node, component), among which are all of at least the
+    similarity. An exact prefix filter: with shingles ordered by how many of these texts have them, rarest first, two
+    sets x of the similarity s share one of the first |x| - ceil(s |x|) + 1 of both. A shingle that a large component
+    has meets only the texts outside it, so no component's members are paired with each other."""
     size = F.size("shingles")
-    prefix = F.slice(F.array_sort("shingles"), F.lit(1), (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))
-    tokens = sets.select("node", size.alias("size"), F.explode(prefix).alias("token"))
-    a = tokens.join(hub, "node", "left_semi").select(F.col("node").alias("a"), F.col("size").alias("na"), "token")
-    b = tokens.join(group, "node", "left_anti").select(F.col("node").alias("b"), F.col("size").alias("nb"), "token")
-    return a.join(b, "token").where((F.col("na") >= F.col("nb") * similarity - 1e-9) & (F.col("nb") >= F.col("na") * similarity - 1e-9)).select("a", "b").distinct()
-
-
-def _halves(pairs: int) -> list[list[int]]:
-    """Bit sets of the search tables: pairs of complementary halves of the 64 bits, so that any two fingerprints at
-    most 2*r+1 bits apart are within r bits on one half of each pair."""
-    rng = random.Random(5)
-    out = []
-    for _ in range(pairs):
-        bits = rng.sample(range(64), 64)
-        out += [sorted(bits[:32]), sorted(bits[32:])]
-    return out
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, table_pairs: int = 5, radius: int = 2, pivots_a_round: int = 3) -> DataFrame:
-    """(doc_id, component_id) per input row: near copies of at least the given similarity of word-shingle sets.
-
-    Candidates: each half of the 64-bit vote of a text's distinct words is searched by ball hashing (variants within
-    half the radius); in a bucket each text is paired with the two before it. Screen: the angle between the 256-bit
-    votes of the distinct word shingles estimates their cosine; a Jaccard similarity s of sets of like size is a
-    cosine of 2s/(1+s), and pairs up to 26 bits (over four standard errors) beyond its angle stay. Verification: the
-    Jaccard similarity of the shingle sets, exactly. The likeliest candidate of every text is verified first; the
-    rest only where the first links left both texts in different groups, so a large group of copies isn't verified
-    pair by pair.
-
-    Crowded buckets (over three texts): the two before a text may both fail where another member would pass, as with
-    many edited copies of one text. So every member is also paired with the bucket's most central members, a few a
-    round, as long as rounds find new links; then each group's most linked text is tested exactly against all texts
-    of these buckets that are still alone. Rows grow with the members, not with their pairs.
+    tokens = freeze(sets.join(rest, "node").select("node", "component", size.alias("size"), F.explode("shingles").alias("token")), "near-copy-tokens")
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    first = tokens.join(held, "token").withColumn("place", place).where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1) & (F.col("df") > 1))
+    first = freeze(first.select("token", "node", "component", "size"), "near-copy-prefixes")
+    by = first.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("components"))
+    met = freeze(first.join(by.where("components > 1").select("token", F.col("most.component").alias("major")), "token"), "near-copy-met")
+    minor = met.where("component <> major").select("token", F.col("node").alias("other"), F.col("component").alias("its"), F.col("size").alias("its_size"))
+    fits = (F.col("size") >= F.col("its_size") * similarity - 1e-9) & (F.col("its_size") >= F.col("size") * similarity - 1e-9)
+    pairs = met.join(minor, "token").where((F.col("component") != F.col("its")) & fits).select(*_ordered("node", "other")).distinct()
+    return freeze(pairs, "near-copy-apart")
+
+
+def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The stored marks of all rows, and (set0, set1, component: a node, rep: the row that stands for this node)."""
+    marks = freeze(_marks(docs, id_col, text_col, shingle_words), "near-copy-marks")
+    # A node is a distinct set of shingles; copies share it and search once. Its first row stands for it.
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("rep")
+    nodes = freeze(marks.groupBy(*_MARKS).agg(rep).withColumn("node", F.monotonically_increasing_id()), "near-copy-nodes")
+    verifier = _Verifier(docs, nodes, id_col, text_col, shingle_words, similarity)
+    pairs, crowd = _colliding(nodes, radius)
+    # In every crowded bucket, the member that meets most others against the rest.
+    weights = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
+    live = freeze(crowd.select("key", "node").join(weights, "node"), "near-copy-live")
+    pivots = freeze(live.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p")).select("key", F.col("p.node").alias("pivot")), "near-copy-pivots")
+    tried = live.join(pivots, "key").where("node <> pivot").select(*_ordered("node", "pivot")).union(pairs).distinct()
+    links = verifier.links(tried)
+    group = freeze(connected_components(links), "near-copy-groups")
+    # Buckets that hold several groups even without their pivot: the members of these are searched exactly.
+    left = live.select("key", "node").join(pivots.withColumnRenamed("pivot", "node"), ["key", "node"], "left_anti")
+    left = freeze(_grouped(left, group), "near-copy-left")
+    unsettled = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rest = freeze(left.join(unsettled, "key").select("node", "component").distinct(), "near-copy-rest")
+    drop_frozen(live, left, pivots)
+    if not rest.isEmpty():
+        more = verifier.links(_apart_still(rest, verifier.sets_of(rest.select("node")), similarity))
+        if not more.isEmpty():
+            group = freeze(connected_components(links.union(more)), "near-copy-groups")
+    classes = _grouped(nodes.select("node", "set0", "set1", "rep"), group).select("set0", "set1", "component", "rep")
+    return marks, freeze(classes, "near-copy-classes")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """(doc_id, component_id) per input row: groups of near copies, texts whose sets of word shingles have at least the
+    given Jaccard similarity, and whatever such links join. component_id is the smallest doc_id of the group.
+
+    Candidates come from ball hashing. A text's distinct pairs of neighbouring words vote on five 64-bit fingerprints;
+    each 32-bit half is a table in which texts within `radius` bits meet on a variant within half the radius. Pairs
+    that meet are verified: by the distance of all 320 bits first, then by the similarity itself, exactly.
+
+    No pair that meets is passed over unless links already join its texts. In a variant that several texts share, the
+    member that meets most others is tried against the rest (the source of many edited copies is nearer to them than
+    they are to each other). Where members of different groups remain, these are searched exactly, by a join on their
+    rarest shingles. So a large group costs rows in proportion to its members, not to their pairs.
+
+    The votes are random, so two texts of just the similarity can miss each other in all ten tables; the README states
+    the measured recall. Texts without words are one group. Null ids come last: a group's id is null only if all its
+    ids are.
     """
-    fp = freeze(_copy_fingerprints(docs, id_col, text_col, shingle_words), "near-copies")
-    # A node is a distinct set of marks; exact copies share it and search once. Its first document stands for it.
-    nodes = freeze(fp.groupBy(*_MARKS).agg(F.min(F.struct("doc_id", "digest")).alias("rep"), F.min("doc_id").alias("first_id")).withColumn("node", F.xxhash64(*_MARKS)), "near-copy-nodes")
-    masks = [sum(1 << b for b in bits) for bits in _halves(table_pairs)]
-    tables = F.array(
-        *(
-            F.struct(F.lit(k).alias("t"), _ball(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")), bits, (radius + 1) // 2).alias("variants"))
-            for k, (m, bits) in enumerate(zip(masks, _halves(table_pairs)))
-        )
+    marks, classes = _near_copy_classes(docs, id_col, text_col, shingle_words, similarity, radius)
+    lowest = classes.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"))
+    ids = freeze(classes.join(lowest, "component").select("set0", "set1", "component_id"), "near-copy-ids")
+    return marks.join(ids, ["set0", "set1"]).select("doc_id", "component_id")
+
+
+def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """One row of docs for each group of near_copies, columns unchanged: that with the smallest id (null ids last), of
+    several rows with this id that with the smallest digest of the text, of equal rows one."""
+    _, classes = _near_copy_classes(docs, id_col, text_col, shingle_words, similarity, radius)
+    kept = classes.groupBy("component").agg(F.min("rep").alias("rep")).select(F.struct(F.coalesce("rep.doc_id", F.lit(0)).alias("id"), F.col("rep.none").alias("none"), F.col("rep.digest").alias("digest")).alias("key"))
+    rows = docs.select(
+        F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).cast("long").isNull().alias("none"), F.xxhash64(F.col(text_col).cast("string")).alias("digest")).alias("key"), row_of(docs)
     )
-    near = nodes.select("node", F.explode(tables).alias("x")).select("node", "x.t", F.explode("x.variants").alias("variant"))
-    keyed = near.select("node", F.xxhash64("t", "variant").alias("variant"))
-    w = Window.partitionBy("variant").orderBy("node")
-    place = lambda k: F.lag("node", k).over(w)
-    crowded = place(3).isNotNull() | F.lead("node", 3).over(w).isNotNull()
-    buckets = freeze(keyed.select("node", "variant", F.array_compact(F.array(place(1), place(2))).alias("before"), crowded.alias("crowded")).where("size(before) > 0 or crowded"), "near-copy-buckets")
-    pairs = buckets.select(F.explode("before").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    most = int(256 * acos(2 * similarity / (1 + similarity)) / pi + 26)
-    left = nodes.select(F.col("node").alias("a"), *(F.col(f"s{k}").alias(f"l{k}") for k in range(4)))
-    right = nodes.select(F.col("node").alias("b"), *(F.col(f"s{k}") for k in range(4)))
-    apart = sum((F.bit_count(F.col(f"l{k}").bitwiseXOR(F.col(f"s{k}"))) for k in range(4)), F.lit(0))
-    screened = lambda p: p.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= most)
-    likely = freeze(screened(pairs), "near-copy-candidates")
-    both = likely.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "apart")
-    # Members of crowded buckets, the most central first: the source of many edited copies is nearer to them than they are to each other.
-    central = both.groupBy("node").agg(F.avg("apart").alias("mean"))
-    inner = Window.partitionBy("variant").orderBy(F.col("mean").asc_nulls_last(), "node")
-    crowd = freeze(buckets.where("crowded").select("node", "variant").join(central, "node", "left").select("node", "variant", F.row_number().over(inner).alias("place")), "near-copy-crowds")
-    ends = both.select("node").union(crowd.select("node")).distinct()
-    sets = _shingle_sets(docs, nodes.join(ends, "node", "left_semi"), id_col, text_col, shingle_words)
-    best = both.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = _similar(best, sets, similarity)
-    group = freeze(connected_components(links), "near-copy-groups")
-    rest = _apart_still(likely.join(best, ["a", "b"], "left_anti"), group)
-    links = links.union(_similar(rest, sets, similarity))
-    first = 1
-    while not crowd.where(F.col("place") >= first).isEmpty():
-        group = freeze(connected_components(links), "near-copy-groups")
-        pivots = crowd.where(F.col("place").between(first, first + pivots_a_round - 1)).select("variant", F.col("node").alias("a"))
-        tried = _apart_still(crowd.select("variant", F.col("node").alias("b")).join(pivots, "variant").where("a <> b").select("a", "b").distinct(), group)
-        new = _similar(screened(tried), sets, similarity)
-        if new.isEmpty():
-            break
-        links, first = links.union(new), first + pivots_a_round
-    group = freeze(connected_components(links), "near-copy-groups")
-    comp = connected_components(links.union(_similar(_hub_pairs(links, group, sets, similarity), sets, similarity)))
-    linked = nodes.join(comp, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
-    lowest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = freeze(linked.join(lowest, "component").select("node", "component_id"), "near-copy-classes")
-    return fp.select("doc_id", F.xxhash64(*_MARKS).alias("node")).join(classes, "node").select("doc_id", "component_id")
+    return rows.join(freeze(kept, "near-copy-kept"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
