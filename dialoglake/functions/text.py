@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CJK = r"[\x{4e00}-\x{9fff}]"
+CJK_EXTENDED = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
 
 
 def text_of(c: Column) -> Column:
@@ -54,8 +58,8 @@ def first_label(c: Column, lists: dict[str, list[str]], otherwise: str) -> Colum
 
 
 def count_tokens(c: Column) -> Column:
-    """0 for empty text, else at least 1: a token per CJK character and per three others."""
-    cjk = count_cjk(c)
+    """0 for empty text, else at least 1: a token per CJK character (extension A included) and per three others."""
+    cjk = F.regexp_count(text_of(c), F.lit(CJK_EXTENDED))
     n = F.length(text_of(c))
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), cjk + F.ceil((n - cjk) / 3))).cast("long")
 
@@ -84,11 +88,17 @@ def clean_reply(c: Column, openers: list[str] = ()) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
+# What counts as an e-mail address, a phone number and an id number, and what stands for them.
+PII = {
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}": "[REDACTED_EMAIL]",
+    r"(?<!\d)(?:1\d{10}|(?:\+?\d{1,3}[- ]?)?\d{3,4}[- ]?\d{7,8})(?!\d)": "[REDACTED_PHONE]",
+    r"(?<!\d)\d{17}[\dXx](?!\d)": "[REDACTED_ID]",
+}
+
+
 def redact_pii(c: Column) -> Column:
     """E-mail addresses, phone numbers and 18-character id numbers, in that order."""
-    out = F.regexp_replace(text_of(c), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
-    out = F.regexp_replace(out, r"(?<!\d)1[3-9]\d{9}(?!\d)", "[PHONE]")
-    return F.regexp_replace(out, r"(?<!\d)\d{17}[\dXx](?!\d)", "[ID]")
+    return reduce(lambda out, kv: F.regexp_replace(out, kv[0], kv[1]), PII.items(), text_of(c))
 
 
 def sentences(c: Column) -> Column:
@@ -97,18 +107,11 @@ def sentences(c: Column) -> Column:
 
 
 def first_sentence(c: Column, least: int = 30, most: int = 120) -> Column:
-    """Sentences from the start until they have `least` characters, none that would exceed `most` after that; the
-    first `most` characters if there is no sentence."""
-    start = F.struct(F.lit("").alias("t"), F.lit(False).alias("done"))
-
-    def step(acc: Column, s: Column) -> Column:
-        longer = F.concat(acc["t"], s)
-        over = (F.length(longer) > most) & (F.length(acc["t"]) > 0)
-        done = acc["done"] | over
-        return F.struct(F.when(done, acc["t"]).otherwise(longer).alias("t"), (done | (F.length(longer) >= least)).alias("done"))
-
-    got = strip(F.aggregate(sentences(c), start, step, lambda a: a["t"]))
-    return F.when(got == "", F.substring(strip(text_of(c)), 1, most)).otherwise(F.substring(got, 1, most))
+    """Sentences from the start until they have `least` characters, however long the last; the first `most` characters
+    if there is no sentence."""
+    t = strip(text_of(c))
+    got = strip(F.aggregate(sentences(t), F.lit(""), lambda acc, s: F.when(F.length(acc) >= least, acc).otherwise(F.concat(acc, s))))
+    return F.when(got == "", strip(F.substring(t, 1, most))).otherwise(got)
 
 
 _PUNCTUATION = r"""[,.!?;:"'()\[\]{}，。！？；：、“”‘’（）【】《》…~～\-]"""
@@ -169,9 +172,15 @@ def searchable_text(role: Column, content: Column, labels: dict[str, str]) -> Co
 
 
 def snippet(c: Column, n: int) -> Column:
-    """One line of at most n characters, with … where it was cut."""
+    """One line of at most n characters, … included where it was cut."""
     line = strip(F.replace(text_of(c), F.lit("\n"), F.lit(" ")))
-    return F.when(F.length(line) <= n, line).otherwise(F.concat(F.substring(line, 1, n), F.lit("…")))
+    return F.when(F.length(line) <= n, line).otherwise(F.concat(F.substring(line, 1, n - 1), F.lit("…")))
+
+
+def truncate_chars(c: Column, n: int) -> Column:
+    """The text, or its first n characters with … in place of the last where it is longer."""
+    t = text_of(c)
+    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n - 1), F.lit("…")))
 
 
 def html_escape(c: Column) -> Column:
@@ -186,8 +195,8 @@ def date_label(epoch: Column, zone: str = "UTC") -> Column:
 
 
 def parse_session_date(c: Column) -> Column:
-    """`2024/03/05 (Tue) 08:30` as a timestamp in UTC."""
-    return F.to_timestamp(F.regexp_replace(c, r"\s*\(\w+\)\s*", " "), "yyyy/MM/dd HH:mm")
+    """`2024/03/05 (Tue) 08:30` as a timestamp in UTC; null for anything else."""
+    return F.try_to_timestamp(F.regexp_replace(c, r"\s*\(\w+\)\s*", " "), F.lit("yyyy/MM/dd HH:mm"))
 
 
 def user_hash(c: Column) -> Column:
@@ -240,13 +249,26 @@ def extract_choice(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(t, r"(?:^|[^A-Z])([A-E])(?:[^A-Z]|$)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"^([A-E])", 1), F.lit("")))
 
 
+@F.pandas_udf(T.DoubleType())
+def repeated_share(c: pd.Series) -> pd.Series:
+    """Share of the runs of three characters that repeat an earlier one; 0 for fewer than 12 characters."""
+
+    def share(t: str | None) -> float:
+        if t is None or len(t) < 12:
+            return 0.0
+        x = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        grams = x[:-2] << np.uint64(42) | x[1:-1] << np.uint64(21) | x[2:]
+        return 1 - len(np.unique(grams)) / len(grams)
+
+    return c.map(share)
+
+
 def repetition_score(c: Column) -> Column:
-    """Longer is better up to 400 characters; questions and repeated 3-grams of characters cost."""
+    """Longer is better up to 400 characters; questions and repeated 3-grams of characters (white space apart) cost."""
     t = strip(text_of(c))
     n = F.length(t)
-    grams = char_ngrams(t, 3)
-    rep = F.when(n < 12, 0.0).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
-    score = F.least(n, F.lit(400)) / 400.0 - 0.06 * F.least(F.regexp_count(t, F.lit("[?？]")), F.lit(6)) - 1.2 * F.least(rep, F.lit(0.4))
+    repeated = repeated_share(F.regexp_replace(t, r"(?U)\s+", ""))
+    score = F.least(n, F.lit(400)) / 400.0 - 0.06 * F.least(F.regexp_count(t, F.lit("[?？]")), F.lit(6)) - 1.2 * F.least(repeated, F.lit(0.4))
     return F.when(n == 0, -1e9).otherwise(score)
 
 

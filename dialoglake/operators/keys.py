@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialoglake.functions import text as T
-from dialoglake.storage import global_rank
 
 
 def conversation_signature(turns: DataFrame, max_msgs: int = 6) -> DataFrame:
@@ -65,7 +64,7 @@ def append_new_until(existing: DataFrame, candidates: DataFrame, key: str, order
     """existing and the first candidates of new keys, up to `target` rows in all."""
     have = existing.count()
     new = first_per_key(candidates.join(existing.select(key).distinct(), key, "left_anti"), F.col(key), order)
-    return existing.unionByName(global_rank(new, order, "__n").where(F.col("__n") <= target - have).drop("__n"))
+    return existing.unionByName(new.orderBy(*order).limit(max(0, target - have)))
 
 
 def duplicate_sessions(sessions: DataFrame) -> DataFrame:
@@ -91,6 +90,7 @@ def owned_sources(ops: DataFrame, messages: DataFrame) -> DataFrame:
 
 def neighbour_range(anchors: DataFrame, messages: DataFrame, before: int, after: int) -> DataFrame:
     """Messages of an anchor's conversation at most so far before and after its position: anchor_id, message_id, distance."""
-    a = anchors.select(F.col("message_id").alias("anchor_id"), "conversation_id", F.col("position").alias("at"))
-    j = a.join(messages.select("conversation_id", "message_id", "position"), "conversation_id")
-    return j.where(F.col("position").between(F.col("at") - before, F.col("at") + after)).select("anchor_id", "message_id", (F.col("position") - F.col("at")).alias("distance"))
+    # The wanted positions are listed, so that a long conversation costs each anchor no more than a short one.
+    a = anchors.select(F.col("message_id").alias("anchor_id"), "conversation_id", F.col("position").alias("at"), F.explode(F.sequence(F.col("position") - before, F.col("position") + after)).alias("position"))
+    j = a.join(messages.select("conversation_id", "message_id", "position"), ["conversation_id", "position"])
+    return j.select("anchor_id", "message_id", (F.col("position") - F.col("at")).alias("distance"))

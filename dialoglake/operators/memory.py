@@ -11,12 +11,13 @@ from dialoglake.functions import text as T
 _PARAGRAPH, _SENTENCE, _SEMICOLON, _COMMA = r"\n\s*\n", r"(?<=[。！？!?\.])", r"(?<=[；;])", r"(?<=[，,、])"
 
 
-def _merge(pieces: Column, fits: callable, join: str = "") -> Column:
-    """Neighbouring pieces joined while they fit together (a condition on the joined text)."""
+def _merge(pieces: Column, fits: callable, join: str = "", small: callable = lambda t: F.lit(False)) -> Column:
+    """Neighbouring pieces joined while they fit together (a condition on the joined text), or the text so far is still
+    small."""
 
     def step(acc: Column, p: Column) -> Column:
         longer = F.when(acc["cur"] == "", p).otherwise(F.concat(acc["cur"], F.lit(join), p))
-        over = (acc["cur"] != "") & ~fits(longer)
+        over = (acc["cur"] != "") & ~fits(longer) & ~small(acc["cur"])
         return F.struct(F.when(over, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"), F.when(over, p).otherwise(longer).alias("cur"))
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
@@ -50,7 +51,8 @@ def chunk_clauses(text: Column, whole: int = 500, most: int = 350, least: int =
 
 def split_segments(text: Column, target: int = 120, most: int = 200) -> Column:
     """Segments of at most about `most` tokens: paragraphs; one that is too long is split at the first level (sentence,
-    semicolon, comma) that splits it and joined again up to `most`; what is still too long is cut hard."""
+    semicolon, comma) that splits it and joined again up to `most`, or beyond while a segment has less than half of
+    `target`; what is still too long is cut hard."""
 
     def level(p: Column, pattern: str) -> Column:
         return _nonblank(F.split(p, pattern))
@@ -58,7 +60,7 @@ def split_segments(text: Column, target: int = 120, most: int = 200) -> Column:
     def divide(p: Column) -> Column:
         s, m, c = level(p, _SENTENCE), level(p, _SEMICOLON), level(p, _COMMA)
         parts = F.when(F.size(s) > 1, s).when(F.size(m) > 1, m).when(F.size(c) > 1, c).otherwise(F.array(p))
-        fit = _merge(parts, lambda t: T.count_tokens(t) <= most)
+        fit = _merge(parts, lambda t: T.count_tokens(t) <= most, small=lambda t: T.count_tokens(t) < max(1, target // 2))
         return F.flatten(F.transform(fit, lambda x: F.when(T.count_tokens(x) > most, _hard(x, 2 * most)).otherwise(F.array(x))))
 
     paragraphs = _nonblank(F.split(T.text_of(text), _PARAGRAPH))

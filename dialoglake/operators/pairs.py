@@ -70,18 +70,26 @@ def generation_flags(reply: Column, chosen: Column, user: Column, least: int = 1
     return F.array_compact(F.array(F.when(r == "", "empty"), F.when((r != "") & (r == c), "equals_chosen"), F.when((r != "") & (u != "") & (u.contains(r) | r.contains(u)), "echoes_user"), F.when((r != "") & (F.length(r) < least), "too_short")))
 
 
-# Traces of reasoning about the task, and of quoting it.
-META_TRACE = ["chosen", "rejected", "用户", "助手", "系统提示", "作为AI", "我需要", "首先，"]
-QUOTE_META = ["例如：", "比如：", "示例："]
-
-
-def rejected_quality_flags(text: Column, cjk_expected: bool = True, meta: list[str] = META_TRACE, quotes: list[str] = QUOTE_META, least: int = 8) -> Column:
+# Traces of reasoning about the task in English and Chinese, any case.
+META_TRACE = [
+    r"the user|system prompt|assistant:|analysis|reasoning|thinking|thought process|you are a helpful assistant|we need to",
+    r"now count|let's count|so total|characters?\s*[:=]|within\s+\d+|that's within|fine\.",
+    r"根据要求|系统提示|输出格式|不要输出|只输出|(思考|分析|推理)(过程|如下|：|:)|我需要(思考|分析|推理)|让我(思考|分析|推理)|下面(是|进行).{0,10}(思考|分析|推理)",
+]
+# Tags that wrap thinking or replies, and any short tag.
+TAGS = [r"</?(reply|rejected|think|thinking|reasoning|analysis|回复)[^>]*>", r"<[^>]{1,30}>"]
+
+
+def rejected_quality_flags(text: Column, cjk_expected: bool = True, meta: list[str] = META_TRACE, tags: list[str] = TAGS, least: int = 8) -> Column:
+    """What is wrong with a rejected answer: missing_rejected (null), empty_rejected, or any of no_cjk, englishy, meta_trace,
+    xml_tags, quote_meta (double quotes among ASCII letters) and too_short."""
     t = T.strip(T.text_of(text))
-    cjk, ascii_ = T.count_cjk(t), T.count_ascii_letters(t)
+    said, cjk, ascii_ = t != "", T.count_cjk(t), T.count_ascii_letters(t)
+    found = lambda patterns: t.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
     flags = [
-        F.when(text.isNull(), "missing"), F.when(text.isNotNull() & (t == ""), "empty"), F.when(F.lit(cjk_expected) & (t != "") & (cjk == 0), "no_cjk"),
-        F.when(F.lit(cjk_expected) & (ascii_ >= 25) & (cjk < 10), "englishy"), F.when(T.contains_any(t, meta), "meta_trace"), F.when(t.rlike(r"</?[A-Za-z][^>]*>"), "xml_tags"),
-        F.when(T.contains_any(t, quotes), "quote_meta"), F.when((t != "") & (F.length(T.norm_key(t)) < least), "too_short"),
+        F.when(text.isNull(), "missing_rejected"), F.when(text.isNotNull() & ~said, "empty_rejected"), F.when(F.lit(cjk_expected) & said & (cjk == 0), "no_cjk"),
+        F.when(F.lit(cjk_expected) & (ascii_ >= 25) & (cjk < 10), "englishy"), F.when(found(meta), "meta_trace"), F.when(found(tags), "xml_tags"),
+        F.when(t.contains('"') & (ascii_ >= 10), "quote_meta"), F.when(said & (F.length(t) < least), "too_short"),
     ]
     return F.array_compact(F.array(*flags))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,16 +31,28 @@ def validate_ops(ops: DataFrame, profiles: DataFrame, most_chars: int = 64, most
 
 def filter_ops(ops: DataFrame, profiles: DataFrame, most: int = 3, **limits) -> DataFrame:
     """The operations of a message that are applied: of its first `most`, those without a reason against them, the first for
-    each target, with a content that no active profile and no operation before it has."""
+    each target, with a content that no active profile and no applied operation before it has."""
     w = Window.partitionBy("message_id").orderBy("op_no")
-    first = ops.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+    first = ops.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max(1, most)).drop("r")
     good = validate_ops(first, profiles, **limits).where("reason is null").withColumn("key", T.norm_profile(F.col("content")))
     have = profiles.where("status = 'active'").select("user_id", T.norm_profile(F.col("content")).alias("key")).distinct()
     good = good.where("op = 'delete'").unionByName(good.where("op <> 'delete'").join(have, ["user_id", "key"], "left_anti").select(*good.columns))
-    target = Window.partitionBy("message_id", F.coalesce("target_id", -F.col("op_no") - 1)).orderBy("op_no")
-    content = Window.partitionBy("message_id", F.when(F.col("op") == "delete", F.concat(F.lit("d"), "op_no")).otherwise(F.col("key"))).orderBy("op_no")
-    one = good.withColumn("a", F.row_number().over(target)).where("a = 1").withColumn("b", F.row_number().over(content)).where("b = 1")
-    return one.select("message_id", "user_id", "op_no", "op", "target_id", "content")
+    # One after another: an operation that is left out takes neither its target nor its content. A message has at most `most`.
+    fields = F.struct("op_no", "op", "target_id", "content", "key")
+    ops_of = good.groupBy("message_id", "user_id").agg(F.array_sort(F.collect_list(fields)).alias("ops"))
+    start = F.struct(F.array().cast("array<bigint>").alias("targets"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<int>").alias("kept"))
+
+    def step(acc: Column, o: Column) -> Column:
+        adds = o["op"] != "delete"
+        out = F.coalesce(F.array_contains(acc["targets"], o["target_id"]), F.lit(False)) | (adds & F.array_contains(acc["keys"], o["key"]))
+        grown = lambda xs, x, when: F.when(~out & when, F.array_append(xs, x)).otherwise(xs)
+        return F.struct(
+            grown(acc["targets"], o["target_id"].cast("bigint"), o["target_id"].isNotNull()).alias("targets"), grown(acc["keys"], o["key"], adds).alias("keys"), grown(acc["kept"], o["op_no"].cast("int"), F.lit(True)).alias("kept")
+        )
+
+    kept = ops_of.withColumn("kept", F.aggregate("ops", start, step, lambda a: a["kept"]))
+    one = kept.select("message_id", "user_id", F.explode(F.filter("ops", lambda o: F.array_contains(F.col("kept"), o["op_no"].cast("int")))).alias("o"))
+    return one.select("message_id", "user_id", "o.op_no", "o.op", "o.target_id", "o.content")
 
 
 def apply_ops(profiles: DataFrame, ops: DataFrame, messages: DataFrame, most_items: int = 20, most_tokens: int = 640) -> DataFrame:

@@ -170,7 +170,8 @@ def expand_message(anchors: DataFrame, messages: DataFrame, n: int = 2, scan: in
     excluded. -> query_id, message_id, neighbour_id, side."""
     m = messages.select("conversation_id", F.col("message_id").alias("neighbour_id"), F.col("position").alias("p"), "role", "sim", "excluded")
     a = anchors.join(messages.select("message_id", "conversation_id", "position"), "message_id")
-    j = a.join(m, "conversation_id").where((F.col("p") != F.col("position")) & F.col("p").between(F.col("position") - scan, F.col("position") + scan))
+    # The wanted positions are listed, so that a long conversation costs each anchor no more than a short one.
+    j = a.withColumn("p", F.explode(F.sequence(F.col("position") - scan, F.col("position") + scan))).where("p <> position").join(m, ["conversation_id", "p"])
     j = j.where((F.col("role") == "user") & ~F.col("excluded")).withColumn("side", F.when(F.col("p") < F.col("position"), "before").otherwise("after"))
     w = Window.partitionBy("query_id", "message_id", "side").orderBy(F.abs(F.col("p") - F.col("position")))
     ok = j.withColumn("ok", F.min((F.col("sim") >= threshold).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("r", F.row_number().over(w))

@@ -51,15 +51,16 @@ def render_fragments(fragments: DataFrame) -> DataFrame:
     return g.select("query_id", F.size("x").cast("long").alias("n"), F.array_join(lines, "\n").alias("rendered"))
 
 
-def memory_block(profile: DataFrame, episodes: DataFrame, profile_most: int = 640, episodes_base: int = 1600, most: int = 2400) -> DataFrame:
-    """(query_id, profile text) and (query_id, episode lines) -> the block: the profile (an error if it is too long) and episodes
-    in what is left of `most`, at least their base."""
+def memory_block(profile: DataFrame, episodes: DataFrame, profile_most: int = 640, budget: int = 1600, most: int = 2400) -> DataFrame:
+    """(query_id, profile text) and (query_id, episode lines) -> the block: the profile (an error if it is too long) and, in
+    <episodic_memory>, the first lines that fit what the profile leaves of the budget, at most `most` tokens."""
     p = profile.withColumn("pt", T.count_tokens(F.col("profile")))
     p = p.withColumn("profile", F.when(F.col("pt") > profile_most, F.raise_error(F.concat(F.lit("profile too long: "), F.col("pt").cast("string")))).otherwise(F.col("profile")))
-    room = F.greatest(F.lit(episodes_base), F.lit(most) - F.coalesce("pt", F.lit(0)) - profile_most + F.coalesce("pt", F.lit(0)))
+    room = F.least(F.greatest(F.lit(0), F.lit(budget) - F.coalesce("pt", F.lit(0))), F.lit(most))
     j = episodes.join(p, "query_id", "full")
-    kept = _prefix_that_fits(F.coalesce("lines", F.array().cast("array<string>")), F.least(room, F.lit(most) - F.coalesce("pt", F.lit(0))))
-    return j.select("query_id", F.concat_ws("\n", F.nullif(T.text_of(F.col("profile")), F.lit("")), F.nullif(F.array_join(kept, "\n"), F.lit(""))).alias("block"))
+    body = T.strip(F.array_join(_prefix_that_fits(F.coalesce("lines", F.array().cast("array<string>")), room), "\n"))
+    tagged = F.when(body != "", F.concat(F.lit("<episodic_memory>\n"), body, F.lit("\n</episodic_memory>")))
+    return j.select("query_id", F.concat_ws("\n\n", F.nullif(T.text_of(F.col("profile")), F.lit("")), tagged).alias("block"))
 
 
 def stitch_spans(anchors: DataFrame, messages: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
@@ -91,15 +92,19 @@ def merge_spans(spans: DataFrame, rounds: int = 20) -> DataFrame:
 
 
 def link_strength(windows: DataFrame) -> DataFrame:
-    """Pairs of a query's windows (window_id, conversation_id, created_at, entities, vector, gain) -> a, b, strength: 0.30 shared
-    entities, 0.30 cosine, 0.20 nearness in time, 0.15 query gain, 0.10 same session. A query has at most 10 windows."""
-    cols = ("window_id", "conversation_id", "created_at", "entities", "vector", "gain")
-    side = lambda s: windows.select("query_id", *(F.col(c).alias(f"{s}_{c}") for c in cols))
-    j = side("a").join(side("b"), "query_id").where("a_window_id < b_window_id")
-    days = F.abs(F.col("a_created_at") - F.col("b_created_at")) / 86400.0
-    shared = T.jaccard(F.col("a_entities"), F.col("b_entities"))
-    near = F.greatest(F.lit(0.05), 0.35 * F.exp(-days / 90)) + F.when((shared > 0) & (shared < 0.2), 0.15).otherwise(0.0)
-    strength = 0.3 * shared + 0.3 * T.cosine(F.col("a_vector"), F.col("b_vector")) + 0.2 * near + 0.15 * F.least("a_gain", "b_gain") + F.when(F.col("a_conversation_id") == F.col("b_conversation_id"), 0.1).otherwise(0.0)
+    """Ordered pairs of a query's windows (window_id, conversation_id, starts_at, ends_at, entities, terms, query_terms, vector)
+    -> a, b, strength of b as the continuation of a: 0.30 shared entities, 0.30 cosine, 0.20 nearness in time, 0.15 share
+    of the query's terms that b adds, 0.10 same session. Nearness falls from 0.35 to 0.05 with the days from a's end to b's
+    start; where b starts before that, it is 0.15 within three days, else 0. A query has at most 10 windows."""
+    cols = ("window_id", "conversation_id", "starts_at", "ends_at", "entities", "terms", "vector")
+    side = lambda s: windows.select("query_id", *(F.col(c).alias(f"{s}_{c}") for c in cols), F.col("query_terms").alias(f"{s}_query_terms"))
+    j = side("a").join(side("b"), "query_id").where("a_window_id <> b_window_id")
+    gap = (F.col("b_starts_at") - F.col("a_ends_at")).cast("double")
+    near = F.when(gap >= 0, F.greatest(F.lit(0.05), 0.35 * F.exp(-gap / 86400 / 90))).when(gap > -3 * 86400, 0.15).otherwise(0.0)
+    asked = F.array_distinct("b_query_terms")
+    gain = F.size(F.array_intersect(F.array_except("b_terms", "a_terms"), asked)) / F.greatest(F.lit(1), F.size(asked))
+    same = F.when(F.col("a_conversation_id") == F.col("b_conversation_id"), 0.1).otherwise(0.0)
+    strength = 0.3 * T.jaccard(F.col("a_entities"), F.col("b_entities")) + 0.3 * T.cosine(F.col("a_vector"), F.col("b_vector")) + 0.2 * near + 0.15 * gain + same
     return j.select("query_id", F.col("a_window_id").alias("a"), F.col("b_window_id").alias("b"), strength.alias("strength"))
 
 
@@ -119,7 +124,7 @@ def link_chains(windows: DataFrame, links: DataFrame, threshold: float = 0.22) -
             for q, w, edges in zip(df["query_id"], df["w"], df["e"]):
                 strength = {}
                 for x in edges if edges is not None else []:
-                    strength[x["a"], x["b"]] = strength[x["b"], x["a"]] = x["strength"]
+                    strength[x["a"], x["b"]] = x["strength"]
                 free = [x["window_id"] for x in sorted(w, key=lambda x: (-x["score"], x["window_id"]))]
                 chain = 0
                 while free:

@@ -287,7 +287,7 @@ _CHOICE = "coalesce(nullif(regexp_extract(upper({0}), '(?:^|[^A-Z])([A-E])(?:[^A
 
 @register("text_measures", f"""SELECT conv_id, turn, {_N} AS norm, md5({_K}) AS key_hash, len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')) AS n_cjk, len(regexp_extract_all(text, '[A-Za-z]')) AS n_ascii, {V.TOKENS_SQL.format('text')} AS tokens,
 greatest(1, CAST(floor(length(text) / 1.5) AS BIGINT)) AS tokens_evidence, CASE role WHEN 'user' THEN '[U]' WHEN 'assistant' THEN '[A]' ELSE role END || chr(10) || text AS searchable,
-CASE WHEN length({_S.replace('text', "replace(text, chr(10), ' ')")}) <= 40 THEN {_S.replace('text', "replace(text, chr(10), ' ')")} ELSE substr({_S.replace('text', "replace(text, chr(10), ' ')")}, 1, 40) || '…' END AS snippet,
+CASE WHEN length({_S.replace('text', "replace(text, chr(10), ' ')")}) <= 40 THEN {_S.replace('text', "replace(text, chr(10), ' ')")} ELSE substr({_S.replace('text', "replace(text, chr(10), ' ')")}, 1, 39) || '…' END AS snippet,
 replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS n_words, 'u_' || substr(sha256(CAST(conv_id AS VARCHAR)), 1, 8) AS user_hash,
 {_CHOICE.format(_S)} AS choice, strftime(make_timestamp((1700000000 + conv_id * 3600) * 1000000), '%Y-%m-%d') AS day FROM conversations""")
 def text_measures(spark, sf):
@@ -300,9 +300,10 @@ def text_measures(spark, sf):
 
 
 _GRAMS = "list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])"
+_TIGHT = f"regexp_replace({_S}, '\\s+', '', 'g')"
 
 
-@register("repetition_score", f"""SELECT doc_id, round(CASE WHEN length(t) = 0 THEN -1e9 ELSE least(length(t), 400) / 400.0 - 0.06 * least(len(regexp_extract_all(t, '[?？]')), 6) - 1.2 * least(CASE WHEN length(t) < 12 THEN 0 ELSE 1 - len(list_distinct({_GRAMS})) / len({_GRAMS}) END, 0.4) END, 9) AS score FROM (SELECT doc_id, {_S} AS t, string_split({_S}, '') AS c FROM documents)""")
+@register("repetition_score", f"""SELECT doc_id, round(CASE WHEN length(t) = 0 THEN -1e9 ELSE least(length(t), 400) / 400.0 - 0.06 * least(len(regexp_extract_all(t, '[?？]')), 6) - 1.2 * least(CASE WHEN len(c) < 12 THEN 0 ELSE 1 - len(list_distinct({_GRAMS})) / len({_GRAMS}) END, 0.4) END, 9) AS score FROM (SELECT doc_id, {_S} AS t, string_split({_TIGHT}, '') AS c FROM documents)""")
 def repetition_score(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.round(T.repetition_score(F.col("text")), 9).alias("score"))
 

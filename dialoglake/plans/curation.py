@@ -175,10 +175,20 @@ def generation_flags(spark, sf):
     return _generated(spark, sf).select("conv_id", "turn", F.array_join(P.generation_flags(F.col("reply"), F.col("assistant_text"), F.col("user_text")), ",").alias("flags"))
 
 
-@register("rejected_quality_flags", f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN {_S} = '' THEN 'empty' END, CASE WHEN contains(text, 'the ') THEN 'meta_trace' END, CASE WHEN regexp_matches(text, '</?[A-Za-z][^>]*>') THEN 'xml_tags' END, CASE WHEN contains(text, 'Copyright') THEN 'quote_meta' END, CASE WHEN {_S} <> '' AND length({_K}) < 20 THEN 'too_short' END], lambda x: x IS NOT NULL), ',') AS flags FROM documents""")
+def _flags_sql() -> str:
+    found = lambda patterns: " OR ".join("regexp_matches(t, '(?i)" + p.replace("'", "''") + "')" for p in patterns)
+    cjk, ascii_ = "len(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]'))", "len(regexp_extract_all(t, '[A-Za-z]'))"
+    flags = {
+        "missing_rejected": "text IS NULL", "empty_rejected": "text IS NOT NULL AND t = ''", "no_cjk": f"t <> '' AND {cjk} = 0", "englishy": f"{ascii_} >= 25 AND {cjk} < 10", "meta_trace": found(P.META_TRACE),
+        "xml_tags": found(P.TAGS), "quote_meta": f"contains(t, '\"') AND {ascii_} >= 10", "too_short": "t <> '' AND length(t) < 8",
+    }
+    cases = ", ".join(f"CASE WHEN {condition} THEN '{flag}' END" for flag, condition in flags.items())
+    return f"SELECT doc_id, array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',') AS flags FROM (SELECT doc_id, text, coalesce({_S}, '') AS t FROM documents)"
+
+
+@register("rejected_quality_flags", _flags_sql())
 def rejected_quality_flags(spark, sf):
-    f = P.rejected_quality_flags(F.col("text"), False, ["the "], ["Copyright"], 20)
-    return V.table(spark, sf, "documents").select("doc_id", F.array_join(f, ",").alias("flags"))
+    return V.table(spark, sf, "documents").select("doc_id", F.array_join(P.rejected_quality_flags(F.col("text")), ",").alias("flags"))
 
 
 @register("judge_pairs", f"""WITH {_ADJ} SELECT conv_id || ':' || turn AS id, CASE WHEN turn % 3 = 0 THEN user_text WHEN turn % 3 = 1 THEN assistant_text ELSE user_text END AS chosen, CASE WHEN turn % 3 = 1 THEN user_text ELSE assistant_text END AS rejected, CASE turn % 3 WHEN 2 THEN 'retry' ELSE 'judge' END AS decided_by FROM adj""")

@@ -44,7 +44,8 @@ msgs AS (
     WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )"""
 
-TOKENS_SQL = "CASE WHEN length({0}) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length({0}) / 3.0) AS BIGINT)) END"
+_CJK_SQL = "len(regexp_extract_all({0}, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]'))"
+TOKENS_SQL = f"CASE WHEN length({{0}}) = 0 THEN 0 ELSE greatest(1, {_CJK_SQL} + CAST(ceil((length({{0}}) - {_CJK_SQL}) / 3.0) AS BIGINT)) END"
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
