@@ -51,17 +51,17 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _lower(text: Column) -> Column:
-    """The text with A-Z in lower case, and no other character changed."""
-    return F.translate(text, _UPPER, _UPPER.lower())
+    """Lower case, for comparing with words of ASCII letters. Of the letters beyond ASCII, two have ASCII in their lower
+    case (the Kelvin sign and the dotted capital I); they become other letters first, so that only A-Z do."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131")))
 
 
 def _spaced(text: Column) -> Column:
-    """Words of a-z, 0-9 and beyond ASCII, each with a blank of its own on either side."""
-    trimmed = F.trim(F.regexp_replace(_lower(text), _GAP, " "))
+    """Words of a-z, 0-9 and beyond ASCII of a lower-case text, each with a blank of its own on either side."""
+    trimmed = F.trim(F.regexp_replace(text, _GAP, " "))
     return F.when(trimmed == "", "").otherwise(F.concat(F.lit(" "), F.replace(trimmed, F.lit(" "), F.lit("  ")), F.lit(" ")))
 
 
@@ -91,7 +91,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     need = {t: ceil(round(threshold * len(w), 9)) for t, w in words.items()}
     vocabulary = F.array(*(F.lit(w) for w in sorted({w for ws in words.values() for w in ws})))
     least = min(need.values())
-    split = lambda x: F.split(F.regexp_replace(_lower(x), _GAP, " "), " ")
+    split = lambda x: F.split(F.regexp_replace(x, _GAP, " "), " ")
     blocks = F.transform(F.split("text", "\n"), lambda line: F.struct(F.array_intersect(vocabulary, split(line)).alias("words"), F.lit(None).cast("array<string>").alias("run")))
     if wrapped:
         # Windows of twice the length at every length: whatever is as long lies in one of them.
@@ -103,7 +103,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
         window = lambda w, k: F.struct(F.array_intersect(vocabulary, part(w, k)).alias("words"), part(w, k).alias("run"))
         blocks = F.concat(blocks, F.flatten(F.transform(F.transform(lines, masked), lambda w: F.transform(starts(w), lambda k: window(w, k)))))
     blocks = F.filter(blocks, lambda b: F.size(b["words"]) >= least)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
     rows = rows.select("doc_id", "text", _spaced(F.col("text")).alias("spaced"))
     found = {p: _places(p) for p in phrases}
     base = freeze(

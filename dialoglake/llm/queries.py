@@ -91,7 +91,7 @@ def _op10_sql() -> str:
     """Brute force: every line against every template."""
     templates = ", ".join(f"('{label}', {licenses._template_words(t)!r})" for t, label in licenses.TEMPLATES.items())
     phrases = ", ".join(f"('{label}', '{p}', {p.split()!r})" for p, label in licenses.PHRASES.items())
-    lower = f"translate(coalesce(text, ''), '{licenses._UPPER}', '{licenses._UPPER.lower()}')"
+    lower = f"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
 WITH t(label, words) AS (VALUES {templates}),

@@ -59,3 +59,11 @@ def test_wrapped_notices(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.labels, r.score) for r in queries.op10_license_scans(spark, str(tmp_path)).collect()}
     assert got == {0: ("gpl", 1.0), 1: ("bsd", 1.0), 2: ("mpl-2", 1.0), 3: ("gpl", 1.0), 4: ("gpl", 1.0), 5: ("mpl-2", 1.0), 6: ("", 0.0), 7: ("", 0.0)}
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    rows = [(1, "Under The MIT License"), (2, "under the m\u0130t license"), (3, "released under the mit lin\u212a"), (4, "\u212a\u0130 \u00c9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan_licenses(docs, phrases={"lin k": "x", "link": "y", "under the mit license": "mit", "k i": "z"}).collect()}
+    assert got[1].base_labels == "mit" and not any(got[i].base_labels for i in (2, 3, 4))
+    assert [got[i].n_words for i in (1, 2, 3, 4)] == [4, 4, 5, 2]
