@@ -103,3 +103,59 @@ def test_resample_repeats_rows_of_any_id(spark):
     got = M.resample(docs, labelled, {"good": 1.0}, anchor="good", anchor_rate=2.0)
     assert got.columns == docs.columns and got.count() == 2 * len(rows)
     assert M.resample(docs.limit(0), labelled, {"good": 1.0}, anchor="good").collect() == []
+
+
+def test_calibration_against_plain_gradient_descent(spark):
+    from math import asinh, exp, log
+
+    rng = random.Random(11)
+    rows = []
+    for _ in range(300):
+        k = rng.choice((0, 0, 1))
+        rows.append(("ab"[k], *(sinh_tenth(rng, 1.0 if i == k else -0.5) for i in range(2))))
+    prior = [log(2 / 3), log(1 / 3)]
+    got = M.calibrate(spark.createDataFrame(rows, "domain string, s0 double, s1 double"), ["a", "b"], prior)
+    x = [(asinh(a), asinh(b), 1.0) for _, a, b in rows]
+    start = [[1.0, 0.0, prior[0]], [0.0, 1.0, prior[1]]]
+    theta = [list(r) for r in start]
+    for _ in range(3000):
+        slope = [[0.1 * (theta[k][j] - start[k][j]) for j in range(3)] for k in range(2)]
+        for (d, *_), v in zip(rows, x):
+            z = [sum(t * u for t, u in zip(theta[k], v)) for k in range(2)]
+            p1 = 1 / (1 + exp(z[0] - z[1]))
+            for k, p in enumerate((1 - p1, p1)):
+                for j in range(3):
+                    slope[k][j] += (p - (d == "ab"[k])) * v[j]
+        theta = [[theta[k][j] - 0.004 * slope[k][j] for j in range(3)] for k in range(2)]
+    assert all(abs(got[k][j] - theta[k][j]) < 1e-3 for k in range(2) for j in range(3))
+    assert M.calibrate(spark.createDataFrame([], "domain string, s0 double, s1 double"), ["a", "b"], prior) == start
+
+
+def sinh_tenth(rng, centre):
+    """A score whose asinh is a whole number of tenths, so that nothing is rounded away."""
+    from math import sinh
+
+    return sinh(round(rng.gauss(centre, 1.0), 1))
+
+
+def test_posteriors_hold_on_rows_set_apart(spark):
+    """Words of a language go together: one language is a little commoner among bad documents, none of it is evidence."""
+    rng = random.Random(13)
+    rows, labels = [], []
+    for i in range(3000):
+        bad = rng.random() < 0.2
+        tongue = "x" if rng.random() < (0.5 if bad else 0.35) else "y"
+        words = [f"{tongue}{rng.randint(0, 120)}" for _ in range(80)] + ["awful", "nasty"] * bad
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, "bad" if bad else "good"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table, prior, calibration = M.learn(docs, spark.createDataFrame(labels[:2000], "doc_id long, domain string"), ["good", "bad"])
+    got = {r.doc_id: r.p1 for r in M.posteriors(docs, table, prior, calibration=calibration).collect()}
+    assert len(got) == len(rows)
+    good = [got[i] for i, d in labels[2000:] if d == "good"]
+    bad = [got[i] for i, d in labels[2000:] if d == "bad"]
+    assert max(good) < 0.1 and min(bad) > 0.9
+    rated = M.mix(docs, spark.createDataFrame(labels[:2000], "doc_id long, domain string"), {"good": 0.97, "bad": 0.03}, anchor="good", anchor_rate=1.02).collect()
+    kept = [r.copies > 0 for r in rated if labels[r.doc_id][1] == "good"]
+    assert sum(kept) > 0.99 * len(kept) and rated[0].miss < 1e-3
