@@ -263,19 +263,23 @@ def _grouped(rows: DataFrame, group: DataFrame) -> DataFrame:
 def _apart_still(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes of different components, in rest (node, component), among which are all of at least the
     similarity. An exact prefix filter: with shingles ordered by how many of these texts have them, rarest first, two
-    sets x of the similarity s share one of the first |x| - ceil(s |x|) + 1 of both. A shingle that a large component
-    has meets only the texts outside it, so no component's members are paired with each other."""
+    sets x of the similarity s share one of the first |x| - ceil(s |x|) + 1 of both. What both sets have left after the
+    first shingle they share must suffice for the similarity (positional filter): texts with many shingles of their own
+    meet none of a group that they just miss. A shingle that a large component has meets only the texts outside it, so
+    no component's members are paired with each other."""
     size = F.size("shingles")
     tokens = freeze(sets.join(rest, "node").select("node", "component", size.alias("size"), F.explode("shingles").alias("token")), "near-copy-tokens")
     held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
     first = tokens.join(held, "token").withColumn("place", place).where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1) & (F.col("df") > 1))
-    first = freeze(first.select("token", "node", "component", "size"), "near-copy-prefixes")
+    first = freeze(first.select("token", "node", "component", "size", "place"), "near-copy-prefixes")
     by = first.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("components"))
     met = freeze(first.join(by.where("components > 1").select("token", F.col("most.component").alias("major")), "token"), "near-copy-met")
-    minor = met.where("component <> major").select("token", F.col("node").alias("other"), F.col("component").alias("its"), F.col("size").alias("its_size"))
+    minor = met.where("component <> major").select("token", F.col("node").alias("other"), F.col("component").alias("its"), F.col("size").alias("its_size"), F.col("place").alias("its_place"))
     fits = (F.col("size") >= F.col("its_size") * similarity - 1e-9) & (F.col("its_size") >= F.col("size") * similarity - 1e-9)
-    pairs = met.join(minor, "token").where((F.col("component") != F.col("its")) & fits).select(*_ordered("node", "other")).distinct()
+    at_most = 1 + F.least(F.col("size") - F.col("place"), F.col("its_size") - F.col("its_place"))
+    enough = at_most >= (F.col("size") + F.col("its_size")) * (similarity / (1 + similarity)) - 1e-6
+    pairs = met.join(minor, "token").where((F.col("component") != F.col("its")) & fits & enough).select(*_ordered("node", "other")).distinct()
     return freeze(pairs, "near-copy-apart")
 
 
