@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoglake.llm import fingerprints, language_id, licenses, mixing, packing, quality_rules, simhash_neardup, substring_dedup, toxicity, warc
+from dialoglake.llm import attention_quality, fingerprints, language_id, licenses, mixing, packing, quality_rules, simhash_neardup, spelling, substring_dedup, toxicity, warc, whitening
 from dialoglake.llm.common import freeze, read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,9 +61,23 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"), wrapped=True)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return attention_quality.score(docs, attention_quality.fit(docs, read(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), most=32)
+
+
 _ALL = (
     op1_best_fit_packing, op2_simhash_near_dedup, op3_document_fingerprints, op4_quality_rules, op5_substring_dedup,
     op6_toxicity, op7_source_mixing, op8_warc, op9_language_id, op10_license_scans,
+    op11_quality_classifier, op12_spelling_variants, op13_embedding_whitening,
 )
 
 
