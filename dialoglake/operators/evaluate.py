@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +42,28 @@ def sentence_metrics(rows: DataFrame, epsilon: float = 0.1) -> DataFrame:
     return out.select("id", *(bleu(k).alias(f"bleu_{k}") for k in range(1, 5)), *(f(zero(f"hit{n}"), zero(f"n_p{n}"), zero(f"n_r{n}")).alias(f"rouge_{n}") for n in (1, 2)), f(lcs, F.col("len_p"), F.col("len_r")).alias("rouge_l"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, a row of the table at a time."""
-    zero = F.transform(b, lambda _: F.lit(0))
+def lcs(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of the longest common subsequence, all of a row at once: bit i of `row` is 0 where the row of the table rises
+    at i, and a token of b turns the row into the next by one addition on whole numbers as long as a."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for y in b:
+        hit = row & at.get(y, 0)
+        row = (row + hit | row - hit) & every
+    return len(a) - row.bit_count()
 
-    def row(prev: Column, x: Column) -> Column:
-        def cell(acc: Column, z: Column) -> Column:
-            best = F.when(z["y"] == x, z["diag"] + 1).otherwise(F.greatest(acc["last"], z["up"]))
-            return F.struct(best.alias("last"), F.concat(acc["out"], F.array(best)).alias("out"))
 
-        diag = F.concat(F.array(F.lit(0)), F.slice(prev, F.lit(1), F.greatest(F.size(prev) - 1, F.lit(0))))
-        z = F.arrays_zip(b.alias("y"), prev.alias("up"), diag.alias("diag"))
-        named = F.transform(z, lambda t: F.struct(t["y"].alias("y"), t["up"].alias("up"), t["diag"].alias("diag")))
-        return F.aggregate(named, F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out")), cell, lambda acc: acc["out"])
+def lcs_length(a: Column, b: Column) -> Column:
+    """lcs of two token arrays; 0 where one is null."""
+
+    @F.pandas_udf("int")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([lcs(p, q) if p is not None and q is not None else 0 for p, q in zip(x, y)], dtype="int32")
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, row), -1))
+    return of(a, b)
 
 
 def metrics_from_predictions(sentences: DataFrame, by: list[str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,16 +59,139 @@ def filter_ops(ops: DataFrame, profiles: DataFrame, most: int = 3, **limits) ->
     return one.select("message_id", "user_id", "o.op_no", "o.op", "o.target_id", "o.content")
 
 
-def apply_ops(profiles: DataFrame, ops: DataFrame, messages: DataFrame, most_items: int = 20, most_tokens: int = 640) -> DataFrame:
-    """profiles (id, user_id, content, status, created_at) after one message's operations per user: those whose source isn't a
-    live user message of the user are left out; deletes, updates and adds; then the limits."""
-    live = messages.where("role = 'user' and not is_deleted").select("user_id", "message_id", F.col("created_at").alias("at"))
-    o = ops.join(live, ["user_id", "message_id"])
-    last = o.where("op <> 'add'").groupBy("user_id", F.col("target_id").alias("id")).agg(F.max_by(F.struct("op", F.col("content").alias("new"), "at"), F.struct("message_id", "op_no")).alias("x"))
-    kept = profiles.join(last, ["user_id", "id"], "left")
-    changed = kept.select("id", "user_id", F.when(F.col("x.op") == "update", T.norm_profile(F.col("x.new"))).otherwise(F.col("content")).alias("content"), F.when(F.col("x.op") == "delete", "deleted").otherwise(F.col("status")).alias("status"), F.when(F.col("x.op") == "update", F.col("x.at")).otherwise(F.col("created_at")).alias("created_at"))
-    new = o.where("op = 'add'").select((F.col("message_id") * 10 + F.col("op_no")).alias("id"), "user_id", T.norm_profile(F.col("content")).alias("content"), F.lit("active").alias("status"), F.col("at").alias("created_at"))
-    return enforce_limits(changed.unionByName(new), most_items, most_tokens)
+_CJK = re.compile("[\u3400-\u4dbf\u4e00-\u9fff]")
+
+
+def _tokens(text: str) -> int:
+    cjk = len(_CJK.findall(text))
+    return max(1, cjk + -(-(len(text) - cjk) // 3)) if text else 0
+
+
+def _normal(text: str | None) -> str:
+    out = " ".join((text or "").split())
+    return out if not out or out[-1] in "。！？.!?" else out + "。"
+
+
+class _Replay:
+    """Active profiles of one user, {id: (created_at, content)}, through messages in order."""
+
+    def __init__(self, most_items: int, most_tokens: int, most_ops: int, most_chars: int, item_tokens: int):
+        self.limits = most_items, most_tokens
+        self.of_op = most_ops, most_chars, item_tokens
+        self.active: dict[int, tuple[int, str]] = {}
+
+    def accepted(self, ops: list[dict]) -> list[tuple]:
+        """(op_no, op, target, content) of those that hold, one after another, against what is active before the message."""
+        most_ops, most_chars, item_tokens = self.of_op
+        have = {_normal(c) for _, c in self.active.values()}
+        out, touched, new = [], set(), set()
+        for o in sorted(ops, key=lambda o: o["op_no"])[: max(1, most_ops)]:
+            op, target, raw = o["op"], o["target_id"], (o["content"] or "").strip()
+            if op not in ("add", "update", "delete") or (op == "add") != (target is None) or (op == "delete") != (raw == ""):
+                continue
+            if op != "add" and (target not in self.active or target in touched):
+                continue
+            content = _normal(raw)
+            if op != "delete" and (len(raw) > most_chars or _tokens(raw) > item_tokens or content in have or content in new):
+                continue
+            if op != "delete":
+                new.add(content)
+            touched.add(target)
+            out.append((o["op_no"], op, target, content))
+        return out
+
+    def apply(self, message_id: int, at: int, ops: list[dict]) -> list[tuple]:
+        """Deletes, then updates, then adds, then the limits: rows (id, content, created_at, why) of what went."""
+        good, gone = self.accepted(ops), []
+        for _, op, target, _ in good:
+            if op == "delete":
+                created, content = self.active.pop(target)
+                gone.append((target, content, created, "deleted"))
+        for _, op, target, content in good:
+            if op == "update":
+                self.active[target] = (self.active[target][0], content)
+        for no, op, _, content in good:
+            if op == "add":
+                self.active[message_id * 10 + no] = (at, content)
+        return gone + self.pruned()
+
+    def pruned(self) -> list[tuple]:
+        gone = []
+        order = sorted(self.active, key=lambda i: (self.active[i][0], i))
+        block = "\n".join(f"- {self.active[i][1]}" for i in order)
+        while order and (len(order) > self.limits[0] or _tokens(block) > self.limits[1]):
+            first = order.pop(0)
+            created, content = self.active.pop(first)
+            gone.append((first, content, created, "pruned"))
+            block = block.partition("\n")[2]
+        return gone
+
+
+def apply_ops(profiles: DataFrame, ops: DataFrame, messages: DataFrame, ledger: DataFrame | None = None, most_items: int = 20, most_tokens: int = 640, most_ops: int = 3, most_chars: int = 64, item_tokens: int = 48) -> DataFrame:
+    """profiles (id, user_id, content, status, created_at) after the proposed operations (user_id, message_id, op_no, op,
+    target_id, content) of all messages, each user's in order of message_id: id, user_id, content, status, created_at, why
+    (deleted or pruned by this run, else null).
+
+    Every message sees what those before it left: its first most_ops operations are checked against the facts active then,
+    deletes come before updates before adds, and the limits hold again after it. An update keeps the time of creation. A
+    message that is no live user message of the user changes nothing. A message in the ledger (user_id, message_id,
+    content_hash) has been handled in this form: its operations are skipped, the limits are enforced all the same, so a
+    batch that runs twice changes nothing; new_ledger_rows gives what to add to the ledger.
+
+    The order of one user's messages can't be split, so a user is one stream: rows come sorted and only the active facts,
+    which the limits bound, are held. Users are spread over tasks."""
+    kind = F.struct(F.lit(0).alias("step"), F.col("id").alias("at"))
+    none = F.lit(None).cast("array<struct<op_no: int, op: string, target_id: long, content: string>>")
+    was = profiles.where("status = 'active'").select("user_id", kind.alias("place"), F.col("id").cast("long").alias("id"), "content", F.col("created_at").cast("long").alias("created_at"), none.alias("ops"))
+    live = messages.where("role = 'user' and not is_deleted").select("user_id", "message_id", F.col("created_at").cast("long").alias("created_at"), F.sha2("content", 256).alias("content_hash"))
+    if ledger is not None:
+        done = ledger.select("user_id", "message_id", "content_hash", F.lit(True).alias("done")).distinct()
+        live = live.join(done, ["user_id", "message_id", "content_hash"], "left")
+    else:
+        live = live.withColumn("done", F.lit(None).cast("boolean"))
+    # A message has few operations; only the first most_ops of them count.
+    w = Window.partitionBy("user_id", "message_id").orderBy("op_no")
+    few = ops.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max(1, most_ops))
+    grouped = few.groupBy("user_id", "message_id").agg(F.collect_list(F.struct(F.col("op_no").cast("int").alias("op_no"), "op", F.col("target_id").cast("long").alias("target_id"), "content")).alias("ops"))
+    events = live.join(grouped, ["user_id", "message_id"], "left")
+    come = events.select("user_id", F.struct(F.lit(1).alias("step"), F.col("message_id").alias("at")).alias("place"), F.col("message_id").cast("long").alias("id"), F.lit(None).cast("string").alias("content"), "created_at", F.when(F.col("done").isNull(), F.col("ops")).alias("ops"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "user_id", "content", "status", "created_at", "why"]
+        user, state, out = None, None, []
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+        def left() -> list[tuple]:
+            return [(i, user, c, "active", at, None) for i, (at, c) in state.active.items()] if state else []
+
+        for b in batches:
+            for u, step, i, content, at, todo in zip(*(c.to_pylist() for c in b.columns)):
+                if state is None or u != user:
+                    out += left()
+                    user, state = u, _Replay(most_items, most_tokens, most_ops, most_chars, item_tokens)
+                if step == 0:
+                    state.active[i] = (at, content)
+                else:
+                    out += [(g, u, c, "deleted", created, why) for g, c, created, why in state.apply(i, at, todo or [])]
+            if len(out) > 10_000:
+                yield batch(out)
+                out = []
+        out += left()
+        if out:
+            yield batch(out)
+
+    stream = was.unionByName(come).repartition("user_id").sortWithinPartitions("user_id", "place").select(F.col("user_id").cast("long"), F.col("place.step").alias("step"), "id", "content", "created_at", "ops")
+    after = stream.mapInArrow(run, "id long, user_id long, content string, status string, created_at long, why string")
+    rest = profiles.where("status <> 'active' or status is null").select("id", "user_id", "content", "status", "created_at", F.lit(None).cast("string").alias("why"))
+    return after.unionByName(rest)
+
+
+def new_ledger_rows(messages: DataFrame, ledger: DataFrame) -> DataFrame:
+    """What to add to the ledger after a batch: live user messages not handled in this form yet."""
+    return maintenance_due(messages.where("role = 'user' and not is_deleted"), ledger)
 
 
 def enforce_limits(profiles: DataFrame, most_items: int = 20, most_tokens: int = 640) -> DataFrame:

@@ -6,6 +6,8 @@ statistics are computed once per user and scope. Ties go to the smaller unit_id.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,16 +60,51 @@ def bm25_topk(queries: DataFrame, units: DataFrame, k: int = 50, k1: float = 1.5
     return _top(scores, "bm25", k, "lexical_rank")
 
 
-def dense_topk(query_vectors: DataFrame, unit_vectors: DataFrame, k: int = 50) -> DataFrame:
+def dense_topk(query_vectors: DataFrame, unit_vectors: DataFrame, k: int = 50, unit_block: int = 20_000, query_block: int = 2_000) -> DataFrame:
     """query_id, unit_id, cosine, semantic_rank: the k most similar units of the query's user, similarity above 0; vectors of
-    another length don't count. Norms are taken once per vector, so a pair costs one dot product."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    q = query_vectors.select("query_id", "user_id", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
-    u = unit_vectors.select("unit_id", "user_id", F.col("vector").alias("uv"), norm(F.col("vector")).alias("un"))
-    dot = F.aggregate(F.zip_with("qv", "uv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    j = q.join(u, "user_id").where((F.size("qv") == F.size("uv")) & (F.col("qn") > 0) & (F.col("un") > 0))
-    scores = j.select("query_id", "unit_id", (dot / (F.col("qn") * F.col("un"))).alias("cosine")).where("cosine > 0")
-    return _top(scores, "cosine", k, "semantic_rank")
+    another length don't count, nor do those of norm 0 or with null entries.
+
+    A user's units are dealt into blocks of about unit_block, the user's queries into blocks of about query_block, by hash; each pair
+    of blocks is one matrix product in one task, which hands on its k best for each query. A user with a million units
+    is spread over tasks like many users, and no row per pair of vectors is made."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    side = lambda df, name: df.select(F.col(name).alias("row"), "user_id", F.col("vector").cast("array<double>").alias("v")).where(norm > 0)
+    q, u = side(query_vectors, "query_id"), side(unit_vectors, "unit_id")
+    blocks = lambda df, size, name: df.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    # Only users who ask; how many blocks each side of a user has goes to both sides.
+    plan = blocks(q, query_block, "q_blocks").join(blocks(u, unit_block, "u_blocks"), "user_id")
+    place = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["user_id", "dims", "q_block", "u_block"]
+    qs = q.join(plan, "user_id").select("row", "v", "user_id", F.size("v").alias("dims"), place("q_blocks").alias("q_block"), every("u_blocks").alias("u_block"))
+    us = u.join(plan, "user_id").select("row", "v", "user_id", F.size("v").alias("dims"), every("q_blocks").alias("q_block"), place("u_blocks").alias("u_block"))
+
+    def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        v = t.column("v").combine_chunks()
+        m = v.flatten().to_numpy().reshape(len(v), -1)
+        return t.column(0).to_numpy(), m / np.sqrt((m * m).sum(1, keepdims=True))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            (ids, a), (units, b) = unit(left), unit(right)
+            order = np.argsort(units, kind="stable")
+            units, b = units[order], b[order]
+            for at in range(0, len(ids), 256):
+                cosine = a[at : at + 256] @ b.T
+                for i, row in zip(ids[at : at + 256], cosine):
+                    near = np.round(row, 9)
+                    # All that tie with the k-th, so that the smaller id can win.
+                    held = np.flatnonzero((near >= np.partition(near, -k)[-k]) & (row > 0)) if len(row) > k else np.flatnonzero(row > 0)
+                    held = held[np.argsort(-near[held], kind="stable")[:k]]
+                    out.append((np.full(len(held), i), units[held], row[held]))
+        columns = zip(*out) if out else ([], [], [])
+        return pa.table([pa.array(np.concatenate(c) if len(c) else [], kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "unit_id", "cosine"])
+
+    # Both sides come from the same plan: new names for one keep their columns apart.
+    us = us.toDF("unit", "v", *(f"u_{c}" for c in us.columns[2:]))
+    met = qs.groupBy(*key).cogroup(us.groupBy(*(f"u_{c}" for c in key))).applyInArrow(best, "query_id long, unit_id long, cosine double")
+    return _top(met, "cosine", k, "semantic_rank")
 
 
 def rrf_fuse(lexical: DataFrame, semantic: DataFrame, k: int = 60, top: int = 40) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialoglake.functions import text as T
-from dialoglake.storage import stored
 
 
 def _prefix_that_fits(items: Column, room: Column) -> Column:
@@ -22,31 +21,14 @@ def _prefix_that_fits(items: Column, room: Column) -> Column:
     return F.aggregate(items, start, step, lambda a: a["out"])
 
 
-def _tokens(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s + T.count_tokens(x))
-
-
-def trim_fragment(df: DataFrame, budget: int = 520, reply_cut: int = 220) -> DataFrame:
-    """(.., core, reply, earlier, later: nearest first) cut to the budget: later texts go first, from the far end, then
-    earlier ones, then the reply is cut to reply_cut tokens, then dropped, then the core is cut to max(32, budget / 2).
-    Every step is one cut, so it always ends."""
-    core, reply = T.text_of(F.col("core")), T.text_of(F.col("reply"))
-    fixed = T.count_tokens(core) + T.count_tokens(reply)
-    earlier = _prefix_that_fits(F.col("earlier"), F.lit(budget) - fixed)
-    later = _prefix_that_fits(F.col("later"), F.lit(budget) - fixed - _tokens(earlier))
-    short = T.truncate_by_tokens(F.col("reply"), reply_cut)
-    fits = fixed <= budget
-    fits_short = T.count_tokens(core) + T.count_tokens(short) <= budget
-    new_reply = F.when(fits, reply).when(fits_short, short).otherwise("")
-    new_core = F.when(T.count_tokens(core) > budget, T.truncate_by_tokens(F.col("core"), max(32, budget // 2))).otherwise(core)
-    none = F.array().cast("array<string>")
-    return df.withColumns({"earlier": F.when(fits, earlier).otherwise(none), "later": F.when(fits, later).otherwise(none), "reply": new_reply, "core": new_core})
-
-
 def render_fragments(fragments: DataFrame) -> DataFrame:
-    """Per query: fragments in order of time, numbered, escaped, without ids and scores: query_id, n, rendered."""
-    part = F.array_join(F.concat(F.reverse("earlier"), F.array("core"), F.array_compact(F.array(F.when(F.col("reply") != "", F.col("reply")))), F.col("later")), "\n")
-    g = fragments.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "message_id", T.html_escape(part).alias("body"), T.date_label(F.col("created_at")).alias("day")))).alias("x"))
+    """Per query: fragments (of fragments.trim_fragments) in order of time, numbered, escaped, without ids and scores; … where a
+    segment's message goes on before or after it: query_id, n, rendered."""
+    texts = lambda c: F.transform(c, lambda x: x["content"])
+    some = lambda when, text: F.when(when, F.array(text)).otherwise(F.array().cast("array<string>"))
+    dots = F.lit("…")
+    parts = F.concat(some(F.col("reply") != "", F.col("reply")), some(F.col("omitted_before"), dots), texts("earlier"), texts("core"), texts("later"), some(F.col("omitted_after"), dots))
+    g = fragments.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "message_id", T.html_escape(F.array_join(parts, "\n")).alias("body"), T.date_label(F.col("created_at")).alias("day")))).alias("x"))
     lines = F.transform("x", lambda f, i: F.concat(F.lit('<memory index="'), (i + 1).cast("string"), F.lit('" date="'), f["day"], F.lit('">\n'), f["body"], F.lit("\n</memory>")))
     return g.select("query_id", F.size("x").cast("long").alias("n"), F.array_join(lines, "\n").alias("rendered"))
 
@@ -76,19 +58,57 @@ def stitch_spans(anchors: DataFrame, messages: DataFrame, before: int = 2, after
     return own.unionByName(near).withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "anchor_id", "message_id", "kind")
 
 
-def merge_spans(spans: DataFrame, rounds: int = 20) -> DataFrame:
-    """Spans (query_id, span_id, conversation_id, position) that share a position of a conversation become one: query_id,
-    span_id, component (its smallest span id). Labels travel along shared positions; a query has few spans, so a few rounds
-    settle it."""
-    s = stored(spans.select("query_id", "span_id", "conversation_id", "position").distinct(), "spans")
-    label = s.select("query_id", "span_id").distinct().withColumn("component", F.col("span_id"))
-    for _ in range(rounds):
-        low = s.join(label, ["query_id", "span_id"]).withColumn("m", F.min("component").over(Window.partitionBy("query_id", "conversation_id", "position")))
-        new = stored(low.groupBy("query_id", "span_id").agg(F.min("m").alias("component")), "span-labels")
-        if new.join(label, ["query_id", "span_id", "component"], "left_anti").isEmpty():
-            return new
-        label = new
-    raise RuntimeError("spans did not settle")
+def span_components(spans: DataFrame) -> DataFrame:
+    """Spans (query_id, conversation_id, span_id, position) that share a position of a conversation, also by way of
+    others, are one component: query_id, conversation_id, span_id, component (its smallest span id).
+
+    One shuffle and one fold for each query and conversation, whose spans are few (those retrieved for the query): each
+    span joins all components so far that it shares a position with, so chains of any length need no further round."""
+    each = spans.groupBy("query_id", "conversation_id", "span_id").agg(F.collect_set("position").alias("positions"))
+    g = each.groupBy("query_id", "conversation_id").agg(F.array_sort(F.collect_list(F.struct("span_id", "positions"))).alias("x"))
+    kind = {f: each.schema[f].dataType.simpleString() for f in ("span_id", "positions")}
+    none = F.array().cast(f"array<struct<positions: {kind['positions']}, spans: array<{kind['span_id']}>>>")
+
+    def step(acc: Column, v: Column) -> Column:
+        met = F.filter(acc, lambda c: F.arrays_overlap(c["positions"], v["positions"]))
+        one = F.struct(
+            F.array_distinct(F.concat(F.flatten(F.transform(met, lambda c: c["positions"])), v["positions"])).alias("positions"), F.concat(F.flatten(F.transform(met, lambda c: c["spans"])), F.array(v["span_id"])).alias("spans")
+        )
+        return F.array_append(F.filter(acc, lambda c: ~F.arrays_overlap(c["positions"], v["positions"])), one)
+
+    found = g.select("query_id", "conversation_id", F.explode(F.aggregate("x", none, step)).alias("c"))
+    return found.select("query_id", "conversation_id", F.explode("c.spans").alias("span_id"), F.array_min("c.spans").alias("component"))
+
+
+def merge_spans(spans: DataFrame, turns: DataFrame, most: int = 8) -> DataFrame:
+    """spans (query_id, span_id, conversation_id, fused, rerank, queries: array) and turns (query_id, span_id, position,
+    message_id, is_anchor, matched) -> one row per component: query_id, conversation_id, bundle_id, anchor_ids, messages
+    (position, message_id, is_anchor, matched; in order), fused, rerank, queries.
+
+    Scores are the highest of the component, queries those of its spans without repeats, best span first. A message is
+    an anchor if it is one in any span; its matched text is that of its best span as an anchor, else of its best span with
+    one. Anchors always stay; of the others the nearest to the anchors' mean position fill up to `most` messages (ties:
+    the earlier position). Without an anchor that is the middle message's position and no ids are given."""
+    rows = turns.join(spans, ["query_id", "span_id"])
+    comp = span_components(rows).drop("conversation_id")
+    rows = rows.join(comp, ["query_id", "span_id"])
+    key = ["query_id", "conversation_id", "component"]
+    rank = F.struct(-F.coalesce("rerank", F.lit(0.0)), -F.coalesce("fused", F.lit(0.0)), F.col("span_id"))
+    text = F.nullif(F.coalesce("matched", F.lit("")), F.lit(""))
+    one = rows.groupBy(*key, "message_id").agg(
+        F.min("position").alias("position"), F.bool_or("is_anchor").alias("is_anchor"), F.min_by(text, F.when(text.isNotNull() & F.col("is_anchor"), rank)).alias("own"), F.min_by(text, F.when(text.isNotNull(), rank)).alias("other")
+    )
+    m = one.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("position", "message_id", "is_anchor", F.coalesce("own", "other").alias("matched")))).alias("m"))
+    heads = spans.join(comp, ["query_id", "span_id"]).groupBy(*key).agg(F.max(F.coalesce("fused", F.lit(0.0))).alias("fused"), F.max(F.coalesce("rerank", F.lit(0.0))).alias("rerank"), F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.coalesce("queries", F.array().cast("array<string>")).alias("q")))).alias("q"))
+    j = m.join(heads, key).withColumn("anchors", F.filter("m", lambda x: x["is_anchor"])).withColumn("rest", F.filter("m", lambda x: ~x["is_anchor"]))
+    mean = F.aggregate("anchors", F.lit(0.0), lambda s, x: s + x["position"]) / F.size("anchors")
+    centre = F.when(F.size("anchors") > 0, mean).otherwise(F.get("m", F.floor(F.size("m") / 2).cast("int"))["position"].cast("double"))
+    j = j.withColumn("centre", centre).withColumn("room", F.greatest(F.lit(0), most - F.size("anchors")))
+    nearest = F.array_sort(F.transform("rest", lambda x: F.struct(F.abs(x["position"] - F.col("centre")).alias("far"), x.alias("x"))))
+    kept = F.when(F.size("m") <= most, F.col("m")).otherwise(F.array_sort(F.concat("anchors", F.transform(F.slice(nearest, F.lit(1), F.col("room")), lambda x: x["x"]))))
+    ids = F.array_sort(F.transform("anchors", lambda x: x["message_id"]))
+    bundle = F.concat(F.lit("c"), F.col("conversation_id").cast("string"), F.lit("-"), F.array_join(F.slice(ids, 1, 4), "-"))
+    return j.select("query_id", "conversation_id", bundle.alias("bundle_id"), ids.alias("anchor_ids"), kept.alias("messages"), "fused", "rerank", F.array_distinct(F.flatten(F.transform("q", lambda x: x["q"]))).alias("queries"))
 
 
 def link_strength(windows: DataFrame) -> DataFrame:

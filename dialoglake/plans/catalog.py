@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from dialoglake.plans import corpus, curation, serving  # noqa: F401  register their queries
+    from dialoglake.plans import context, corpus, curation, serving  # noqa: F401  register their queries
 
     return _QUERIES
 

@@ -462,13 +462,25 @@ def _overlap_sql(n: int) -> str:
 h{n} AS (SELECT id, sum(least(a.c, b.c)) AS h FROM gp{n} a JOIN gr{n} b USING (id, g) GROUP BY 1)"""
 
 
-@register("overlap_metrics", f"""WITH {_PRED}, {_G}, {_overlap_sql(1)}, {_overlap_sql(2)} SELECT tk.id, round(CASE WHEN coalesce(h1.h, 0) = 0 THEN 0 ELSE h1.h / len(p) * CASE WHEN len(p) >= len(r) THEN 1 ELSE exp(1 - len(r) / len(p)) END END, 6) AS bleu_1,
-round(coalesce(2 * h1.h / (len(p) + len(r)), 0), 6) AS rouge_1, round(coalesce(2 * h2.h / (len(p) - 1 + len(r) - 1), 0), 6) AS rouge_2 FROM tk LEFT JOIN h1 USING (id) LEFT JOIN h2 USING (id)""")
+_LCS = """lc(id, i, j, v) AS (SELECT id, 0, unnest(range(0, len(r) + 1)), CAST(0 AS BIGINT) FROM tk
+    UNION ALL SELECT id, i + 1, j, CAST(max(greatest(v, CASE WHEN hit THEN prev + 1 ELSE 0 END)) OVER (PARTITION BY id ORDER BY j) AS BIGINT) FROM (
+        SELECT lc.id, i, j, v, lag(v) OVER (PARTITION BY lc.id ORDER BY j) AS prev, j > 0 AND r[j] = p[i + 1] AS hit FROM lc JOIN tk ON tk.id = lc.id AND i < len(p))),
+l AS (SELECT id, max(v) AS lcs FROM lc GROUP BY 1)"""
+
+
+def _bleu_sql(k: int) -> str:
+    precision = [f"ln(CASE WHEN coalesce(h{n}.h, 0) > 0 THEN h{n}.h ELSE 0.1 END / greatest(len(p) - {n - 1}, 1))" for n in range(1, k + 1)]
+    return f"round(CASE WHEN coalesce(h1.h, 0) = 0 THEN 0 ELSE CASE WHEN len(p) >= len(r) THEN 1 ELSE exp(1 - len(r) / len(p)) END * exp(({' + '.join(precision)}) / {k}) END, 6) AS bleu_{k}"
+
+
+@register("overlap_metrics", f"""WITH RECURSIVE {_PRED}, {_G}, {', '.join(_overlap_sql(n) for n in range(1, 5))}, {_LCS} SELECT tk.id, {', '.join(_bleu_sql(k) for k in range(1, 5))},
+round(coalesce(2 * h1.h / (len(p) + len(r)), 0), 6) AS rouge_1, round(coalesce(2 * h2.h / (len(p) - 1 + len(r) - 1), 0), 6) AS rouge_2, round(CASE WHEN lcs > 0 THEN 2 * lcs / (len(p) + len(r)) ELSE 0 END, 6) AS rouge_l
+FROM tk JOIN l USING (id) {' '.join(f'LEFT JOIN h{n} USING (id)' for n in range(1, 5))}""")
 def overlap_metrics(spark, sf):
     p = _predictions(spark, sf)
     rows = p.select("id", E.tokens_of(F.col("prediction")).alias("p"), E.tokens_of(F.col("reference")).alias("r"))
     rows = rows.select("id", F.filter("p", lambda t: t.rlike("^[a-z0-9]")).alias("p"), F.filter("r", lambda t: t.rlike("^[a-z0-9]")).alias("r"))
-    return E.sentence_metrics(rows).select("id", *(F.round(c, 6).alias(c) for c in ("bleu_1", "rouge_1", "rouge_2")))
+    return E.sentence_metrics(rows).select("id", *(F.round(c, 6).alias(c) for c in ("bleu_1", "bleu_2", "bleu_3", "bleu_4", "rouge_1", "rouge_2", "rouge_l")))
 
 
 @register("combine_runs", f"""WITH {_PRED}, {_G}, {_overlap_sql(1)}, s AS (SELECT run, split, count(*) AS n, round(avg(coalesce(2 * h1.h / (len(p) + len(r)), 0)) * 100, 3) AS rouge_1 FROM tk JOIN pd USING (id) LEFT JOIN h1 USING (id) GROUP BY 1, 2) SELECT run, CAST(sum(n) AS BIGINT) AS n, round(sum(rouge_1 * n) / sum(n), 3) AS rouge_1 FROM s GROUP BY run""")
