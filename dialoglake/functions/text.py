@@ -3,6 +3,7 @@ them. Null text counts as empty wherever the reference reads an absent value."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -152,6 +153,15 @@ def char_bigrams(c: Column) -> Column:
     return F.array_distinct(char_ngrams(norm_key(c), 2))
 
 
+# Fixed value: what counts as an entity.
+ENTITY = r"[\x{4e00}-\x{9fff}]{2,6}|[A-Za-z][A-Za-z0-9_\-]+|\d{1,4}(?:\.\d+)?(?:度|分|周|天|年|月|日)?"
+
+
+def entity_set(c: Column, pattern: str = ENTITY) -> Column:
+    """Distinct entities, in order of appearance: short CJK runs, Latin names, numbers with their unit."""
+    return F.array_distinct(F.regexp_extract_all(text_of(c), F.lit(pattern), F.lit(0)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """0 if either set is empty."""
     union = F.size(F.array_union(a, b))
@@ -183,6 +193,12 @@ def truncate_chars(c: Column, n: int) -> Column:
     return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n - 1), F.lit("…")))
 
 
+def auto_title(c: Column, n: int = 20) -> Column:
+    """The first n characters on one line, and … after them where there are more."""
+    line = strip(F.replace(text_of(c), F.lit("\n"), F.lit(" ")))
+    return F.concat(F.substring(line, 1, n), F.when(F.length(line) > n, "…").otherwise(""))
+
+
 def html_escape(c: Column) -> Column:
     out = text_of(c)
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -278,7 +294,7 @@ def safe_int_label(c: Column) -> Column:
     return F.when(t.isin("true", "1.0"), 1).when(t.isin("false", "0.0"), 0).when(t.rlike(r"^-?\d+$"), t.cast("int")).otherwise(F.raise_error(F.concat(F.lit("not a label: "), F.coalesce(t, F.lit("null")))).cast("int"))
 
 
-def strip_quotes(c: Column, pairs: tuple[tuple[str, str], ...] = (('"', '"'), ("“", "”"), ("'", "'"), ("‘", "’"), ("「", "」"))) -> Column:
+def strip_quotes(c: Column, pairs: tuple[tuple[str, str], ...] = (('"', '"'), ("“", "”"), ("'", "'"), ("‘", "’"), ("「", "」"), ("『", "』"), ("《", "》"))) -> Column:
     """Without the first pair of quotes that encloses the whole text."""
     t = strip(text_of(c))
     inner = F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))
@@ -298,3 +314,31 @@ def match_snippet(text: Column, chunk: Column, limit: int) -> Column:
     begin = F.when(at == 0, F.lit(1)).otherwise(begin)
     body = F.substring(text, begin, F.lit(size))
     return F.when(n <= size, text).otherwise(F.concat(F.when(begin > 1, "…").otherwise(""), body, F.when(begin + size <= n, "…").otherwise("")))
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the column, which is computed once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def postprocess_candidate(c: Column) -> Column:
+    """The answer in a generated text that talks about it. If it announces an example: from its first double quote on,
+    without quotes around it (if that leaves anything), and of that the last line that isn't blank. Then without a
+    leading account of thoughts up to the word for answer, without that word as a label, without a list mark, and
+    without quotes around it."""
+
+    def example(t: Column) -> Column:
+        at = F.position(F.lit('"'), t)
+        quoted = F.when(at > 0, bound(strip(F.substring(t, at, F.length(t))), lambda q: strip_quotes(q))).otherwise("")
+        found = bound(quoted, lambda q: F.when(q != "", q).otherwise(t))
+        return bound(F.filter(F.transform(F.split(found, r"\R"), strip), lambda x: x != ""), lambda lines: F.when(F.size(lines) > 0, F.element_at(lines, -1)).otherwise(t))
+
+    out = bound(strip(text_of(c)), lambda t: F.when(contains_any(t, EXAMPLE), example(t)).otherwise(t))
+    for pattern in THOUGHTS:
+        out = F.regexp_replace(out, pattern, "")
+    return strip(bound(out, lambda t: strip_quotes(t)))
+
+
+# What announces an example, and what is cut from the start of a candidate.
+EXAMPLE = ["比如", "例如", "示例"]
+THOUGHTS = [r"(?s)\A(?:分析|思考|思路|思考过程).*?(?:回复|回答|建议)[：:]", r"\A\s*(?:回复|回答|建议)\s*[:：]\s*", r"\A\s*[-•]\s*"]

@@ -82,6 +82,33 @@ def daily_stats(metrics: DataFrame, conversations: DataFrame, triage: DataFrame)
     return a.join(t, "day", "full").fillna(0)
 
 
+def activity_maps(metrics: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Mergeable daily counts: day, kind (conversations, users or turns), part, route, bits, n, n_consult. Distinct
+    conversations and users are bitmaps of 32,768 ids a part; turns are counted by route. A range of days is
+    the union of its days' bitmaps, so its distinct counts are exact without going back to the metrics; a new day is one
+    more set of rows."""
+    day = F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd").alias("day")
+    m = metrics.join(conversations.select(F.col("id").alias("conversation_id"), "user_id"), "conversation_id", "left").withColumn("day", day)
+    each = F.explode(F.array(F.struct(F.lit("conversations").alias("kind"), F.col("conversation_id").cast("long").alias("id")), F.struct(F.lit("users").alias("kind"), F.col("user_id").cast("long").alias("id"))))
+    ids = m.select("day", each.alias("x")).where("x.id is not null").select("day", "x.kind", F.bitmap_bucket_number("x.id").alias("part"), F.bitmap_bit_position("x.id").alias("at"))
+    maps = ids.groupBy("day", "kind", "part").agg(F.bitmap_construct_agg("at").alias("bits")).select("day", "kind", "part", F.lit(None).cast("string").alias("route"), "bits", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("n_consult"))
+    turns = m.groupBy("day", "route").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_consult") == 1).alias("n_consult"))
+    return maps.unionByName(turns.select("day", F.lit("turns").alias("kind"), F.lit(None).cast("long").alias("part"), "route", F.lit(None).cast("binary").alias("bits"), "n", "n_consult"))
+
+
+def range_stats(maps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """activity_maps and ranges (range_id, day_from, day_to: yyyy-MM-dd, both included) -> range_id, n_conversations, n_users,
+    n_turns, n_consult, routes (map of route to turns; a null route is ''). Ranges may overlap; a report asks for few."""
+    r = F.broadcast(ranges.select("range_id", "day_from", "day_to"))
+    j = maps.join(r, F.col("day").between(F.col("day_from"), F.col("day_to")))
+    bits = j.where("kind <> 'turns'").groupBy("range_id", "kind", "part").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    found = bits.groupBy("range_id").agg(F.sum(F.when(F.col("kind") == "conversations", F.col("n"))).alias("n_conversations"), F.sum(F.when(F.col("kind") == "users", F.col("n"))).alias("n_users"))
+    by_route = j.where("kind = 'turns'").groupBy("range_id", F.coalesce("route", F.lit("")).alias("route")).agg(F.sum("n").alias("n"), F.sum("n_consult").alias("n_consult"))
+    turns = by_route.groupBy("range_id").agg(F.sum("n").alias("n_turns"), F.sum("n_consult").alias("n_consult"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("route", "n")))).alias("routes"))
+    out = ranges.select("range_id").join(found, "range_id", "left").join(turns, "range_id", "left")
+    return out.fillna(0, ["n_conversations", "n_users", "n_turns", "n_consult"]).withColumn("routes", F.coalesce("routes", F.create_map().cast("map<string, bigint>")))
+
+
 def conversation_workspace(messages: DataFrame, metrics: DataFrame, triage: DataFrame) -> DataFrame:
     """Per conversation: its messages in order, its number of metrics and its triage state."""
     m = messages.groupBy("conversation_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "role", "content"))), lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n").alias("thread"))

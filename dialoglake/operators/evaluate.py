@@ -90,13 +90,20 @@ def abstention_match(answer: Column, markers: list[str], aliases: Column) -> Col
 
 
 def score_qa(df: DataFrame, markers: list[str]) -> DataFrame:
-    """(qid, type, answer, gold, aliases, judge) -> qid, correct, scored_by: abstention and text answers by matching, what
-    doesn't match by the judge's verdict (null counts as wrong)."""
+    """(qid, type, answer, gold, aliases, judge, and for structured answers the maps expected and got) -> qid, correct,
+    scored_by: abstentions, choices, structured and text answers by matching, what doesn't match by the judge's verdict
+    (null counts as wrong). A structured answer is right if all its expected fields are; the judge isn't asked."""
     match = deterministic_match(F.col("answer"), F.concat(F.array("gold"), F.coalesce("aliases", F.array().cast("array<string>"))))
     abstain = abstention_match(F.col("answer"), markers, F.col("aliases"))
     choice = T.extract_choice(F.col("answer")) == F.upper("gold")
-    sure = F.when(F.col("type") == "abstention", abstain).when(F.col("type") == "choice", F.coalesce(choice, F.lit(False))).otherwise(match)
-    return df.select("qid", (sure | F.coalesce("judge", F.lit(False))).alias("correct"), F.when(sure, "match").otherwise("judge").alias("scored_by"))
+    structured = F.lit(False)
+    if {"expected", "got"} <= set(df.columns):
+        same = F.forall(F.map_keys("expected"), lambda k: F.coalesce(T.norm_answer(F.col("got")[k]) == T.norm_answer(F.col("expected")[k]), F.lit(False)))
+        structured = F.coalesce((F.size("expected") > 0) & same, F.lit(False))
+    kind = F.col("type")
+    sure = F.when(kind == "abstention", abstain).when(kind == "choice", F.coalesce(choice, F.lit(False))).when(kind == "structured", structured).otherwise(F.coalesce(match, F.lit(False)))
+    asked = ~sure & (F.coalesce(kind, F.lit("")) != "structured")
+    return df.select("qid", (sure | (asked & F.coalesce("judge", F.lit(False)))).alias("correct"), F.when(asked, "judge").otherwise("match").alias("scored_by"))
 
 
 def structured_fields(df: DataFrame) -> DataFrame:
@@ -106,14 +113,28 @@ def structured_fields(df: DataFrame) -> DataFrame:
     return x.groupBy("qid").agg(F.count(F.lit(1)).alias("fields"), F.count_if(ok).alias("correct"), F.bool_and(ok).alias("all_correct"), F.avg(ok.cast("double")).alias("accuracy"))
 
 
+def turn_of(message_id: Column) -> Column:
+    """`s3-t2-u` -> `s3-t2`: what is before the last hyphen; null for ids without one."""
+    return F.nullif(F.regexp_extract(message_id.cast("string"), r"^(.*)-[^-]*$", 1), F.lit(""))
+
+
 def retrieval_recall(df: DataFrame) -> DataFrame:
-    """(qid, answerable, evidence, anchors, included, superseded: id arrays) -> recall by anchors and by all included ids, all and
-    any evidence of both kinds, and stale_only: only superseded evidence found. Null where there is nothing to answer."""
-    share = lambda a: F.size(F.array_intersect(F.array_distinct("evidence"), a)) / F.size(F.array_distinct("evidence"))
-    on = F.col("answerable") & (F.size("evidence") > 0)
-    r = lambda c: F.when(on, share(F.col(c)))
-    stale = (share(F.col("included")) == 0) & F.arrays_overlap("superseded", "included")
-    return df.select("qid", r("anchors").alias("anchor_recall"), r("included").alias("included_recall"), (r("anchors") == 1).alias("all_anchors"), (r("included") == 1).alias("all_included"), (r("included") > 0).alias("any_included"), F.when(on, stale).alias("stale_only"))
+    """(qid, answerable, evidence, anchors, included, superseded: id arrays; if there, answer_sessions and sessions)
+    -> recall by anchors and by all included ids, by session and by turn (turn_of the ids), all evidence among the anchors,
+    all and any among the included, and stale_only: only superseded evidence found. Null where there is nothing to
+    answer, a recall also where its gold is empty."""
+    none = F.array().cast("array<string>")
+    ids = lambda c: F.array_distinct(F.coalesce(F.col(c).cast("array<string>"), none)) if c in df.columns else none
+    turns = lambda c: F.array_distinct(F.array_compact(F.transform(ids(c), turn_of)))
+    on = F.coalesce("answerable", F.lit(True))
+    share = lambda gold, got: F.when(on & (F.size(gold) > 0), F.size(F.array_intersect(gold, got)) / F.size(gold))
+    gold, got = ids("evidence"), ids("included")
+    any_, all_ = F.arrays_overlap(gold, got), lambda c: (F.size(gold) > 0) & (F.size(F.array_except(gold, ids(c))) == 0)
+    told = {
+        "anchor_recall": share(gold, ids("anchors")), "included_recall": share(gold, got), "session_recall": share(ids("answer_sessions"), ids("sessions")), "turn_recall": share(turns("evidence"), turns("included")),
+        "all_anchors": F.when(on, all_("anchors")), "all_included": F.when(on, all_("included")), "any_included": F.when(on, any_), "stale_only": F.when(on, F.arrays_overlap(ids("superseded"), got) & ~any_),
+    }
+    return df.select("qid", *(v.alias(k) for k, v in told.items()))
 
 
 def summarize_qa(df: DataFrame, facets: list[str], measures: list[str]) -> DataFrame:
@@ -158,22 +179,47 @@ def oracle_subset(instances: DataFrame) -> DataFrame:
     return instances.withColumns({c: cut(c) for c in names})
 
 
-def validate_benchmark(instances: DataFrame) -> DataFrame:
-    """Violations, one row each: check, question_id."""
+def validate_benchmark(instances: DataFrame, most_repeats: int = 10) -> DataFrame:
+    """Violations, one row each: check, question_id (null for a check of the whole set)."""
     dates = F.transform("haystack_dates", T.parse_session_date)
     said = F.flatten(F.transform("haystack_sessions", lambda s: s))
     marked = F.transform(F.filter(said, lambda m: m["has_answer"]), lambda m: m["message_id"])
+    all_ids = F.transform(said, lambda m: m["message_id"])
+    gold = F.filter("evidence_message_ids", lambda x: ~F.array_contains("superseded_message_ids", x))
+    place = lambda x: F.array_position(all_ids, x)
+    current = F.array_min(F.transform(gold, place))
+    out_of_turn = lambda m, i: m["role"] != F.when(i % 2 == 0, "user").otherwise("assistant")
+    roles = F.exists("haystack_sessions", lambda s: F.size(F.filter(s, out_of_turn)) > 0)
     checks = {
         "unsorted_dates": F.array_sort(dates) != dates,
         "question_before_history": T.parse_session_date(F.col("question_date")) < F.array_max(dates),
+        "unequal_haystack": (F.size("haystack_session_ids") != F.size("haystack_dates")) | (F.size("haystack_dates") != F.size("haystack_sessions")),
+        "repeated_session": F.size(F.array_distinct("haystack_session_ids")) < F.size("haystack_session_ids"),
+        "repeated_message": F.size(F.array_distinct(all_ids)) < F.size(all_ids),
         "evidence_not_marked": F.array_sort(marked) != F.array_sort("evidence_message_ids"),
+        "evidence_unknown": F.size(F.array_except("evidence_message_ids", all_ids)) > 0,
+        "no_evidence": F.col("answerable") & (F.size("evidence_message_ids") == 0),
+        "evidence_unanswerable": ~F.col("answerable") & (F.size("evidence_message_ids") > 0),
+        "superseded_not_before": F.exists("superseded_message_ids", lambda x: place(x) >= current),
         "answer_session_unknown": F.size(F.array_except("answer_session_ids", "haystack_session_ids")) > 0,
         "unknown_role": F.exists(said, lambda m: ~m["role"].isin("user", "assistant")),
+        "roles_not_alternating": roles,
         "answer_in_question": F.contains(F.col("question"), F.col("answer")) & F.col("answerable"),
     }
     rows = instances.select("question_id", F.explode(F.array_compact(F.array(*(F.when(c, k) for k, c in checks.items())))).alias("check"))
     twice = instances.groupBy("question_id").count().where("count > 1").select("question_id", F.lit("repeated_id").alias("check"))
-    return rows.unionByName(twice).select("check", "question_id")
+    # The same session text in more questions than allowed.
+    texts = instances.select("question_id", F.explode("haystack_sessions").alias("s")).select("question_id", F.sha2(F.to_json("s"), 256).alias("h"))
+    often = texts.groupBy("h").agg(F.countDistinct("question_id").alias("n"), F.min("question_id").alias("question_id")).where(F.col("n") > most_repeats).select("question_id", F.lit("session_too_often").alias("check"))
+    return rows.unionByName(twice).unionByName(often).select("check", "question_id")
+
+
+def benchmark_stats(instances: DataFrame) -> DataFrame:
+    """measure, mean, least, most over the questions: sessions, messages, evidence, tokens of the history, in one pass."""
+    said = F.flatten("haystack_sessions")
+    of = {"sessions": F.size("haystack_session_ids"), "messages": F.size(said), "evidence": F.size("evidence_message_ids"), "tokens": F.aggregate(said, F.lit(0).cast("long"), lambda s, m: s + T.count_tokens(m["content"]))}
+    x = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.cast("long").alias("v")) for k, v in of.items())))
+    return instances.select(x.alias("x")).groupBy("x.measure").agg(F.avg("x.v").alias("mean"), F.min("x.v").alias("least"), F.max("x.v").alias("most"))
 
 
 def filter_instances(instances: DataFrame, categories: list[str] | None = None, capabilities: list[str] | None = None, limit: int | None = None) -> DataFrame:

@@ -124,6 +124,14 @@ def routed_merge(hits: DataFrame, k: int = 60, top: int = 40) -> DataFrame:
     return _top(g, "merged", top, "merged_rank")
 
 
+def split_merge(hits: DataFrame, k: int = 60, top: int = 40) -> DataFrame:
+    """Hits of a query's subqueries (query_id, sub_no, unit_id, place) as one list: query_id, unit_id, sub_nos, fused,
+    fused_rank. A unit's score is the sum of 1 / (k + place) over the subqueries that found it."""
+    best = hits.groupBy("query_id", "sub_no", "unit_id").agg(F.min("place").alias("place"))
+    g = best.groupBy("query_id", "unit_id").agg(F.array_sort(F.collect_list("sub_no")).alias("sub_nos"), F.sum(1.0 / (k + F.col("place"))).alias("fused"))
+    return _top(g, "fused", top, "fused_rank")
+
+
 def scope_fallback(hits: DataFrame, scoped_queries: DataFrame, least: int = 2) -> DataFrame:
     """hits (query_id, role_scope, unit_id, ..) computed for the asked scope and for both: a query keeps its own scope's if
     there are at least so many, else those of both."""
@@ -239,6 +247,12 @@ def select_windows(windows: DataFrame, k: int) -> DataFrame:
     return windows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
 
 
+def sort_by_time(windows: DataFrame) -> DataFrame:
+    """Adds place: 1-based, per query, by the windows' starts_at, then conversation, then id."""
+    w = Window.partitionBy("query_id").orderBy("starts_at", "conversation_id", "window_id")
+    return windows.withColumn("place", F.row_number().over(w).cast("long"))
+
+
 def window_key(conversation: Column, ids: Column) -> Column:
     return F.sha1(F.concat(conversation.cast("string"), F.lit(":"), F.array_join(F.sort_array(ids).cast("array<string>"), ",")).cast("binary"))
 

@@ -308,9 +308,24 @@ def repetition_score(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.round(T.repetition_score(F.col("text")), 9).alias("score"))
 
 
-@register("redact_email", r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS text FROM documents WHERE contains(text, '@')")
+def _pii_sql() -> str:
+    """The library's patterns without look-arounds, which the other engine doesn't have: the characters around are matched
+    and put back, and each pattern runs twice for neighbours that share one."""
+    out = "coalesce(text, '')"
+    for pattern, tag in T.PII.items():
+        if pattern.startswith("(?<!"):
+            core = pattern.removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)")
+            for _ in range(2):
+                out = f"regexp_replace({out}, '(^|[^0-9])(?:{core})($|[^0-9])', '\\1{tag}\\2', 'g')"
+        else:
+            out = f"regexp_replace({out}, '{pattern}', '{tag}', 'g')"
+    return out
+
+
+@register("redact_email", f"SELECT doc_id, {_pii_sql()} AS text FROM documents")
 def redact_email(spark, sf):
-    return V.table(spark, sf, "documents").where(F.col("text").contains("@")).select("doc_id", F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]").alias("text"))
+    """redact_pii over all documents: addresses, phone numbers and id numbers."""
+    return V.table(spark, sf, "documents").select("doc_id", T.redact_pii(F.col("text")).alias("text"))
 
 
 @register("session_cosine", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND b.vec_id = a.vec_id + 10""")

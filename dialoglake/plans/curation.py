@@ -59,16 +59,9 @@ def round_robin(spark, sf):
     return S.round_robin(_docs(spark, sf), "lang", _LANGS, 50, "doc_id").select("doc_id", "lang", "pick_no")
 
 
-@register("balanced_topics", f"""WITH {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_H.format(42)}, doc_id) AS r FROM d WHERE lang <> 'es' OR doc_id % 16 = 0), b AS (SELECT doc_id, lang FROM r WHERE r <= 35)
+@register("balanced_topics", f"""WITH {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_H.format(42)}, doc_id) AS r FROM d), b AS (SELECT doc_id, lang FROM r WHERE r <= 35)
 SELECT * FROM b UNION ALL SELECT doc_id, lang FROM (SELECT * FROM r WHERE r > 35 ORDER BY r, {_ORDER}, lang LIMIT (SELECT 140 - count(*) FROM b))""")
 def balanced_topics(spark, sf):
-    return S.balanced_topics(_docs(spark, sf).where("lang <> 'es' or doc_id % 16 = 0"), "lang", _LANGS, 140, "doc_id").select("doc_id", "lang")
-
-
-@register("balanced_topics_whole", f"""WITH {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_H.format(42)}, doc_id) AS r FROM d), b AS (SELECT doc_id, lang FROM r WHERE r <= 35)
-SELECT * FROM b UNION ALL SELECT doc_id, lang FROM (SELECT * FROM r WHERE r > 35 ORDER BY r, {_ORDER}, lang LIMIT (SELECT 140 - count(*) FROM b))""")
-def balanced_topics_whole(spark, sf):
-    """balanced_topics over all documents."""
     return S.balanced_topics(_docs(spark, sf), "lang", _LANGS, 140, "doc_id").select("doc_id", "lang")
 
 

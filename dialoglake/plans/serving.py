@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from dialoglake.functions import text as T
@@ -13,7 +11,7 @@ from dialoglake.operators import memory as M
 from dialoglake.operators import profiles as P
 from dialoglake.operators import retrieval as R
 from dialoglake.plans import views as V
-from dialoglake.plans.catalog import _ORACLES, register
+from dialoglake.plans.catalog import register
 from dialoglake.plans.corpus import _K
 
 _TOK = V.TOKENS_SQL
@@ -46,33 +44,25 @@ def upsert_index(spark, sf):
     return M.upsert_index(old, new, "seq").select("unit_id", "message_id", "content", "is_deleted")
 
 
-_CH = "ch AS (SELECT message_id, i AS chunk_index, substr(content, i * 200 + 1, 200) AS content FROM msgs, range(4) r(i) WHERE length(content) > i * 200)"
-
-_CH_WHOLE = "ch AS (SELECT message_id, i AS chunk_index, substr(content, i * 200 + 1, 200) AS content FROM (SELECT *, unnest(range((length(content) + 199) // 200)) AS i FROM msgs))"
+_CH = "ch AS (SELECT message_id, i AS chunk_index, substr(content, i * 200 + 1, 200) AS content FROM (SELECT *, unnest(range((length(content) + 199) // 200)) AS i FROM msgs))"
 
 
-def _chunks(spark, sf, whole=False):
+def _chunks(spark, sf):
     m = V.messages(spark, sf)
-    last = F.floor((F.length("content") - 1) / 200).cast("int") if whole else F.lit(3)
+    last = F.floor((F.length("content") - 1) / 200).cast("int")
     c = m.select("message_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("content", i * 200 + 1, F.lit(200)))).alias("chunk_index", "content"))
     return c.where("content <> ''").select("message_id", F.col("chunk_index").cast("long"), "content")
 
 
 @register("upsert_chunks", f"WITH {_M}, {_CH} SELECT * FROM ch WHERE message_id % 4 <> 0 UNION ALL SELECT message_id, 0, 'again' FROM msgs WHERE message_id % 4 = 0")
-def upsert_chunks(spark, sf, whole=False):
-    c = _chunks(spark, sf, whole)
+def upsert_chunks(spark, sf):
     new = V.messages(spark, sf).where("message_id % 4 = 0").select("message_id", F.lit(0).cast("long").alias("chunk_index"), F.lit("again").alias("content"))
-    return M.upsert_chunks(c, new)
-
+    return M.upsert_chunks(_chunks(spark, sf), new)
 
-@register("reassemble_messages", f"WITH {_M} SELECT message_id, substr(content, 1, 800) AS content FROM msgs WHERE content <> ''")
-def reassemble_messages(spark, sf, whole=False):
-    return M.reassemble_messages(_chunks(spark, sf, whole))
 
-
-# The same over whole contents, however long.
-register("upsert_chunks_whole", _ORACLES["upsert_chunks"].replace(_CH, _CH_WHOLE))(partial(upsert_chunks, whole=True))
-register("reassemble_messages_whole", f"WITH {_M} SELECT message_id, content FROM msgs WHERE content <> ''")(partial(reassemble_messages, whole=True))
+@register("reassemble_messages", f"WITH {_M} SELECT message_id, content FROM msgs WHERE content <> ''")
+def reassemble_messages(spark, sf):
+    return M.reassemble_messages(_chunks(spark, sf))
 
 
 @register("active_units", f"WITH {_U}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, unit_id DESC) AS r FROM units WHERE is_final AND role = 'user') SELECT unit_id, user_id FROM r WHERE r <= 5")
@@ -195,20 +185,15 @@ def routed_merge(spark, sf):
     return R.routed_merge(routed, 60, 12).select("query_id", "unit_id", F.round("merged", 8).alias("merged"), "semantic_rank", "source_sub", "merged_rank")
 
 
-@register("scope_fallback", f"""WITH {_U}, {_Q}, h AS (SELECT q.query_id, s.s AS role_scope, u.unit_id FROM q JOIN units u USING (user_id), (VALUES ('both'), ('user'), ('assistant')) s(s) WHERE (s.s = 'both' OR s.s = u.role) AND u.message_id % 4 = 0 AND (s.s = 'both' OR s.s = q.role_scope)),
+@register("scope_fallback", f"""WITH {_U}, {_Q}, h AS (SELECT q.query_id, s.s AS role_scope, u.unit_id FROM q JOIN units u USING (user_id), (VALUES ('both'), ('user'), ('assistant')) s(s) WHERE (s.s = 'both' OR s.s = u.role) AND (s.s = 'both' OR s.s = q.role_scope)),
 n AS (SELECT query_id, role_scope, count(*) AS n FROM h GROUP BY 1, 2), use AS (SELECT q.query_id, CASE WHEN coalesce(n, 0) >= 4 THEN q.role_scope ELSE 'both' END AS role_scope FROM q LEFT JOIN n USING (query_id, role_scope)) SELECT h.* FROM h JOIN use USING (query_id, role_scope)""")
-def scope_fallback(spark, sf, whole=False):
+def scope_fallback(spark, sf):
     q, u = _queries(spark, sf), _whole_units(spark, sf)
-    if not whole:
-        u = u.where("message_id % 4 = 0")
     scopes = q.select("query_id", "user_id", F.explode(F.array_distinct(F.array(F.lit("both"), "role_scope"))).alias("role_scope"))
     hits = R.scoped(scopes.withColumn("query_id", F.struct("query_id", "role_scope")), u).select("query_id.query_id", "query_id.role_scope", "unit_id")
     return R.scope_fallback(hits, q, 4).select("query_id", "role_scope", "unit_id")
 
 
-# The same over all units.
-register("scope_fallback_whole", _ORACLES["scope_fallback"].replace(" AND u.message_id % 4 = 0", ""))(partial(scope_fallback, whole=True))
-
 
 @register("scope_and_exclude", f"WITH {_U}, {_Q} SELECT query_id, unit_id FROM q JOIN units u USING (user_id) WHERE (role_scope = 'both' OR role_scope = role) AND NOT (query_id % 2 = 0 AND message_id % 3 = 0)")
 def scope_and_exclude(spark, sf):
@@ -293,22 +278,20 @@ def retrieval_trace(spark, sf):
 
 # --- profiles
 
-_PR = f"""{_M}, pr AS (SELECT message_id AS id, user_id, substr(content, 1, 20 + message_id % 30) AS content, CASE WHEN message_id % 9 = 0 THEN 'deleted' ELSE 'active' END AS status, created_at FROM msgs WHERE role = 'user')"""
-_PR_WHOLE = _PR.replace("substr(content, 1, 20 + message_id % 30)", "content")
+_PR = f"""{_M}, pr AS (SELECT message_id AS id, user_id, content, CASE WHEN message_id % 9 = 0 THEN 'deleted' ELSE 'active' END AS status, created_at FROM msgs WHERE role = 'user')"""
 
 
-def _profiles(spark, sf, whole=False):
+def _profiles(spark, sf):
     m = V.messages(spark, sf).where("role = 'user'")
-    content = F.col("content") if whole else F.substring("content", F.lit(1), (20 + F.col("message_id") % 30).cast("int"))
-    return m.select(F.col("message_id").alias("id"), "user_id", content.alias("content"), F.when(F.col("message_id") % 9 == 0, "deleted").otherwise("active").alias("status"), "created_at")
+    return m.select(F.col("message_id").alias("id"), "user_id", "content", F.when(F.col("message_id") % 9 == 0, "deleted").otherwise("active").alias("status"), "created_at")
 
 
 @register("validate_ops", f"""WITH {_PR}, ops AS (SELECT id AS message_id, user_id, CASE id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 10 = 1 THEN -5 ELSE id END AS target_id, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN content ELSE repeat('z', CAST(id % 90 AS INTEGER)) || ' x' END AS content FROM pr),
 j AS (SELECT o.*, p.content AS now, trim(o.content) AS c FROM ops o LEFT JOIN pr p ON p.status = 'active' AND p.user_id = o.user_id AND p.id = o.target_id),
 n AS (SELECT *, CASE WHEN c = '' THEN '' WHEN regexp_matches(c, '[。！？.!?]$') THEN c ELSE c || '。' END AS nc, CASE WHEN trim(now) = '' THEN '' WHEN regexp_matches(regexp_replace(trim(now), '\\s+', ' ', 'g'), '[。！？.!?]$') THEN regexp_replace(trim(now), '\\s+', ' ', 'g') ELSE regexp_replace(trim(now), '\\s+', ' ', 'g') || '。' END AS nn FROM j)
 SELECT message_id, op, CASE WHEN op = 'add' AND target_id IS NOT NULL THEN 'add_has_target' WHEN op <> 'delete' AND c = '' THEN 'empty_content' WHEN op <> 'add' AND now IS NULL THEN 'unknown_target' WHEN op = 'update' AND regexp_replace(nc, '\\s+', ' ', 'g') = nn THEN 'unchanged' WHEN op = 'delete' AND c <> '' THEN 'delete_has_content' WHEN length(c) > 64 THEN 'content_too_long' WHEN {_TOK.format('c')} > 20 THEN 'too_many_tokens' END AS reason FROM n""")
-def validate_ops(spark, sf, whole=False):
-    p, i = _profiles(spark, sf, whole), F.col("id")
+def validate_ops(spark, sf):
+    p, i = _profiles(spark, sf), F.col("id")
     op = F.when(i % 3 == 0, "add").when(i % 3 == 1, "update").otherwise("delete")
     target = F.when(i % 6 == 0, F.lit(None).cast("long")).when(i % 10 == 1, F.lit(-5).cast("long")).otherwise(i)
     content = F.when(i % 5 == 0, "").when(i % 5 == 1, F.col("content")).otherwise(F.concat(F.repeat(F.lit("z"), (i % 90).cast("int")), F.lit(" x")))
@@ -318,8 +301,8 @@ def validate_ops(spark, sf, whole=False):
 
 @register("enforce_limits", f"""WITH {_PR}, r AS (SELECT *, count(*) OVER w AS n, sum(length(content) + 3) OVER w - 1 AS chars FROM pr WINDOW w AS (PARTITION BY user_id, status ORDER BY created_at DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT id, CASE WHEN status = 'active' AND (n > 8 OR greatest(1, ceil(chars / 3.0)) > 80) THEN 'deleted' ELSE status END AS status FROM r""")
-def enforce_limits(spark, sf, whole=False):
-    return P.enforce_limits(_profiles(spark, sf, whole), 8, 80).select("id", "status")
+def enforce_limits(spark, sf):
+    return P.enforce_limits(_profiles(spark, sf), 8, 80).select("id", "status")
 
 
 @register("drop_orphans", f"WITH {_PR}, un AS (SELECT message_id FROM msgs WHERE NOT is_deleted), g AS (SELECT id, bool_or(u.message_id IS NOT NULL) AS alive FROM pr LEFT JOIN un u ON u.message_id = pr.id WHERE id % 2 = 0 GROUP BY id) SELECT id, CASE WHEN alive = FALSE THEN 'deleted' ELSE status END AS status FROM pr LEFT JOIN g USING (id)")
@@ -330,8 +313,8 @@ def drop_orphans(spark, sf):
 
 
 @register("forget_matching", f"WITH {_PR} SELECT id, CASE WHEN status = 'active' AND (contains(content, CASE WHEN user_id % 2 = 0 THEN 'er' ELSE 'que' END) OR contains(CASE WHEN user_id % 2 = 0 THEN 'er' ELSE 'que' END, content)) THEN 'deleted' ELSE status END AS status FROM pr")
-def forget_matching(spark, sf, whole=False):
-    p = _profiles(spark, sf, whole)
+def forget_matching(spark, sf):
+    p = _profiles(spark, sf)
     return P.forget_matching(p, p.select("user_id", F.when(F.col("user_id") % 2 == 0, "er").otherwise("que").alias("keyword")).distinct()).select("id", "status")
 
 
@@ -343,14 +326,10 @@ def maintenance_due(spark, sf):
 
 
 @register("render_profile", f"WITH {_PR} SELECT user_id, string_agg('- ' || replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10) ORDER BY created_at, id) AS profile FROM pr WHERE status = 'active' GROUP BY user_id")
-def render_profile(spark, sf, whole=False):
-    return P.render_profile(_profiles(spark, sf, whole))
+def render_profile(spark, sf):
+    return P.render_profile(_profiles(spark, sf))
 
 
-# The same over whole contents.
-for _f in (validate_ops, enforce_limits, forget_matching, render_profile):
-    register(f"{_f.__name__}_whole", _ORACLES[_f.__name__].replace(_PR, _PR_WHOLE))(partial(_f, whole=True))
-
 
 # --- analytics
 
@@ -414,16 +393,27 @@ def daily_stats(spark, sf):
     return A.daily_stats(m, c, t)
 
 
-@register("conversation_workspace", f"WITH {_M} SELECT conversation_id, string_agg(role || ': ' || content, chr(10) ORDER BY position) AS thread, 0 AS n_metrics, 'pending' AS status FROM msgs GROUP BY conversation_id")
-def conversation_workspace(spark, sf):
-    m, _, t = _product(spark, sf)
-    return A.conversation_workspace(V.messages(spark, sf), m.where("conversation_id < 0"), t.where("conversation_id < 0")).withColumn("n_metrics", F.col("n_metrics").cast("int"))
+@register("range_stats", f"""WITH {_C}, d AS (SELECT t.*, pc.user_id, strftime(make_timestamp(t.created_at * 1000000), '%Y-%m-%d') AS day FROM turn_metrics t LEFT JOIN pc ON pc.id = t.conversation_id), b AS (SELECT min(day) AS a, max(day) AS z FROM d),
+r AS (SELECT 1 AS range_id, a AS f, z AS t FROM b UNION ALL SELECT 2, a, a FROM b UNION ALL SELECT 3, strftime(CAST(a AS DATE) + 10, '%Y-%m-%d'), strftime(CAST(a AS DATE) + 40, '%Y-%m-%d') FROM b UNION ALL SELECT 4, '1900-01-01', '1900-12-31'),
+x AS (SELECT range_id, count(DISTINCT conversation_id) AS n_conversations, count(DISTINCT user_id) AS n_users, count(id) AS n_turns, count(*) FILTER (is_consult = 1) AS n_consult FROM r LEFT JOIN d ON day BETWEEN f AND t GROUP BY 1),
+y AS (SELECT range_id, string_agg(route || '=' || n, ',' ORDER BY route) AS routes FROM (SELECT range_id, coalesce(route, '') AS route, count(*) AS n FROM r JOIN d ON day BETWEEN f AND t GROUP BY 1, 2) GROUP BY 1)
+SELECT x.*, coalesce(routes, '') AS routes FROM x LEFT JOIN y USING (range_id)""")
+def range_stats(spark, sf):
+    """Any range of days from the daily maps, against counts from the metrics themselves."""
+    m, c, _ = _product(spark, sf)
+    day = F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd")
+    ends = m.agg(F.min(day).alias("a"), F.max(day).alias("z"))
+    later = lambda n: F.date_format(F.date_add(F.to_date("a"), n), "yyyy-MM-dd")
+    one = lambda i, f, t: F.struct(F.lit(i).alias("range_id"), f.alias("day_from"), t.alias("day_to"))
+    ranges = ends.select(F.explode(F.array(one(1, F.col("a"), F.col("z")), one(2, F.col("a"), F.col("a")), one(3, later(10), later(40)), one(4, F.lit("1900-01-01"), F.lit("1900-12-31")))).alias("r")).select("r.*")
+    out = A.range_stats(A.activity_maps(m, c), ranges)
+    routes = F.array_join(F.transform(F.array_sort(F.map_entries("routes")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.withColumn("routes", routes)
 
 
-@register("conversation_workspace_whole", f"""WITH {_C}, {_M.strip()}, th AS (SELECT conversation_id, string_agg(role || ': ' || content, chr(10) ORDER BY position) AS thread FROM msgs GROUP BY 1), nm AS (SELECT conversation_id, count(*) AS n FROM turn_metrics GROUP BY 1)
+@register("conversation_workspace", f"""WITH {_C}, {_M.strip()}, th AS (SELECT conversation_id, string_agg(role || ': ' || content, chr(10) ORDER BY position) AS thread FROM msgs GROUP BY 1), nm AS (SELECT conversation_id, count(*) AS n FROM turn_metrics GROUP BY 1)
 SELECT conversation_id, thread, coalesce(n, 0) AS n_metrics, coalesce(status, 'pending') AS status FROM th LEFT JOIN nm USING (conversation_id) LEFT JOIN tr USING (conversation_id)""")
-def conversation_workspace_whole(spark, sf):
-    """conversation_workspace with all metrics and triage rows."""
+def conversation_workspace(spark, sf):
     m, _, t = _product(spark, sf)
     return A.conversation_workspace(V.messages(spark, sf), m, t)
 
@@ -504,13 +494,21 @@ def summarize_qa(spark, sf):
     return E.summarize_qa(d, ["lang", "source"], ["quality"])
 
 
-@register("retrieval_recall", f"""WITH {_M}, g AS (SELECT conversation_id AS qid, list(message_id) FILTER (message_id % 3 = 0) AS ev, list(message_id) FILTER (message_id % 2 = 0) AS an, list(message_id) FILTER (message_id % 5 <> 0) AS inc FROM msgs GROUP BY 1)
-SELECT qid, round(len(list_intersect(ev, an)) / len(ev), 9) AS anchor_recall, round(len(list_intersect(ev, inc)) / len(ev), 9) AS included_recall, len(list_intersect(ev, inc)) > 0 AS any_included FROM g""")
+@register("retrieval_recall", f"""WITH {_M}, s AS (SELECT *, 'c' || conversation_id || '-t' || turn_id || '-' || substr(role, 1, 1) AS id, 's' || position // 5 AS ss FROM msgs), g AS (SELECT conversation_id AS qid, conversation_id % 7 <> 0 AS ok,
+{', '.join(f"coalesce(list(DISTINCT {v}) FILTER ({c}), []) AS {k}" for k, v, c in (('ev', 'id', 'message_id % 3 = 0'), ('an', 'id', 'message_id % 2 = 0'), ('inc', 'id', 'message_id % 5 <> 0 AND conversation_id % 4 <> 0 OR message_id % 6 = 1'), ('sup', 'id', 'message_id % 6 = 1'), ('gs', 'ss', 'message_id % 3 = 0'), ('rs', 'ss', 'message_id % 4 = 0')))} FROM s GROUP BY 1, 2),
+t AS (SELECT *, list_distinct(list_transform(ev, lambda x: regexp_replace(x, '-[^-]*$', ''))) AS et, list_distinct(list_transform(inc, lambda x: regexp_replace(x, '-[^-]*$', ''))) AS it FROM g)
+SELECT qid, {', '.join(f"CASE WHEN ok AND len({a}) > 0 THEN round(len(list_intersect({a}, {b})) / len({a}), 9) END AS {k}" for k, a, b in (('anchor_recall', 'ev', 'an'), ('included_recall', 'ev', 'inc'), ('session_recall', 'gs', 'rs'), ('turn_recall', 'et', 'it')))},
+CASE WHEN ok THEN len(ev) > 0 AND list_has_all(an, ev) END AS all_anchors, CASE WHEN ok THEN len(ev) > 0 AND list_has_all(inc, ev) END AS all_included, CASE WHEN ok THEN list_has_any(inc, ev) END AS any_included, CASE WHEN ok THEN list_has_any(sup, inc) AND NOT list_has_any(inc, ev) END AS stale_only FROM t""")
 def retrieval_recall(spark, sf):
-    i = F.col("message_id")
-    ids = lambda c: F.collect_list(F.when(c, i))
-    g = V.messages(spark, sf).groupBy(F.col("conversation_id").alias("qid")).agg(ids(i % 3 == 0).alias("evidence"), ids(i % 2 == 0).alias("anchors"), ids(i % 5 != 0).alias("included"))
-    return E.retrieval_recall(g.withColumns({"answerable": F.lit(True), "superseded": F.array().cast("array<long>")})).select("qid", F.round("anchor_recall", 9).alias("anchor_recall"), F.round("included_recall", 9).alias("included_recall"), "any_included")
+    m = V.messages(spark, sf)
+    i, c = F.col("message_id"), F.col("conversation_id")
+    m = m.withColumns({"id": F.concat(F.lit("c"), c, F.lit("-t"), "turn_id", F.lit("-"), F.substring("role", 1, 1)), "ss": F.concat(F.lit("s"), F.floor(F.col("position") / 5))})
+    some = lambda when, v="id": F.collect_set(F.when(when, F.col(v)))
+    g = m.groupBy(c.alias("qid"), (c % 7 != 0).alias("answerable")).agg(
+        some(i % 3 == 0).alias("evidence"), some(i % 2 == 0).alias("anchors"), some((i % 5 != 0) & (c % 4 != 0) | (i % 6 == 1)).alias("included"), some(i % 6 == 1).alias("superseded"), some(i % 3 == 0, "ss").alias("answer_sessions"), some(i % 4 == 0, "ss").alias("sessions")
+    )
+    r = E.retrieval_recall(g)
+    return r.select(*(F.round(x, 9).alias(x) if x.endswith("recall") else x for x in r.columns))
 
 
 @register("deterministic_match", f"WITH {_PRED} SELECT id, contains({_K.replace('text', 'p')}, {_K.replace('text', 'q')}) AS hit FROM (SELECT id, regexp_replace(prediction, '[,.!?|%#$*&@()_+:/-]', '', 'g') AS p, regexp_replace(substr(prediction, 3, 9), '[,.!?|%#$*&@()_+:/-]', '', 'g') AS q FROM pd WHERE NOT regexp_matches(prediction, '[^A-Za-z ,.]'))")

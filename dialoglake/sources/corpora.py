@@ -2,47 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from itertools import islice
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-
-def _elements(text: str) -> Iterator[str]:
-    """The complete elements of a JSON array, each as its JSON text; what follows the last complete one is left."""
-    decode = json.JSONDecoder().raw_decode
-    at = len(text) - len(text.lstrip("\ufeff \t\r\n"))
-    if text[at : at + 1] != "[":
-        raise ValueError("no JSON array")
-    at += 1
-    while True:
-        while text[at : at + 1] in (" ", "\t", "\r", "\n", ","):
-            at += 1
-        try:
-            end = decode(text, at)[1]
-        except json.JSONDecodeError:
-            return
-        yield text[at:end]
-        at = end
-
-
-def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One JSON array per file; of a truncated one, the elements that are complete. A file is one task and at most 2 GB,
-    so compact it to parquet once (compact_to_parquet)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                found = _elements(text or "[]")
-                while part := list(islice(found, 1_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["element"])
-
-    return spark.read.text(path, wholetext=True).select("value").mapInArrow(run, "element string").select(F.from_json("element", schema).alias("x")).where("x is not null").select("x.*")
+from dialoglake.sources.json_array import read_json_array
 
 
 def compact_to_parquet(spark: SparkSession, path: str, schema: str | T.StructType, to: str, partitions: int = 200) -> DataFrame:
@@ -52,12 +17,12 @@ def compact_to_parquet(spark: SparkSession, path: str, schema: str | T.StructTyp
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, on_bad: str = "skip", limit: int | None = None) -> DataFrame:
     """JSON lines; blank lines are skipped. on_bad: skip, fail, or keep (the line stands in _corrupt_record)."""
-    reader = spark.read.schema(schema + ", _corrupt_record string")
-    rows = reader.option("mode", "FAILFAST" if on_bad == "fail" else "PERMISSIVE").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    mode = {"mode": "FAILFAST" if on_bad == "fail" else "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    # Parsed as a column: the JSON reader refuses queries, such as counts, that need its corrupt records alone.
+    rows = lines.select(F.from_json("value", schema + ("" if on_bad == "fail" else ", _corrupt_record string"), mode).alias("x")).select("x.*")
     if on_bad == "skip":
         rows = rows.where("_corrupt_record is null").drop("_corrupt_record")
-    elif on_bad == "fail":
-        rows = rows.drop("_corrupt_record")
     return rows.limit(limit) if limit is not None else rows
 
 

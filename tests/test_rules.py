@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dialoglake.functions import text as T
 from dialoglake.operators import memory, pairs, profiles, spans
 from dialoglake.operators.keys import append_new_until, neighbour_range
-from dialoglake.sources.corpora import read_json_array
+from dialoglake.sources.json_array import elements, read_json_array
 
 
 def values(spark, rule, texts):
