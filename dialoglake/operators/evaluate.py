@@ -173,10 +173,12 @@ def explode_benchmark(instances: DataFrame) -> DataFrame:
 
 def oracle_subset(instances: DataFrame) -> DataFrame:
     """Instances with only the sessions that hold the answer."""
-    keep = F.transform("haystack_session_ids", lambda s: F.array_contains("answer_session_ids", s))
-    cut = lambda c: F.filter(F.col(c), lambda _, i: F.get(keep, i))
-    names = ("haystack_session_ids", "haystack_dates", "haystack_sessions")
-    return instances.withColumns({c: cut(c) for c in names})
+
+    def cut(c: str) -> Column:
+        both = F.arrays_zip(F.col("haystack_session_ids").alias("sid"), F.col(c).alias("v"))
+        return F.transform(F.filter(both, lambda z: F.array_contains("answer_session_ids", z["sid"])), lambda z: z["v"])
+
+    return instances.withColumns({c: cut(c) for c in ("haystack_session_ids", "haystack_dates", "haystack_sessions")})
 
 
 def validate_benchmark(instances: DataFrame, most_repeats: int = 10) -> DataFrame:
