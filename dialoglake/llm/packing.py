@@ -98,9 +98,7 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int
     return runs, opened
 
 
-def _encode_words(words: set[bytes], path: str, cache: dict[bytes, bytes]) -> None:
-    """Adds the ids of these words, as little-endian 32-bit numbers, to the cache. The tokenizer never joins
-    characters across a blank, so a text's ids are its words' ids in a row."""
+def _tokenizer(path: str):
     if "tokenizer" not in _worker:
         import os
 
@@ -108,19 +106,35 @@ def _encode_words(words: set[bytes], path: str, cache: dict[bytes, bytes]) -> No
         from tokenizers import Tokenizer
 
         _worker["tokenizer"] = Tokenizer.from_file(path)
+    return _worker["tokenizer"]
+
+
+def _encode_words(words: set[bytes], path: str, cache: dict[bytes, bytes]) -> None:
+    """Adds the ids of these words, as little-endian 32-bit numbers, to the cache. The tokenizer never joins
+    characters across a blank, so a text's ids are its words' ids in a row."""
     new = list(words)
-    for w, e in zip(new, _worker["tokenizer"].encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+    for w, e in zip(new, _tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
         cache[w] = np.array(e.ids, dtype="<u4").tobytes()
 
 
+def _words(text: str, special: list[bytes]) -> list[bytes]:
+    """The words of a text, A-Z lower-cased as the tokenizer does itself, so that a word has one entry. It looks for its
+    special tokens in the text as it stands, so words that hold one, in whatever case, stay as they are."""
+    raw = text.encode().replace(b"\n", b" ")
+    low = raw.lower()
+    if not any(x in low for x in special):
+        return low.split(b" ")
+    return [w if any(x in w.lower() for x in special) else w.lower() for w in raw.split(b" ")]
+
+
 def token_bytes(texts: list[str | None], path: str, end_id: int) -> Iterator[bytes]:
-    """Each text's ids and the end id, as little-endian 32-bit numbers. A-Z are lower-cased before words are looked
-    up, as the tokenizer does itself, so that a word has one entry."""
+    """Each text's ids and the end id, as little-endian 32-bit numbers."""
     cache: dict[bytes, bytes] = _worker.setdefault("cache", {})
+    special = [t.content.encode().lower() for t in _tokenizer(path).get_added_tokens_decoder().values()]
     end = np.array([end_id], dtype="<u4").tobytes()
     step = 200
     for i in range(0, len(texts), step):
-        split = [(t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts[i : i + step]]
+        split = [_words(t or "", special) for t in texts[i : i + step]]
         new = set().union(*split).difference(cache)
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()

@@ -81,3 +81,17 @@ def test_packs_every_token_once(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, PATH).collect() == []
+
+
+def test_special_tokens_in_any_case():
+    """Only the exact form is one id, alone or inside a word; other cases are plain text."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    texts = [f"Some {x} More {x.upper()} {x.title()} in{x}side A{x.upper()}B {x}{x}\nEND {x[:-1]}" for x in special] + ["<|ENDOFTEXT|>", "x<|StartOfText|>y", "a <|ENDOFTEXT|> b", "<|endoftext|>", "no mark < | here"]
+    for text, raw in zip(texts, packing.token_bytes(texts, path, 0)):
+        assert np.frombuffer(raw, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0], text
