@@ -238,16 +238,32 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _colliding(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+#: Nodes, as a power of two, up to which keys of 32 bits suffice: chance meetings on a variant stay few.
+ROOMY = 27
+
+
+def _extra_bits(nodes: int) -> int:
+    """How many bits of another lane a key takes beside its half: one more for each doubling beyond 2^ROOMY nodes, so that
+    the nodes that meet on a variant by chance don't grow with the corpus; at most 24, so that table and key fit a long."""
+    return min(24, max(0, (max(1, nodes) - 1).bit_length() - ROOMY))
+
+
+def _colliding(nodes: DataFrame, radius: int, extra: int = 0) -> tuple[DataFrame, DataFrame]:
     """Nodes that meet on a variant: pairs (a, b) that are alone on theirs, and rows (key, node, n) of the variants on
-    which n nodes, three or more, meet. Each half of a lane is a table of its own, searched by ball hashing. A lane's
+    which n nodes, three or more, meet. Each half of a lane is a table of its own, searched by ball hashing; with `extra`
+    bits of the next lane behind it, which are within the radius like the others. A lane's
     rows are counted by variant (combined before the shuffle, so a variant may hold any share of them), and its shuffle
     is gone before the next lane begins."""
     pairs, crowds = [], []
+    width = 32 + extra
     for lane, name in enumerate(_LANE):
-        f = F.col(name)
-        halves = [F.lit((2 * lane + h) << 32).cast("long").bitwiseOR(x) for h, x in enumerate((f.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f, 32)))]
-        near = nodes.select("node", F.explode(F.concat(*(_ball(k, list(range(32)), (radius + 1) // 2) for k in halves))).alias("key"))
+        f, other = F.col(name), F.col(_LANE[(lane + 1) % LANES])
+        halves = []
+        for h, x in enumerate((f.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f, 32))):
+            if extra:
+                x = F.shiftleft(x, extra).bitwiseOR(F.shiftrightunsigned(other, 64 - extra))
+            halves.append(F.lit((2 * lane + h) << width).cast("long").bitwiseOR(x))
+        near = nodes.select("node", F.explode(F.concat(*(_ball(k, list(range(width)), (radius + 1) // 2) for k in halves))).alias("key"))
         met = near.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
         met = freeze(met, "near-copy-keys")
         pairs.append(met.where("n = 2").select("a", "b"))
@@ -260,27 +276,42 @@ def _grouped(rows: DataFrame, group: DataFrame) -> DataFrame:
     return rows.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+#: Sizes of sets in one class differ by this factor at most.
+CLASS_STEP = 1.05
+
+
 def _apart_still(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes of different components, in rest (node, component), among which are all of at least the
     similarity. An exact prefix filter: with shingles ordered by how many of these texts have them, rarest first, two
-    sets x of the similarity s share one of the first |x| - ceil(s |x|) + 1 of both. What both sets have left after the
-    first shingle they share must suffice for the similarity (positional filter): texts with many shingles of their own
-    meet none of a group that they just miss. A shingle that a large component has meets only the texts outside it, so
-    no component's members are paired with each other."""
+    sets of the similarity share one of the first of both, and what both have left from the first shingle they share
+    must suffice (positional filter).
+
+    Both filters are part of the join, not a condition after it. Of two sets the larger seeks and the smaller stands
+    (equal sizes do both). With a = similarity / (1 + similarity), a set of n shingles can share, from place p on, at
+    most n - p + 1, and sets of n and m must share a (n + m). So a set stands at place p only if n - p + 1 reaches 2 a n,
+    and it seeks only sizes m with a (n + m) <= n - p + 1, as classes of sizes that are part of the key. Texts of one
+    template that all just miss each other stand nowhere, so they make no rows at all. A shingle that a large component has
+    meets only the texts outside it, so no component's members are paired with each other."""
     size = F.size("shingles")
     tokens = freeze(sets.join(rest, "node").select("node", "component", size.alias("size"), F.explode("shingles").alias("token")), "near-copy-tokens")
     held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
-    first = tokens.join(held, "token").withColumn("place", place).where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1) & (F.col("df") > 1))
+    share, n, left = similarity / (1 + similarity), F.col("size"), F.col("size") - F.col("place") + 1
+    first = tokens.join(held, "token").withColumn("place", place).where((left >= F.ceil(n * similarity - 1e-9)) & (F.col("df") > 1))
     first = freeze(first.select("token", "node", "component", "size", "place"), "near-copy-prefixes")
     by = first.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("components"))
     met = freeze(first.join(by.where("components > 1").select("token", F.col("most.component").alias("major")), "token"), "near-copy-met")
-    minor = met.where("component <> major").select("token", F.col("node").alias("other"), F.col("component").alias("its"), F.col("size").alias("its_size"), F.col("place").alias("its_place"))
-    fits = (F.col("size") >= F.col("its_size") * similarity - 1e-9) & (F.col("its_size") >= F.col("size") * similarity - 1e-9)
-    at_most = 1 + F.least(F.col("size") - F.col("place"), F.col("its_size") - F.col("its_place"))
-    enough = at_most >= (F.col("size") + F.col("its_size")) * (similarity / (1 + similarity)) - 1e-6
-    pairs = met.join(minor, "token").where((F.col("component") != F.col("its")) & fits & enough).select(*_ordered("node", "other")).distinct()
-    return freeze(pairs, "near-copy-apart")
+    class_of = lambda m: F.floor(F.log(m) / F.log(F.lit(CLASS_STEP)) + 1e-9).cast("int")
+    stand = met.where(left >= 2 * share * n - 1e-6).withColumn("class", class_of(n.cast("double")))
+    smallest, largest = F.greatest(F.lit(1.0), n * similarity - 1e-6), F.least(n.cast("double"), left / share - n + 1e-6)
+    seek = met.where(largest >= smallest).withColumn("class", F.explode(F.sequence(class_of(smallest), class_of(largest))))
+    stand = stand.select("token", "class", F.col("node").alias("other"), F.col("component").alias("its"), F.col("size").alias("its_size"), F.col("place").alias("its_place"), (F.col("component") == F.col("major")).alias("its_major"))
+    seek = seek.withColumn("is_major", F.col("component") == F.col("major"))
+    enough = F.least(left, F.col("its_size") - F.col("its_place") + 1) >= (n + F.col("its_size")) * share - 1e-6
+    fits = (F.col("its_size") <= n) & (F.col("its_size") >= n * similarity - 1e-9) & (F.col("component") != F.col("its")) & enough
+    one = seek.join(stand.where("not its_major"), ["token", "class"]).where(fits)
+    two = seek.where("not is_major").join(stand.where("its_major"), ["token", "class"]).where(fits)
+    return freeze(one.select(*_ordered("node", "other")).union(two.select(*_ordered("node", "other"))).distinct(), "near-copy-apart")
 
 
 def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -290,7 +321,7 @@ def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_word
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("rep")
     nodes = freeze(marks.groupBy(*_MARKS).agg(rep).withColumn("node", F.monotonically_increasing_id()), "near-copy-nodes")
     verifier = _Verifier(docs, nodes, id_col, text_col, shingle_words, similarity)
-    pairs, crowd = _colliding(nodes, radius)
+    pairs, crowd = _colliding(nodes, radius, _extra_bits(nodes.count()))
     # In every crowded bucket, the member that meets most others against the rest.
     weights = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
     live = freeze(crowd.select("key", "node").join(weights, "node"), "near-copy-live")

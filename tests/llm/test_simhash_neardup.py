@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from dialoglake.llm import simhash_neardup as S
 from dialoglake.llm.components import connected_components
@@ -139,3 +140,85 @@ def test_near_copies_of_one_original(spark):
     print(f"{found} of {len(near)} texts of the original's group found")
     assert found >= 0.99 * len(near)
     assert all(got[i] == i for i in range(1001, 1101))
+
+
+def template_texts(n, own):
+    """n texts of one template of 400 words with `own` words of their own; with 50 they have a similarity of 0.76."""
+    base = [f"word{k}" for k in range(400)]
+    return [" ".join([*base[:200], *(f"own{i}x{k}" for k in range(own)), *base[200:]]) for i in range(n)]
+
+
+def shingle_tables(spark, texts):
+    sets = spark.createDataFrame([(i, [int(x) for x in S.shingle_set(S.word_hashes(t), 5).view("<i8")]) for i, t in enumerate(texts)], "node long, shingles array<long>")
+    return sets.select("node", F.col("node").alias("component")), sets
+
+
+def test_texts_that_just_miss_make_no_joined_rows(spark):
+    counts = []
+    for n in (60, 120):
+        rest, sets = shingle_tables(spark, template_texts(n, 50))
+        counts.append(seen_rows(spark, lambda: S._apart_still(rest, sets, 0.8)))
+    # Rows grow with the texts, not with their pairs: twice the texts, at most about twice the rows.
+    assert counts[1][1] <= 2.2 * max(counts[0][1], 1) and counts[0][0] == counts[1][0] == 0
+
+
+def seen_rows(spark, make):
+    """(pairs found, most rows that any join made): the joins of the last stored table are made again without their
+    conditions."""
+    met = {}
+    real = S.freeze
+
+    def watch(df, name):
+        out = real(df, name)
+        met[name] = out
+        return out
+
+    S.freeze = watch
+    try:
+        pairs = make().count()
+    finally:
+        S.freeze = real
+    rows = met["near-copy-met"]
+    share = 0.8 / 1.8
+    left = F.col("size") - F.col("place") + 1
+    stand = rows.where(left >= 2 * share * F.col("size") - 1e-6).groupBy("token").agg(F.count(F.lit(1)).alias("s"))
+    seek = rows.where(left / share - F.col("size") >= F.col("size") * 0.8).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    return pairs, stand.join(seek, "token").agg(F.coalesce(F.sum(F.col("s") * F.col("k")), F.lit(0))).first()[0]
+
+
+def test_exact_search_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = template_texts(6, 12)
+    for _ in range(60):
+        words = rng.choice(texts).split()
+        for _ in range(rng.randint(0, 25)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randint(0, 2)] = [f"new{rng.randrange(30)}"] * rng.randint(0, 3)
+        texts.append(" ".join(words))
+    texts += ["a b c", "a b c d e f", "a b c d e f g", "x"]
+    sets = [set(S.shingle_set(S.word_hashes(t), 5).tolist()) for t in texts]
+    rest, tables = shingle_tables(spark, texts)
+    got = {(r.a, r.b) for r in S._apart_still(rest, tables, 0.8).collect()}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want and want <= got
+    # With two large components only pairs between them count.
+    halves = rest.withColumn("component", F.when(F.col("node") % 3 == 0, 1).otherwise(0).cast("long"))
+    got = {(r.a, r.b) for r in S._apart_still(halves, tables, 0.8).collect()}
+    across = {(i, j) for i, j in want if (i % 3 == 0) != (j % 3 == 0)}
+    assert across <= got and all((i % 3 == 0) != (j % 3 == 0) for i, j in got)
+
+
+def test_wider_keys_find_the_same_near_texts(spark):
+    assert [S._extra_bits(n) for n in (0, 1, 1 << 27, (1 << 27) + 1, 1 << 34)] == [0, 0, 0, 1, 7]
+    base = " ".join(f"some{k} words{k % 7} of prose" for k in range(200))
+    rows = [(1, base), (2, base + " end"), (3, base.replace("some7 ", "")), (4, "quite another text of its own words")]
+    marks = S._marks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5).withColumn("node", F.col("doc_id"))
+    for extra in (0, 7, 24):
+        pairs, crowd = S._colliding(marks, 2, extra)
+        met = {(r.a, r.b) for r in pairs.collect()}
+        for key in {r["key"] for r in crowd.collect()}:
+            nodes = sorted(r["node"] for r in crowd.where(F.col("key") == key).select("node").distinct().collect())
+            met |= {(a, b) for a in nodes for b in nodes if a < b}
+        assert {(1, 2), (1, 3), (2, 3)} & met and not any(4 in p for p in met)
