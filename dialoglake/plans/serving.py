@@ -463,14 +463,23 @@ def _bleu_sql(k: int) -> str:
     return f"round(CASE WHEN coalesce(h1.h, 0) = 0 THEN 0 ELSE CASE WHEN len(p) >= len(r) THEN 1 ELSE exp(1 - len(r) / len(p)) END * exp(({' + '.join(precision)}) / {k}) END, 6) AS bleu_{k}"
 
 
-@register("overlap_metrics", f"""WITH RECURSIVE {_PRED}, {_G}, {', '.join(_overlap_sql(n) for n in range(1, 5))}, {_LCS} SELECT tk.id, {', '.join(_bleu_sql(k) for k in range(1, 5))},
-round(coalesce(2 * h1.h / (len(p) + len(r)), 0), 6) AS rouge_1, round(coalesce(2 * h2.h / (len(p) - 1 + len(r) - 1), 0), 6) AS rouge_2, round(CASE WHEN lcs > 0 THEN 2 * lcs / (len(p) + len(r)) ELSE 0 END, 6) AS rouge_l
-FROM tk JOIN l USING (id) {' '.join(f'LEFT JOIN h{n} USING (id)' for n in range(1, 5))}""")
+@register("overlap_metrics", f"""WITH {_PRED}, {_G}, {', '.join(_overlap_sql(n) for n in range(1, 5))} SELECT tk.id, {', '.join(_bleu_sql(k) for k in range(1, 5))},
+round(coalesce(2 * h1.h / (len(p) + len(r)), 0), 6) AS rouge_1, round(coalesce(2 * h2.h / (len(p) - 1 + len(r) - 1), 0), 6) AS rouge_2
+FROM tk {' '.join(f'LEFT JOIN h{n} USING (id)' for n in range(1, 5))}""")
 def overlap_metrics(spark, sf):
+    return _sentence_metrics(spark, sf).select("id", *(F.round(c, 6).alias(c) for c in ("bleu_1", "bleu_2", "bleu_3", "bleu_4", "rouge_1", "rouge_2")))
+
+
+@register("rouge_l", f"WITH RECURSIVE {_PRED}, {_G}, {_LCS} SELECT tk.id, round(CASE WHEN lcs > 0 THEN 2 * lcs / (len(p) + len(r)) ELSE 0 END, 6) AS rouge_l FROM tk JOIN l USING (id)")
+def rouge_l(spark, sf):
+    return _sentence_metrics(spark, sf).select("id", F.round("rouge_l", 6).alias("rouge_l"))
+
+
+def _sentence_metrics(spark, sf):
     p = _predictions(spark, sf)
     rows = p.select("id", E.tokens_of(F.col("prediction")).alias("p"), E.tokens_of(F.col("reference")).alias("r"))
     rows = rows.select("id", F.filter("p", lambda t: t.rlike("^[a-z0-9]")).alias("p"), F.filter("r", lambda t: t.rlike("^[a-z0-9]")).alias("r"))
-    return E.sentence_metrics(rows).select("id", *(F.round(c, 6).alias(c) for c in ("bleu_1", "bleu_2", "bleu_3", "bleu_4", "rouge_1", "rouge_2", "rouge_l")))
+    return E.sentence_metrics(rows)
 
 
 @register("combine_runs", f"""WITH {_PRED}, {_G}, {_overlap_sql(1)}, s AS (SELECT run, split, count(*) AS n, round(avg(coalesce(2 * h1.h / (len(p) + len(r)), 0)) * 100, 3) AS rouge_1 FROM tk JOIN pd USING (id) LEFT JOIN h1 USING (id) GROUP BY 1, 2) SELECT run, CAST(sum(n) AS BIGINT) AS n, round(sum(rouge_1 * n) / sum(n), 3) AS rouge_1 FROM s GROUP BY run""")
