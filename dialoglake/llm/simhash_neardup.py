@@ -250,7 +250,7 @@ def _extra_bits(nodes: int) -> int:
 
 def _colliding(nodes: DataFrame, radius: int, extra: int = 0) -> tuple[DataFrame, DataFrame]:
     """Nodes that meet on a variant: pairs (a, b) that are alone on theirs, and rows (key, node, n) of the variants on
-    which n nodes, three or more, meet. Each half of a lane is a table of its own, searched by ball hashing; with `extra`
+    which n nodes, three or more, meet; of variants on which the same nodes meet, one. Each half of a lane is a table of its own, searched by ball hashing; with `extra`
     bits of the next lane behind it, which are within the radius like the others. A lane's
     rows are counted by variant (combined before the shuffle, so a variant may hold any share of them), and its shuffle
     is gone before the next lane begins."""
@@ -264,10 +264,13 @@ def _colliding(nodes: DataFrame, radius: int, extra: int = 0) -> tuple[DataFrame
                 x = F.shiftleft(x, extra).bitwiseOR(F.shiftrightunsigned(other, 64 - extra))
             halves.append(F.lit((2 * lane + h) << width).cast("long").bitwiseOR(x))
         near = nodes.select("node", F.explode(F.concat(*(_ball(k, list(range(width)), (radius + 1) // 2) for k in halves))).alias("key"))
-        met = near.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"set{seed}") for seed in (0, 1)]
+        met = near.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"), *members).where("n > 1")
         met = freeze(met, "near-copy-keys")
-        pairs.append(met.where("n = 2").select("a", "b"))
-        crowds.append(freeze(near.join(met.where("n > 2").select("key", "n"), "key"), "near-copy-crowds"))
+        pairs.append(met.where("n = 2").select("a", "b").distinct())
+        # Texts whose halves agree meet on all 33 variants: of variants with the same members one is enough.
+        once = met.where("n > 2").groupBy("n", "a", "b", "set0", "set1").agg(F.min("key").alias("key"))
+        crowds.append(freeze(near.join(once.select("key", "n"), "key"), "near-copy-crowds"))
     return freeze(reduce(DataFrame.union, pairs).distinct(), "near-copy-pairs"), reduce(DataFrame.union, crowds)
 
 
