@@ -263,7 +263,10 @@ def window_key(spark, sf):
     return g.select("conversation_id", R.window_key(F.col("conversation_id"), F.col("ids")).alias("window_key"))
 
 
-@register("pack_to_budget")
+@register("pack_to_budget", f"""WITH RECURSIVE {_SCORED}, u AS (SELECT query_id, unit_id, max(score) AS score FROM b GROUP BY 1, 2), r AS (SELECT query_id, unit_id, unit_id * 37 % 60 + 10 AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS k FROM u),
+pk(query_id, k, ids, used) AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(8 AS BIGINT) FROM r
+    UNION ALL SELECT pk.query_id, pk.k + 1, CASE WHEN used + tokens <= 120 THEN list_append(ids, unit_id) ELSE ids END, CASE WHEN used + tokens <= 120 THEN used + tokens ELSE used END FROM pk JOIN r ON r.query_id = pk.query_id AND r.k = pk.k + 1 AND r.k <= 6)
+SELECT query_id, array_to_string(arg_max(ids, k), ',') AS fragment_ids, arg_max(used, k) AS tokens FROM pk GROUP BY query_id""")
 def pack_to_budget(spark, sf):
     s = R.select_direct(_scored(spark, sf), 6)
     packed = R.pack_to_budget(s.select("query_id", F.col("unit_id").alias("fragment_id"), "score", (F.col("unit_id") * 37 % 60 + 10).alias("tokens")), 120, 8)
