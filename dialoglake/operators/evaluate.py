@@ -16,11 +16,14 @@ def tokens_of(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(T.text_of(c)), F.lit(r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"), F.lit(0))
 
 
-def _gram_overlap(rows: DataFrame, n: int) -> DataFrame:
-    """(id, p tokens, r tokens) -> id, hit (clipped common n-grams), n_p, n_r."""
-    grams = lambda c, side: rows.select("id", F.explode(T.ngrams(F.col(c), n)).alias("g"), F.lit(side).alias("s"))
-    g = grams("p", 1).unionByName(grams("r", 0)).groupBy("id", "g").agg(F.sum("s").alias("cp"), F.sum(1 - F.col("s")).alias("cr"))
-    return g.groupBy("id").agg(F.sum(F.least("cp", "cr")).alias("hit"), F.sum("cp").alias("n_p"), F.sum("cr").alias("n_r"))
+def _gram_overlap(rows: DataFrame, most: int) -> DataFrame:
+    """(id, p tokens, r tokens) -> id and for n = 1..most: hitN (clipped common n-grams), n_pN, n_rN. All lengths share one
+    shuffle on (id, gram) and one on id."""
+    of = lambda c, n: F.transform(T.ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    grams = lambda c, side: rows.select("id", F.explode(F.concat(*(of(c, n) for n in range(1, most + 1)))).alias("x"), F.lit(side).alias("s"))
+    g = grams("p", 1).unionByName(grams("r", 0)).groupBy("id", "x.n", "x.g").agg(F.sum("s").alias("cp"), F.sum(1 - F.col("s")).alias("cr"))
+    some = lambda n, v, name: F.sum(F.when(F.col("n") == n, v)).alias(f"{name}{n}")
+    return g.groupBy("id").agg(*(x for n in range(1, most + 1) for x in (some(n, F.least("cp", "cr"), "hit"), some(n, F.col("cp"), "n_p"), some(n, F.col("cr"), "n_r"))))
 
 
 def sentence_metrics(rows: DataFrame, epsilon: float = 0.1) -> DataFrame:
@@ -29,9 +32,7 @@ def sentence_metrics(rows: DataFrame, epsilon: float = 0.1) -> DataFrame:
     BLEU has uniform weights, a brevity penalty, and epsilon in place of a zero count; ROUGE is the F value."""
     rows = rows.where("id is not null")
     out = rows.select("id", "p", "r", F.size("p").alias("len_p"), F.size("r").alias("len_r"))
-    for n in range(1, 5):
-        o = _gram_overlap(rows, n).select("id", *(F.col(c).alias(f"{c}{n}") for c in ("hit", "n_p", "n_r")))
-        out = out.join(o, "id", "left")
+    out = out.join(_gram_overlap(rows, 4), "id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     precision = lambda n: F.when(zero(f"hit{n}") > 0, F.col(f"hit{n}")).otherwise(epsilon) / F.greatest(zero(f"n_p{n}"), F.lit(1))
     bp = F.when(F.col("len_p") >= F.col("len_r"), 1.0).otherwise(F.exp(1 - F.col("len_r") / F.col("len_p")))
