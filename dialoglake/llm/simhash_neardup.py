@@ -248,13 +248,16 @@ def _extra_bits(nodes: int) -> int:
     return min(24, max(0, (max(1, nodes) - 1).bit_length() - ROOMY))
 
 
-def _colliding(nodes: DataFrame, radius: int, extra: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Nodes that meet on a variant: pairs (a, b) that are alone on theirs, and rows (key, node, n) of the variants on
-    which n nodes, three or more, meet; of variants on which the same nodes meet, one. Each half of a lane is a table of its own, searched by ball hashing; with `extra`
-    bits of the next lane behind it, which are within the radius like the others. A lane's
-    rows are counted by variant (combined before the shuffle, so a variant may hold any share of them), and its shuffle
-    is gone before the next lane begins."""
-    pairs, crowds = [], []
+def _colliding(nodes: DataFrame, radius: int, extra: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes that meet on a variant: pairs (a, b) that are alone on theirs; rows (key, half, n) of the variants on which n
+    nodes, three or more, meet; and the nodes (half, node) of these halves. Of variants on which the same nodes meet, one is
+    kept.
+
+    Each half of a lane is a table of its own, searched by ball hashing; with `extra` bits of the next lane behind it, which
+    are within the radius like the others. Nodes that agree in a half meet the same others, so a distinct half emits its
+    variants once and stands for all its nodes. Halves and variants are counted with a combine before the shuffle, so
+    one may hold any share of the nodes, and a lane's shuffle is gone before the next lane begins."""
+    pairs, crowds, members = [], [], []
     width = 32 + extra
     for lane, name in enumerate(_LANE):
         f, other = F.col(name), F.col(_LANE[(lane + 1) % LANES])
@@ -263,15 +266,20 @@ def _colliding(nodes: DataFrame, radius: int, extra: int = 0) -> tuple[DataFrame
             if extra:
                 x = F.shiftleft(x, extra).bitwiseOR(F.shiftrightunsigned(other, 64 - extra))
             halves.append(F.lit((2 * lane + h) << width).cast("long").bitwiseOR(x))
-        near = nodes.select("node", F.explode(F.concat(*(_ball(k, list(range(width)), (radius + 1) // 2) for k in halves))).alias("key"))
-        members = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"set{seed}") for seed in (0, 1)]
-        met = near.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"), *members).where("n > 1")
+        of = nodes.select("node", F.explode(F.array(*halves)).alias("half"))
+        sets = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"set{seed}") for seed in (0, 1)]
+        one = freeze(of.groupBy("half").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"), *sets), "near-copy-halves")
+        near = one.withColumn("key", F.explode(_ball(F.col("half"), list(range(width)), (radius + 1) // 2)))
+        met = near.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), *(F.bit_xor(s).alias(s) for s in ("set0", "set1"))).where("n > 1")
         met = freeze(met, "near-copy-keys")
         pairs.append(met.where("n = 2").select("a", "b").distinct())
-        # Texts whose halves agree meet on all 33 variants: of variants with the same members one is enough.
+        # Halves that many nodes share meet on all 33 variants: of variants with the same members one is enough.
         once = met.where("n > 2").groupBy("n", "a", "b", "set0", "set1").agg(F.min("key").alias("key"))
-        crowds.append(freeze(near.join(once.select("key", "n"), "key"), "near-copy-crowds"))
-    return freeze(reduce(DataFrame.union, pairs).distinct(), "near-copy-pairs"), reduce(DataFrame.union, crowds)
+        crowds.append(freeze(near.select("key", "half").join(once.select("key", "n"), "key"), "near-copy-crowds"))
+        drop_frozen(one)
+        members.append(of.join(crowds[-1].select("half").distinct(), "half", "left_semi").select("half", "node"))
+    join = lambda tables, name: freeze(reduce(DataFrame.union, tables), name)
+    return join(pairs, "near-copy-pairs").distinct(), reduce(DataFrame.union, crowds), join(members, "near-copy-members")
 
 
 def _grouped(rows: DataFrame, group: DataFrame) -> DataFrame:
@@ -324,20 +332,30 @@ def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_word
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("rep")
     nodes = freeze(marks.groupBy(*_MARKS).agg(rep).withColumn("node", F.monotonically_increasing_id()), "near-copy-nodes")
     verifier = _Verifier(docs, nodes, id_col, text_col, shingle_words, similarity)
-    pairs, crowd = _colliding(nodes, radius, _extra_bits(nodes.count()))
-    # In every crowded bucket, the member that meets most others against the rest.
-    weights = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
-    live = freeze(crowd.select("key", "node").join(weights, "node"), "near-copy-live")
-    pivots = freeze(live.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p")).select("key", F.col("p.node").alias("pivot")), "near-copy-pivots")
-    tried = live.join(pivots, "key").where("node <> pivot").select(*_ordered("node", "pivot")).union(pairs).distinct()
-    links = verifier.links(tried)
+    pairs, crowd, members = _colliding(nodes, radius, _extra_bits(nodes.count()))
+    # In every crowded variant, the member that meets most others against the rest. A half stands for all its nodes: its best
+    # node is the only one of them that can be a variant's pivot.
+    reach = crowd.groupBy("half").agg(F.sum("n").alias("reach"))
+    weights = members.join(reach, "half").groupBy("node").agg(F.sum("reach").alias("weight"))
+    best = members.join(weights, "node").groupBy("half").agg(F.max(F.struct("weight", "node")).alias("best"))
+    live = freeze(crowd.select("key", "half").join(best, "half"), "near-copy-live")
+    pivots = freeze(live.groupBy("key").agg(F.max("best").alias("p")).select("key", F.col("p.node").alias("pivot")), "near-copy-pivots")
+    met = freeze(live.join(pivots, "key").select("key", "half", F.col("best.node").alias("best"), "pivot"), "near-copy-met-pivots")
+    against = members.join(met.select("half", "pivot").distinct(), "half").where("node <> pivot").select(*_ordered("node", "pivot"))
+    links = verifier.links(against.union(pairs).distinct())
     group = freeze(connected_components(links), "near-copy-groups")
-    # Buckets that hold several groups even without their pivot: the members of these are searched exactly.
-    left = live.select("key", "node").join(pivots.withColumnRenamed("pivot", "node"), ["key", "node"], "left_anti")
-    left = freeze(_grouped(left, group), "near-copy-left")
-    unsettled = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = freeze(left.join(unsettled, "key").select("node", "component").distinct(), "near-copy-rest")
-    drop_frozen(live, left, pivots)
+    # Variants that hold several groups even without their pivot: the members of these are searched exactly.
+    grouped = freeze(_grouped(members, group), "near-copy-grouped")
+    but_best = F.when(F.col("node") != F.col("best"), F.col("component"))
+    spread = grouped.join(met.select("half", "best").distinct(), "half").groupBy("half").agg(
+        F.struct(F.min("component").alias("x"), F.max("component").alias("y")).alias("all"), F.struct(F.min(but_best).alias("x"), F.max(but_best).alias("y")).alias("others")
+    )
+    its = F.when(F.col("best") == F.col("pivot"), F.col("others")).otherwise(F.col("all"))
+    unsettled = met.join(spread, "half").select("key", its.alias("its")).groupBy("key").agg(F.min("its.x").alias("x"), F.max("its.y").alias("y")).where("x <> y").select("key")
+    sought = met.join(unsettled, "key").select("half", F.when(F.col("best") == F.col("pivot"), F.col("pivot")).alias("settled")).distinct()
+    rest = grouped.join(sought, "half").where(~F.col("node").eqNullSafe(F.col("settled"))).select("node", "component").distinct()
+    rest = freeze(rest, "near-copy-rest")
+    drop_frozen(live, pivots, met, grouped)
     if not rest.isEmpty():
         more = verifier.links(_apart_still(rest, verifier.sets_of(rest.select("node")), similarity))
         if not more.isEmpty():

@@ -216,9 +216,37 @@ def test_wider_keys_find_the_same_near_texts(spark):
     rows = [(1, base), (2, base + " end"), (3, base.replace("some7 ", "")), (4, "quite another text of its own words")]
     marks = S._marks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5).withColumn("node", F.col("doc_id"))
     for extra in (0, 7, 24):
-        pairs, crowd = S._colliding(marks, 2, extra)
+        pairs, crowd, members = S._colliding(marks, 2, extra)
+        crowd = crowd.join(members, "half")
         met = {(r.a, r.b) for r in pairs.collect()}
         for key in {r["key"] for r in crowd.collect()}:
             nodes = sorted(r["node"] for r in crowd.where(F.col("key") == key).select("node").distinct().collect())
             met |= {(a, b) for a in nodes for b in nodes if a < b}
         assert {(1, 2), (1, 3), (2, 3)} & met and not any(4 in p for p in met)
+
+
+def test_halves_stand_for_all_their_nodes(spark):
+    """Every group of nodes that meets on a variant is found, and no other: against the balls of all nodes one by one."""
+    rng = random.Random(11)
+    shared = [rng.getrandbits(32) for _ in range(3)]
+    half = lambda: rng.choice(shared) ^ (1 << rng.randrange(32) if rng.random() < 0.5 else 0) if rng.random() < 0.7 else rng.getrandbits(32)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    lanes = [[half() | half() << 32 for _ in S._LANE] for _ in range(40)]
+    nodes = spark.createDataFrame([(k, *map(signed, row)) for k, row in enumerate(lanes)], ", ".join(f"{c} long" for c in ["node", *S._LANE]))
+    pairs, crowd, members = S._colliding(nodes, 2)
+    two, more = set(), set()
+    for lane in range(S.LANES):
+        for side in (0, 32):
+            at = {}
+            for k, row in enumerate(lanes):
+                h = row[lane] >> side & 0xFFFFFFFF
+                for v in [h, *(h ^ 1 << b for b in range(32))]:
+                    at.setdefault(v, set()).add(k)
+            two |= {tuple(sorted(s)) for s in at.values() if len(s) == 2}
+            more |= {tuple(sorted(s)) for s in at.values() if len(s) > 2}
+    assert {(r.a, r.b) for r in pairs.collect()} == two and two
+    found = {}
+    for r in crowd.join(members, "half").collect():
+        found.setdefault((r.key, r.n), []).append(r.node)
+    assert {tuple(sorted(s)) for s in found.values()} == more and all(n == len(s) for (_, n), s in found.items())
+    assert crowd.count() < sum(map(len, found.values()))
