@@ -338,9 +338,10 @@ def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_word
     reach = crowd.groupBy("half").agg(F.sum("n").alias("reach"))
     weights = members.join(reach, "half").groupBy("node").agg(F.sum("reach").alias("weight"))
     best = members.join(weights, "node").groupBy("half").agg(F.max(F.struct("weight", "node")).alias("best"))
-    live = freeze(crowd.select("key", "half").join(best, "half"), "near-copy-live")
-    pivots = freeze(live.groupBy("key").agg(F.max("best").alias("p")).select("key", F.col("p.node").alias("pivot")), "near-copy-pivots")
-    met = freeze(live.join(pivots, "key").select("key", "half", F.col("best.node").alias("best"), "pivot"), "near-copy-met-pivots")
+    # A variant has few halves, those of a ball (33 for one flipped bit of 32), so a window over it is small.
+    variant = Window.partitionBy("key")
+    met = crowd.select("key", "half").join(best, "half").select("key", "half", "best", F.max("best").over(variant).alias("pivot"))
+    met = freeze(met.select("key", "half", F.col("best.node").alias("best"), F.col("pivot.node").alias("pivot")), "near-copy-met-pivots")
     against = members.join(met.select("half", "pivot").distinct(), "half").where("node <> pivot").select(*_ordered("node", "pivot"))
     links = verifier.links(against.union(pairs).distinct())
     group = freeze(connected_components(links), "near-copy-groups")
@@ -351,11 +352,12 @@ def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_word
         F.struct(F.min("component").alias("x"), F.max("component").alias("y")).alias("all"), F.struct(F.min(but_best).alias("x"), F.max(but_best).alias("y")).alias("others")
     )
     its = F.when(F.col("best") == F.col("pivot"), F.col("others")).otherwise(F.col("all"))
-    unsettled = met.join(spread, "half").select("key", its.alias("its")).groupBy("key").agg(F.min("its.x").alias("x"), F.max("its.y").alias("y")).where("x <> y").select("key")
-    sought = met.join(unsettled, "key").select("half", F.when(F.col("best") == F.col("pivot"), F.col("pivot")).alias("settled")).distinct()
+    placed = met.join(spread, "half").select("key", "half", "best", "pivot", its.alias("its"))
+    unsettled = placed.select("half", "best", "pivot", F.min("its.x").over(variant).alias("x"), F.max("its.y").over(variant).alias("y")).where("x <> y")
+    sought = unsettled.select("half", F.when(F.col("best") == F.col("pivot"), F.col("pivot")).alias("settled")).distinct()
     rest = grouped.join(sought, "half").where(~F.col("node").eqNullSafe(F.col("settled"))).select("node", "component").distinct()
     rest = freeze(rest, "near-copy-rest")
-    drop_frozen(live, pivots, met, grouped)
+    drop_frozen(met, grouped)
     if not rest.isEmpty():
         more = verifier.links(_apart_still(rest, verifier.sets_of(rest.select("node")), similarity))
         if not more.isEmpty():
