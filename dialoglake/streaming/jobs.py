@@ -122,6 +122,27 @@ def stream_latest_route(metrics: DataFrame, late: str = "2 hours", window: str =
     return g.select("conversation_id", F.col("window.start").alias("start"), F.col("m.id").alias("metric_id"), "m.is_consult", "m.route")
 
 
+def stream_current_route(metrics: DataFrame, idle: str = "7 days") -> DataFrame:
+    """Per conversation the metric with the largest id of all so far, however long ago: emitted when a batch brings a larger id.
+    State: that id, forgotten when the conversation has been idle past the watermark. Metrics without an id count for nothing."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames))
+        last = rows.loc[rows["id"].idxmax()]
+        before = state.get[0] if state.exists else None
+        larger = before is None or int(last["id"]) > before
+        state.update((int(last["id"]) if larger else before,))
+        _forget_after(state, rows, idle)
+        if larger:
+            yield pd.DataFrame([(key[0], int(last["id"]), last["is_consult"], last["route"])], columns=["conversation_id", "metric_id", "is_consult", "route"])
+
+    known = metrics.where("id is not null and conversation_id is not null").withWatermark("at", idle)
+    return known.groupBy("conversation_id").applyInPandasWithState(step, "conversation_id long, metric_id long, is_consult int, route string", "id long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_dedup_turns(messages: DataFrame, late: str = "1 hour") -> DataFrame:
     """Messages (at: time) that were sent again within the watermark are handled once."""
     return messages.withWatermark("at", late).dropDuplicatesWithinWatermark(["message_id"])

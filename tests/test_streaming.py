@@ -87,6 +87,20 @@ def test_latest_route(spark, source):
     assert updates.where("conversation_id = 9 and metric_id = 5").count() == 0
 
 
+def test_current_route(spark, source):
+    """A conversation's route is kept across days; a late metric with a smaller id changes nothing."""
+    stream, _ = source(metrics(), METRICS)
+    updates = jobs.run_available(jobs.stream_current_route(stream), "current", mode="update")
+    assert rows_of(updates) == [(7, 1, 0, "chat"), (7, 3, 1, "consult"), (8, 2, 1, "consult"), (9, 4, 0, "chat"), (9, 7, 0, "chat")]
+
+
+def test_current_route_forgets_idle_conversations(spark, source):
+    at = lambda d: START + dt.timedelta(days=d)
+    stream, _ = source([[(5, 7, 1, "consult", at(0))], [(9, 8, 0, "chat", at(20))], [(10, 8, 0, "chat", at(40))], [(4, 7, 0, "chat", at(41))]], METRICS)
+    got = rows_of(jobs.run_available(jobs.stream_current_route(stream, idle="2 days"), "forgotten", mode="update"))
+    assert (7, 5, 1, "consult") in got and (7, 4, 0, "chat") in got
+
+
 def test_dedup_turns(spark, source):
     at = lambda k: START + dt.timedelta(minutes=k)
     stream, _ = source([[(1, at(0)), (2, at(1))], [(1, at(5)), (3, at(6))], [(2, at(7)), (4, at(8)), (4, at(8))]], "message_id long, at timestamp")
