@@ -58,7 +58,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(read(spark, sf_dir, "documents"), wrapped=True)
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
 def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,33 +102,46 @@ FROM d
 
 
 def _op10_sql() -> str:
-    """Brute force: every line against every template."""
-    templates = ", ".join(f"('{label}', {licenses._template_words(t)!r})" for t, label in licenses.TEMPLATES.items())
+    """Brute force: every run of words of every paragraph against every template."""
+    names, limit = list(licenses.TEMPLATES), licenses.THRESHOLD
+    templates = ", ".join(
+        f"({k}, '{licenses.TEMPLATES[t]}', {licenses._template_words(t)!r}, {licenses._need(t, limit)}, {licenses._longest_run(t, limit)}, {[j for j, u in enumerate(names) if licenses._near(t, u, limit)]!r}::INT[])"
+        for k, t in enumerate(names)
+    )
     phrases = ", ".join(f"('{label}', '{p}', {p.split()!r})" for p, label in licenses.PHRASES.items())
-    lower = f"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
-WITH t(label, words) AS (VALUES {templates}),
+WITH t(k, label, words, need, long, near) AS (VALUES {templates}),
 ph(label, phrase, words) AS (VALUES {phrases}),
 d AS (
     SELECT row_number() OVER () AS r, doc_id,
         list_filter(regexp_split_to_array({lower}, '{gap}'), lambda x: x <> '') AS w,
-        string_split({lower}, chr(10)) AS lines
+        regexp_split_to_array({lower}, '{licenses.PARAGRAPH}') AS paragraphs
     FROM documents
 ), places AS (
     SELECT r, label, unnest(list_filter(range(len(w)), lambda i: list_slice(w, i + 1, i + len(words)) = words)) AS pos
     FROM d, ph WHERE list_has_all(w, words)
 ), base AS (
     SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY r
-), blocks AS (
-    SELECT r, unnest(lines) AS line FROM d
-), sets AS (
-    SELECT r, list_distinct(list_filter(regexp_split_to_array(line, '{gap}'), lambda x: x <> '')) AS s FROM blocks
+), para AS (
+    SELECT r, generate_subscripts(paragraphs, 1) AS p, unnest(paragraphs) AS body FROM d
+), said AS (
+    SELECT r, p, list_filter(regexp_split_to_array(body, '{gap}'), lambda x: x <> '') AS w FROM para
+), met AS (
+    SELECT r, p, w, t.* FROM said, t WHERE len(list_intersect(list_distinct(w), words)) >= need
+), counted AS (
+    SELECT r, p, k, label, len(words) AS size, near, need,
+        list_max(list_transform(range(greatest(1, len(w) - long + 1)), lambda i: len(list_intersect(list_distinct(list_slice(w, i + 1, i + long)), words)))) AS overlap
+    FROM met
 ), hits AS (
-    SELECT r, label, len(list_intersect(s, words)) / len(words) AS share FROM sets, t
-    WHERE len(list_intersect(s, words)) >= ceil(round({licenses.THRESHOLD} * len(words), 9))
+    SELECT *, overlap / size AS share FROM counted WHERE overlap >= need
+), kept AS (
+    SELECT * FROM hits m WHERE NOT EXISTS (
+        SELECT 1 FROM hits o WHERE o.r = m.r AND o.p = m.p AND list_contains(m.near, o.k)
+            AND (o.share > m.share OR o.share = m.share AND (o.size > m.size OR o.size = m.size AND o.k < m.k)))
 ), method AS (
-    SELECT r, list_distinct(list(label)) AS labels, max(share) AS best FROM hits GROUP BY r
+    SELECT r, list_distinct(list(label)) AS labels, max(share) AS best FROM kept GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
     coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

@@ -19,14 +19,18 @@ def brute(text):
         if at:
             base.add(label)
     labels, best = set(base), 0.0
-    for line in low.split("\n"):
-        s = set(WORD.findall(line))
-        for t, label in L.TEMPLATES.items():
-            wanted = set(t.split())
-            share = len(s & wanted) / len(wanted)
-            if len(s & wanted) >= math.ceil(round(L.THRESHOLD * len(wanted), 9)):
-                labels.add(label)
-                best = max(best, share)
+    for para in re.split(r"\n[ \t\r]*\n", low):
+        said, shares = WORD.findall(para), {}
+        for t in L.TEMPLATES:
+            wanted, run = set(t.split()), math.ceil(len(t.split()) / L.THRESHOLD)
+            most = max(len(set(said[i : i + run]) & wanted) for i in range(max(1, len(said) - run + 1)))
+            if most >= math.ceil(round(L.THRESHOLD * len(wanted), 9)):
+                shares[t] = (most / len(wanted), len(wanted), -list(L.TEMPLATES).index(t))
+        for t, s in shares.items():
+            near = [u for u in shares if u != t and len(set(t.split()) & set(u.split())) >= L.THRESHOLD * min(s[1], shares[u][1])]
+            if all(shares[u] < s for u in near):
+                labels.add(L.TEMPLATES[t])
+                best = max(best, s[0])
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else best
 
 
@@ -61,6 +65,35 @@ def test_wrapped_notices(spark, tmp_path):
     assert got == {0: ("gpl", 1.0), 1: ("bsd", 1.0), 2: ("mpl-2", 1.0), 3: ("gpl", 1.0), 4: ("gpl", 1.0), 5: ("mpl-2", 1.0), 6: ("", 0.0), 7: ("", 0.0)}
 
 
+def test_scattered_words_and_relatives(spark):
+    far = "licensed " + "x " * 300 + "under the " + "y " * 300 + "gnu lesser general " + "z " * 900 + "public license"
+    gap = "released under the " + "word " * 3000 + "mit license"
+    gpl = "licensed under the gnu general public license"
+    header = next(t for t, label in L.TEMPLATES.items() if label == "lgpl" and len(t) > 100)
+    texts = [far, gap, gpl, gpl + " version 3", header, header.replace("lesser ", "").replace("library", "program"), gpl + "\n\n" + header]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in L.scan_licenses(docs).collect()}
+    assert got == {0: "", 1: "", 2: "gpl", 3: "gpl", 4: "lgpl", 5: "gpl-3", 6: "gpl,lgpl"}
+
+
+def test_sql_says_the_same(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(4)
+    texts = [None, "", "\n\n"]
+    for _ in range(60):
+        out = []
+        for t in rng.choices([*L.TEMPLATES, "\n", " \n \n", "filler " * 30], k=rng.randint(1, 5)):
+            out.append(" ".join(x + rng.choice(["", "", "", "\n", " other"]) for x in t.split(" ") if rng.random() < 0.95))
+        texts.append(" ".join(out))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(queries.oracle_sql()["op10_license_scans"]).fetchall())
+    got = sorted(tuple(r) for r in queries.op10_license_scans(spark, str(tmp_path)).collect())
+    assert got == want and sum(r[6] != "" for r in got) > 20
+
+
 def test_only_ascii_letters_are_lowered(spark):
     rows = [(1, "Under The MIT License"), (2, "under the m\u0130t license"), (3, "released under the mit lin\u212a"), (4, "\u212a\u0130 \u00c9")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
