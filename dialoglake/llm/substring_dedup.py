@@ -1,8 +1,9 @@
 """Operator 5, substring dedup by content-defined chunking with a gear rolling hash.
 
 A text is cut after a blank where the gear hash of the last 16 bytes is low, so about every fifth word. Where no blank
-stands in the last 32 bytes, as in scripts without blanks or long codes, any character may be cut at by the same hash,
-about every 16 bytes. A cut depends on the 32 bytes before it alone, and none is forced: text inserted before a passage
+stands in the last 32 bytes, as in scripts without blanks or long codes, any character may be cut at where the hash is
+lower than at the 15 bytes before, about every 16 bytes; so a byte or short pattern that goes on and on, whichever it
+is, is one chunk. A cut depends on the 32 bytes before it alone, and none is forced: text inserted before a passage
 moves no cut inside it beyond the first few. Chunks are compared by a 128-bit digest. Of equal chunks the one in the
 document with the smallest id stays, in its first place there; runs of neighbouring chunks that repeat an earlier one
 and have at least `min_words` words are removed. Bytes without a blank in the 32 before them count as a word for eight.
@@ -47,6 +48,15 @@ def _unbroken(blank: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lower_than_before(h: np.ndarray) -> np.ndarray:
+    """Where a hash is lower than each of the WINDOW - 1 before it."""
+    out = np.ones(len(h), bool)
+    out[: WINDOW - 1] = False
+    for k in range(1, WINDOW):
+        out[k:] &= h[k:] < h[:-k]
+    return out
+
+
 def cuts(raw: bytes) -> np.ndarray:
     """Ends of the chunks of a text, in bytes; the last is its length."""
     b = np.frombuffer(raw, np.uint8)
@@ -58,8 +68,8 @@ def cuts(raw: bytes) -> np.ndarray:
     ends = np.flatnonzero(blank & (h < 65536 // 5)) + 1
     if len(b) > UNBROKEN:
         inside = _unbroken(blank) & ((b & 0xC0) != 0x80)
-        inside[1:] &= h[:-1] < 65536 // 16
         if inside.any():
+            inside[1:] &= _lower_than_before(h)[:-1]
             ends = np.union1d(ends, np.flatnonzero(inside))
     return np.append(ends[(ends > 0) & (ends < len(b))], len(b)).astype(np.int64)
 

@@ -101,6 +101,17 @@ def test_text_without_blanks_resists_shifts(spark):
     assert [r.doc_id for r in got] == [2] and 250 <= got[0].length <= 300
 
 
+def test_runs_of_any_byte_or_short_pattern_are_one_chunk(spark):
+    for unit in [chr(c) for c in range(33, 127)] + ["ab", "=-", "0x00", "é", "日本", "<td></td>"]:
+        assert len(S.cuts((unit * (6_000 // len(unit))).encode())) <= 6, unit
+        assert len(S.cuts(f"intro text {unit * 2000} end of it".encode())) <= 12, unit
+    rows = [(i, f"intro text {unit * 3000} end of it") for i, unit in enumerate("1~=C RX".replace(" ", ""))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert S.repeated_spans(docs).collect() == []
+    again = spark.createDataFrame([*rows, (99, rows[1][1])], "doc_id long, text string")
+    assert [(r.doc_id, r.length) for r in S.repeated_spans(again).collect()] == [(99, len(rows[1][1]))]
+
+
 def test_clashing_columns_are_carried(spark):
     passage = " ".join(f"shared{k}" for k in range(90))
     docs = spark.createDataFrame([(1, passage, 5, "a"), (2, passage + " own", 6, "b"), (2, passage + " own", 6, "b")], "doc_id long, text string, cut long, row string")
