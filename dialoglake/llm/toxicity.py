@@ -5,7 +5,8 @@ places. FTRL-proximal keeps a learning rate per coordinate and, by its L1 term,
 model is a short list of places and weights that is broadcast to score all documents.
 
 The model is fitted in one task on at most about `max_rows` labelled rows (a documented bound): labelled rows are
-taken by a hash of their id, each class up to half of the bound. The sampled ids are broadcast to the documents, so
+taken by a hash of their id, each class up to half of the bound, and thinned by another hash where their texts are so
+long that they have more than about `max_places` features together. The sampled ids are broadcast to the documents, so
 only the texts of the sample leave the tasks that read them; their features are made in parallel and stored, and the
 fitting task reads those alone. Scoring reads every text whole.
 
@@ -76,7 +77,14 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 8, alpha: float =
     return live, w.astype(np.float32), float(-bz / ((beta + bn**0.5) / alpha + l2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+def thinned(sample: DataFrame, max_places: int) -> DataFrame:
+    """All rows (doc_id, places), or by a hash of the id as many as have about max_places places together."""
+    size = sample.agg(F.sum(F.size("places"))).first()[0] or 0
+    draw = F.pmod(F.xxhash64(F.lit("toxicity-places"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    return sample.where(draw < max_places / size) if size > max_places else sample
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, max_places: int = 60_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """Fits on labelled rows outside the held-out fifth; see fit_ftrl for the result."""
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     per_class = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -108,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(idx, pa.int64()), pa.array(w, pa.float64())], ["place", "weight"])
 
     sample = freeze(one.select("doc_id", "y", "t.text").mapInArrow(measure, "doc_id long, y int, places array<int>"), "toxicity-sample")
-    model = sample.coalesce(1).mapInArrow(run, "place long, weight double").toArrow()
+    model = thinned(sample, max_places).coalesce(1).mapInArrow(run, "place long, weight double").toArrow()
     drop_frozen(taken, sample)
     idx, w = model.column("place").to_numpy(), model.column("weight").to_numpy()
     if not len(idx):

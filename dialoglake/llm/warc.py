@@ -73,8 +73,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_a_file:
     date = F.date_format(F.timestamp_seconds(F.coalesce(F.pmod("page_id", F.lit(_SPAN)), F.lit(0)) + _EPOCH), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     url = F.col("url")
-    for raw, coded in (("\r", "%0D"), ("\n", "%0A"), ("\t", "%09"), (" ", "%20")):
-        url = F.replace(url, F.lit(raw), F.lit(coded))
+    for c in (*range(0x21), 0x7F):
+        url = F.replace(url, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    url = F.when(F.col("url").rlike(r"[\x00-\x20\x7F]"), url).otherwise(F.col("url"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(_CRLF * 2))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("html")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF))

@@ -102,3 +102,11 @@ def test_language_id_on_held_out_rows(spark):
     assert L.predict(docs.limit(0), model).collect() == []
     one = L.fit(docs.where("lang = 'de'"))
     assert {r.lang_pred for r in L.predict(docs.where("doc_id < 50"), one).collect()} == {"de"}
+
+
+def test_sample_of_very_long_texts_is_thinned(spark):
+    sample = spark.range(2_000).selectExpr("id as doc_id", "sequence(1, 500) as places")
+    kept = T.thinned(sample, 250_000).selectExpr("sum(size(places))").first()[0]
+    assert 200_000 < kept < 300_000
+    assert T.thinned(sample, 1_000_000).count() == 2_000
+    assert T.thinned(sample.limit(0), 10).count() == 0

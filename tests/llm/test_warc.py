@@ -78,3 +78,10 @@ def test_url_key(spark):
 
     df = spark.createDataFrame([("http://www.Example.com/a?b=1#c",), ("https://m.x.org:8080",), ("plain",)], "u string")
     assert [r[0] for r in df.select(W.url_key(F.col("u"))).collect()] == ["com,example)/a?b=1", "org,x,m)/", "plain)/"]
+
+
+def test_control_characters_of_urls_are_encoded(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://e.org/a\x01b c\r\nd\x7f\x00\x1fé%", "x")], "page_id long, url string, html string")
+    W.write_warc(pages, f"file://{tmp_path}/w")
+    lines = spark.read.text(f"file://{tmp_path}/w").collect()
+    assert [r[0].strip() for r in lines if "Target" in r[0]] == ["WARC-Target-URI: http://e.org/a%01b%20c%0D%0Ad%7F%00%1Fé%"]
