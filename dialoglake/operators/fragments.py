@@ -152,14 +152,15 @@ def render_windows(windows: DataFrame, turns: DataFrame, today: str, budget: int
     rounding adds up. Those taken stand in order of time."""
     head = f"{TODAY.format(today)}\n{NOTICE}"
     opening, closing = '\n<retrieved_memory index="', "\n</retrieved_memory>\n"
+    begin, end = "<episodic_memory>\n", "\n</episodic_memory>"
     body = F.concat(F.lit('">\n'), F.array_join("lines", "\n"))
     own = F.concat(F.lit("\n" + opening), body, F.lit(closing))
     cjk = lambda c: F.regexp_count(c, F.lit(T.CJK_EXTENDED))
     w = windows.join(turn_lines(turns), ["query_id", "window_id"])
     x = F.struct((-F.col("score")).alias("worse"), "window_id", "conversation_id", "starts_at", body.alias("body"), F.length(own).alias("n"), cjk(own).cast("int").alias("cjk"))
     g = w.groupBy("query_id").agg(F.array_sort(F.collect_list(x)).alias("x"))
-    # A trailing line end is stripped; the outer tags are 38 characters with their line ends.
-    fixed_n, fixed_cjk = F.length(F.lit(head)) + 38 - 1, cjk(F.lit(head)).cast("int")
+    # A trailing line end is stripped.
+    fixed_n, fixed_cjk = F.lit(len(begin + head + end) - 1), cjk(F.lit(head)).cast("int")
     start = F.struct(F.array().cast("array<int>").alias("taken"), fixed_n.alias("n"), fixed_cjk.alias("cjk"), F.lit(0).alias("i"))
 
     def step(acc: Column, v: Column) -> Column:
@@ -172,7 +173,7 @@ def render_windows(windows: DataFrame, turns: DataFrame, today: str, budget: int
     chosen = F.array_sort(F.transform("p.taken", lambda i: F.struct(F.get("x", i)["starts_at"].alias("at"), F.get("x", i)["conversation_id"].alias("c"), F.get("x", i)["window_id"].alias("w"), F.get("x", i)["body"].alias("body"))))
     blocks = F.transform(chosen, lambda v, i: F.concat(F.lit(opening), (i + 1).cast("string"), v["body"], F.lit(closing)))
     text = F.concat(F.lit(head + "\n"), F.array_join(blocks, "\n"))
-    full = F.concat(F.lit("<episodic_memory>\n"), F.substring(text, F.lit(1), F.length(text) - 1), F.lit("\n</episodic_memory>"))
+    full = F.concat(F.lit(begin), F.substring(text, F.lit(1), F.length(text) - 1), F.lit(end))
     n = F.size("p.taken")
     left_out = F.transform(F.filter("x", lambda v, i: ~F.array_contains(F.col("p.taken"), i)), lambda v: v["window_id"])
     out = p.select("query_id", n.cast("long").alias("n"), left_out.alias("left_out"), F.when(n > 0, full).otherwise("").alias("rendered"))

@@ -116,6 +116,15 @@ def test_a_window_that_is_too_large_is_skipped_and_the_next_tried(spark):
     assert fragments.render_windows(w, t, "2026-01-01", full.tokens - 1).first().left_out == [0]
 
 
+@pytest.mark.parametrize("n", range(1, 7))
+def test_a_block_of_just_the_budget_is_taken(spark, n):
+    # Six lengths in a row, so that every remainder of three characters a token is met.
+    w, t = windows(spark, ["a" * n], [1.0])
+    full = fragments.render_windows(w, t, "2026-01-01").first()
+    assert full.n == 1 and fragments.render_windows(w, t, "2026-01-01", full.tokens).first() == full
+    assert fragments.render_windows(w, t, "2026-01-01", full.tokens - 1).first().left_out == [0]
+
+
 def test_long_turns_are_cut_to_the_match_or_the_end(spark):
     body = "x" * 3000 + "needle" + "y" * 3000
     w, t = windows(spark, [body], [1.0], "needle")
