@@ -243,8 +243,9 @@ ROOMY = 27
 
 
 def _extra_bits(nodes: int) -> int:
-    """How many bits of another lane a key takes beside its half: one more for each doubling beyond 2^ROOMY nodes, so that
-    the nodes that meet on a variant by chance don't grow with the corpus; at most 24, so that table and key fit a long."""
+    """A guide for a caller's extra_bits, never followed by itself (results would then depend on the size of the input):
+    how many bits of another lane a key takes beside its half so that the nodes that meet on a variant by chance don't grow
+    with the corpus. One more for each doubling beyond 2^ROOMY nodes; at most 24, so that table and key fit a long."""
     return min(24, max(0, (max(1, nodes) - 1).bit_length() - ROOMY))
 
 
@@ -325,14 +326,14 @@ def _apart_still(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return freeze(one.select(*_ordered("node", "other")).union(two.select(*_ordered("node", "other"))).distinct(), "near-copy-apart")
 
 
-def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
+def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, radius: int, extra_bits: int) -> tuple[DataFrame, DataFrame]:
     """The stored marks of all rows, and (set0, set1, component: a node, rep: the row that stands for this node)."""
     marks = freeze(_marks(docs, id_col, text_col, shingle_words), "near-copy-marks")
     # A node is a distinct set of shingles; copies share it and search once. Its first row stands for it.
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("rep")
     nodes = freeze(marks.groupBy(*_MARKS).agg(rep).withColumn("node", F.monotonically_increasing_id()), "near-copy-nodes")
     verifier = _Verifier(docs, nodes, id_col, text_col, shingle_words, similarity)
-    pairs, crowd, members = _colliding(nodes, radius, _extra_bits(nodes.count()))
+    pairs, crowd, members = _colliding(nodes, radius, extra_bits)
     # In every crowded variant, the member that meets most others against the rest. A half stands for all its nodes: its best
     # node is the only one of them that can be a variant's pivot.
     reach = crowd.groupBy("half").agg(F.sum("n").alias("reach"))
@@ -366,7 +367,7 @@ def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_word
     return marks, freeze(classes, "near-copy-classes")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2, extra_bits: int = 0) -> DataFrame:
     """(doc_id, component_id) per input row: groups of near copies, texts whose sets of word shingles have at least the
     given Jaccard similarity, and whatever such links join. component_id is the smallest doc_id of the group.
 
@@ -380,19 +381,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rarest shingles. So a large group costs rows in proportion to its members, not to their pairs.
 
     The votes are random, so two texts of just the similarity can miss each other in all ten tables; the README states
-    the measured recall. Texts without words are one group. Null ids come last: a group's id is null only if all its
+    the measured recall. Keys are of the same width for any input: 32 bits and what the caller adds by extra_bits (fewer
+    chance meetings, but also fewer of the pairs near the similarity). Texts without words are one group. Null ids come last: a group's id is null only if all its
     ids are.
     """
-    marks, classes = _near_copy_classes(docs, id_col, text_col, shingle_words, similarity, radius)
+    marks, classes = _near_copy_classes(docs, id_col, text_col, shingle_words, similarity, radius, extra_bits)
     lowest = classes.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"))
     ids = freeze(classes.join(lowest, "component").select("set0", "set1", "component_id"), "near-copy-ids")
     return marks.join(ids, ["set0", "set1"]).select("doc_id", "component_id")
 
 
-def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2, extra_bits: int = 0) -> DataFrame:
     """One row of docs for each group of near_copies, columns unchanged: that with the smallest id (null ids last), of
     several rows with this id that with the smallest digest of the text, of equal rows one."""
-    _, classes = _near_copy_classes(docs, id_col, text_col, shingle_words, similarity, radius)
+    _, classes = _near_copy_classes(docs, id_col, text_col, shingle_words, similarity, radius, extra_bits)
     kept = classes.groupBy("component").agg(F.min("rep").alias("rep")).select(F.struct(F.coalesce("rep.doc_id", F.lit(0)).alias("id"), F.col("rep.none").alias("none"), F.col("rep.digest").alias("digest")).alias("key"))
     rows = docs.select(
         F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).cast("long").isNull().alias("none"), F.xxhash64(F.col(text_col).cast("string")).alias("digest")).alias("key"), row_of(docs)

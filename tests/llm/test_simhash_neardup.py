@@ -225,6 +225,16 @@ def test_wider_keys_find_the_same_near_texts(spark):
         assert {(1, 2), (1, 3), (2, 3)} & met and not any(4 in p for p in met)
 
 
+def test_keys_do_not_depend_on_the_size_of_the_input(spark, monkeypatch):
+    widths, colliding = [], S._colliding
+    monkeypatch.setattr(S, "ROOMY", 0)
+    monkeypatch.setattr(S, "_colliding", lambda nodes, radius, extra=0: widths.append(extra) or colliding(nodes, radius, extra))
+    docs = spark.createDataFrame([(k, f"text {k} has words of its own {k * k}") for k in range(9)], "doc_id long, text string")
+    assert S.near_copies(docs).count() == 9
+    assert S.near_copies(docs, extra_bits=3).count() == 9
+    assert widths == [0, 3]
+
+
 def test_halves_stand_for_all_their_nodes(spark):
     """Every group of nodes that meets on a variant is found, and no other: against the balls of all nodes one by one."""
     rng = random.Random(11)
