@@ -133,18 +133,12 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 LANES = 5
 _LANE = [f"f{k}" for k in range(LANES)]
 _MARKS = ["set0", "set1", *_LANE]
-_CACHE_WORDS = 500_000
-_hash_of: dict[bytes, int] = {}
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """XXH64 of every word of the text, A-Z lower-cased."""
-    words = (text or "").encode().lower().split()
-    if len(_hash_of) > _CACHE_WORDS:
-        _hash_of.clear()
-    for w in set(words).difference(_hash_of):
-        _hash_of[w] = xxhash.xxh64_intdigest(w, 42)
-    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    words, h = (text or "").encode().lower().split(), xxhash.xxh64_intdigest
+    return np.fromiter((h(w, 42) for w in words), np.uint64, len(words))
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 import xxhash
@@ -235,6 +236,18 @@ def test_keys_do_not_depend_on_the_size_of_the_input(spark, monkeypatch):
     assert widths == [0, 3]
 
 
+def test_hashing_words_keeps_none_of_them():
+    """A worker serves many stages, so what it keeps adds up."""
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for k in range(50):
+            assert len(S.word_hashes(" ".join(f"w{k}x{i}" for i in range(1000)))) == 1000
+        assert tracemalloc.get_traced_memory()[0] - before < 100_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_halves_stand_for_all_their_nodes(spark):
     """Every group of nodes that meets on a variant is found, and no other: against the balls of all nodes one by one."""
     rng = random.Random(11)
