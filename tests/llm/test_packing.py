@@ -95,3 +95,24 @@ def test_special_tokens_in_any_case():
     texts = [f"Some {x} More {x.upper()} {x.title()} in{x}side A{x.upper()}B {x}{x}\nEND {x[:-1]}" for x in special] + ["<|ENDOFTEXT|>", "x<|StartOfText|>y", "a <|ENDOFTEXT|> b", "<|endoftext|>", "no mark < | here"]
     for text, raw in zip(texts, packing.token_bytes(texts, path, 0)):
         assert np.frombuffer(raw, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0], text
+
+
+def test_new_words_are_encoded_many_at_once(monkeypatch):
+    whole, given = Tokenizer.from_file(PATH), []
+
+    class Counting:
+        get_added_tokens_decoder = whole.get_added_tokens_decoder
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            given.extend(texts)
+            return whole.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(packing, "_worker", {"tokenizer": Counting()})
+    texts = [" ".join(f"{'abcdefghij'[k % 10]}word{k}!" for k in range(i, i + 600)) for i in (0, 300, 900)]
+    for text, raw in zip(texts, packing.token_bytes(texts, PATH, 0)):
+        assert np.frombuffer(raw, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+    assert len(given) < 10
+    # Words that hold the mark itself are taken one by one.
+    texts = ["a\x01b \x01 c\x01", "\x01", "\u0301x e\u0301 \u0301", "tab\tin \u00a0 side"]
+    for text, raw in zip(texts, packing.token_bytes(texts, PATH, 0)):
+        assert np.frombuffer(raw, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0], text
