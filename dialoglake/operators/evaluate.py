@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -16,23 +17,29 @@ def tokens_of(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(T.text_of(c)), F.lit(r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"), F.lit(0))
 
 
-def _gram_overlap(rows: DataFrame, most: int) -> DataFrame:
-    """(id, p tokens, r tokens) -> id and for n = 1..most: hitN (clipped common n-grams), n_pN, n_rN. All lengths share one
-    shuffle on (id, gram) and one on id."""
-    of = lambda c, n: F.transform(T.ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-    grams = lambda c, side: rows.select("id", F.explode(F.concat(*(of(c, n) for n in range(1, most + 1)))).alias("x"), F.lit(side).alias("s"))
-    g = grams("p", 1).unionByName(grams("r", 0)).groupBy("id", "x.n", "x.g").agg(F.sum("s").alias("cp"), F.sum(1 - F.col("s")).alias("cr"))
-    some = lambda n, v, name: F.sum(F.when(F.col("n") == n, v)).alias(f"{name}{n}")
-    return g.groupBy("id").agg(*(x for n in range(1, most + 1) for x in (some(n, F.least("cp", "cr"), "hit"), some(n, F.col("cp"), "n_p"), some(n, F.col("cr"), "n_r"))))
+def gram_overlap(p: Column, r: Column, most: int) -> Column:
+    """For n = 1..most, how many n-grams two token arrays share, each as often as both have it; null has none. A row has all
+    that it needs, so nothing is shuffled."""
+
+    def hits(a: Sequence[str] | None, b: Sequence[str] | None) -> list[int]:
+        a, b = (list(x) if x is not None else [] for x in (a, b))
+        runs = lambda t, n: Counter(zip(*(t[i:] for i in range(n))))
+        return [sum((runs(a, n) & runs(b, n)).values()) for n in range(1, most + 1)]
+
+    @F.pandas_udf("array<int>")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([hits(a, b) for a, b in zip(x, y)], dtype=object)
+
+    return of(p, r)
 
 
 def sentence_metrics(rows: DataFrame, epsilon: float = 0.1) -> DataFrame:
     """(id, p, r: token arrays) -> id, bleu_1..4, rouge_1, rouge_2, rouge_l, in 0..1.
 
     BLEU has uniform weights, a brevity penalty, and epsilon in place of a zero count; ROUGE is the F value."""
-    rows = rows.where("id is not null")
-    out = rows.select("id", "p", "r", F.size("p").alias("len_p"), F.size("r").alias("len_r"))
-    out = out.join(_gram_overlap(rows, 4), "id", "left")
+    out = rows.where("id is not null").select("id", "p", "r", F.size("p").alias("len_p"), F.size("r").alias("len_r"), gram_overlap(F.col("p"), F.col("r"), 4).alias("hits"))
+    grams = lambda c, n: F.greatest(F.col(c) - (n - 1), F.lit(0))
+    out = out.select("*", *(F.col("hits")[n - 1].alias(f"hit{n}") for n in range(1, 5)), *(grams(f"len_{c}", n).alias(f"n_{c}{n}") for c in "pr" for n in range(1, 5)))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     precision = lambda n: F.when(zero(f"hit{n}") > 0, F.col(f"hit{n}")).otherwise(epsilon) / F.greatest(zero(f"n_p{n}"), F.lit(1))
     bp = F.when(F.col("len_p") >= F.col("len_r"), 1.0).otherwise(F.exp(1 - F.col("len_r") / F.col("len_p")))
