@@ -83,15 +83,19 @@ TAGS = [r"</?(reply|rejected|think|thinking|reasoning|analysis|回复)[^>]*>", r
 def rejected_quality_flags(text: Column, cjk_expected: bool = True, meta: list[str] = META_TRACE, tags: list[str] = TAGS, least: int = 8) -> Column:
     """What is wrong with a rejected answer: missing_rejected (null), empty_rejected, or any of no_cjk, englishy, meta_trace,
     xml_tags, quote_meta (double quotes among ASCII letters) and too_short."""
-    t = T.strip(T.text_of(text))
-    said, cjk, ascii_ = t != "", T.count_cjk(t), T.count_ascii_letters(t)
-    found = lambda patterns: t.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
-    flags = [
-        F.when(text.isNull(), "missing_rejected"), F.when(text.isNotNull() & ~said, "empty_rejected"), F.when(F.lit(cjk_expected) & said & (cjk == 0), "no_cjk"),
-        F.when(F.lit(cjk_expected) & (ascii_ >= 25) & (cjk < 10), "englishy"), F.when(found(meta), "meta_trace"), F.when(found(tags), "xml_tags"),
-        F.when(t.contains('"') & (ascii_ >= 10), "quote_meta"), F.when(said & (F.length(t) < least), "too_short"),
-    ]
-    return F.array_compact(F.array(*flags))
+    # Whether a text has n of a kind of character is one search that ends at the n-th; a count would go on to its end.
+    def flags(x: Column) -> Column:
+        t, low = x["t"], x["low"]
+        said, cjk, ascii_ = t != "", lambda n: t.rlike(T.at_least(T.CJK, n)), lambda n: t.rlike(T.at_least("[A-Za-z]", n))
+        each = [
+            F.when(text.isNull(), "missing_rejected"), F.when(text.isNotNull() & ~said, "empty_rejected"), F.when(F.lit(cjk_expected) & said & ~cjk(1), "no_cjk"),
+            F.when(F.lit(cjk_expected) & ascii_(25) & ~cjk(10), "englishy"), F.when(T.matches_any(t, low, meta), "meta_trace"), F.when(T.matches_any(t, low, tags), "xml_tags"),
+            F.when(t.contains('"') & ascii_(10), "quote_meta"), F.when(said & (F.length(t) < least), "too_short"),
+        ]
+        return F.array_compact(F.array(*each))
+
+    # Stripped and folded once for all flags.
+    return T.bound(T.strip(T.text_of(text)), lambda t: T.bound(F.struct(t.alias("t"), T.folded(t).alias("low")), flags))
 
 
 def parse_winner(raw: Column) -> Column:

@@ -137,3 +137,14 @@ def test_neighbours_and_appending(spark):
     new = spark.createDataFrame([(9, "b"), (5, "a"), (7, "c"), (8, "c")], "n int, k string")
     rows = lambda target: sorted(r.n for r in append_new_until(have, new, "k", [F.col("n")], target).collect())
     assert rows(2) == [1, 7] and rows(9) == [1, 7, 9] and rows(0) == [1]
+
+
+def test_terms_in_any_case_need_no_pattern(spark):
+    terms = ["the user|fine\\.|a(b|c)|[|]x", "你好"]
+    assert T._alternatives(terms[0]) == ["the user", "fine\\.", "a(b|c)", "[|]x"]
+    texts = ["THE USER", "the ſser", "the uſer", "FİNE.", "fıne.", "fine!", "AC", "|X", "x", "说你好", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = df.select(F.col("t").rlike("(?iu)" + "|".join(f"(?:{p})" for p in terms))).collect()
+    assert df.select(T.matches_any(F.col("t"), T.folded(F.col("t")), terms)).collect() == want
+    plan = df.select(T.matches_any(F.col("t"), T.folded(F.col("t")), terms))._jdf.queryExecution().optimizedPlan().toString()
+    assert "the user|" not in plan
