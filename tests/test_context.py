@@ -231,3 +231,29 @@ def test_build_fragments(spark, most, want):
         # Message 5 is too far off, so what is behind it isn't reached.
         assert (texts(got[3].core), texts(got[3].earlier), texts(got[3].later), got[3].reply) == (["text 3"], ["text 1"], [], "")
         assert (got[4].reply, texts(got[4].earlier)) == ("text 3", ["text 1", "text 3"])
+
+
+def test_users_of_any_size_are_scored_and_paired_in_blocks(spark):
+    """Small blocks and slices give what large ones give, and no shuffle of pairs is planned for a fallback."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    units = spark.createDataFrame([(i, i % 2, i, rng.choice(["user", "assistant"]), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(60)], "unit_id long, user_id long, message_id long, role string, content string")
+    queries = spark.createDataFrame([(i, i % 3, " ".join(rng.choices(words, k=3)), ["user", "assistant", "both"][i % 4 % 3]) for i in range(20)], "query_id long, user_id long, text string, role_scope string")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "unit_id", F.round("bm25", 9), "lexical_rank").collect()))
+    whole = key(retrieval.bm25_topk(queries, units, 4))
+    assert whole and key(retrieval.bm25_topk(queries, units, 4, unit_block=7, query_block=3)) == whole
+    out = queries.select("query_id", "user_id").join(units.where("message_id % 3 = 0").select("user_id", "message_id"), "user_id")
+    pairs = lambda n: sorted(map(tuple, retrieval.scoped(queries, units, out, n).collect()))
+    assert pairs(50) == pairs(10**9) and pairs(50)
+    for least in (1, 14, 99):
+        scopes = queries.select("query_id", "user_id", F.explode(F.array_distinct(F.array(F.lit("both"), "role_scope"))).alias("role_scope"))
+        hits = scopes.join(units, "user_id").where("role_scope = 'both' or role_scope = role").select("query_id", "role_scope", "unit_id")
+        want = sorted(map(tuple, retrieval.scope_fallback(hits, queries, least).select("query_id", "role_scope", "unit_id").collect()))
+        assert sorted(map(tuple, retrieval.scoped_fallback(queries, units, least).collect())) == want
+
+
+def test_overlap_shuffles_nothing(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a", "b"], ["a", "b", "a"]), (2, [], ["a"]), (3, None, ["a"])], "id long, p array<string>, r array<string>")
+    got = evaluate.sentence_metrics(rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.id, round(r.rouge_1, 6), round(r.rouge_2, 6)) for r in got.orderBy("id").collect()] == [(1, round(6 / 7, 6), 0.8), (2, 0.0, 0.0), (3, 0.0, 0.0)]
