@@ -79,14 +79,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, "doc_id long, fp long")
 
 
-def _ball(key: Column, bits: list[int], half_radius: int) -> Column:
-    """Array of the key and its variants with up to half_radius of these bits flipped."""
+def _flips(bits: list[int], half_radius: int) -> list[int]:
+    """No bit and all choices of up to half_radius of these bits, as Spark's longs."""
     flips = [0]
     masks = [1 << b for b in bits]
     for depth in range(1, half_radius + 1):
         flips += [sum(c) for c in _choose(masks, depth)]
-    signed = [f - (1 << 64) if f >= 1 << 63 else f for f in flips]
-    return F.array(*(key.bitwiseXOR(F.lit(f).cast("long")) for f in signed))
+    return [f - (1 << 64) if f >= 1 << 63 else f for f in flips]
+
+
+def _ball(key: Column, bits: list[int], half_radius: int) -> Column:
+    """Array of the key and its variants with up to half_radius of these bits flipped."""
+    return F.array(*(key.bitwiseXOR(F.lit(f).cast("long")) for f in _flips(bits, half_radius)))
 
 
 def _choose(items: list[int], n: int, start: int = 0):
@@ -201,6 +205,8 @@ class _Verifier:
     def __init__(self, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float):
         self.nodes, self.similarity = nodes, similarity
         self.sets: DataFrame | None = None
+        #: Tables that can go when the last pair is tested.
+        self.stored: list[DataFrame] = []
         self.fetch = lambda wanted: _shingle_sets(docs, wanted, id_col, text_col, shingle_words)
         # Votes farther apart than those of sets of half the similarity: such pairs needn't be verified.
         half = similarity / 2
@@ -211,8 +217,11 @@ class _Verifier:
         missing = self.nodes.join(wanted, "node", "left_semi")
         if self.sets is None:
             self.sets = self.fetch(missing)
+            self.stored.append(self.sets)
         elif not (missing := missing.join(self.sets, "node", "left_anti")).isEmpty():
-            self.sets = self.sets.union(self.fetch(missing))
+            more = self.fetch(missing)
+            self.stored.append(more)
+            self.sets = self.sets.union(more)
         return self.sets
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -220,6 +229,7 @@ class _Verifier:
         right = self.nodes.select(F.col("node").alias("b"), *_LANE)
         apart = sum((F.bit_count(F.col(f"l_{x}").bitwiseXOR(F.col(x))) for x in _LANE), F.lit(0))
         near = freeze(pairs.join(left, "a").join(right, "b").where(apart <= self.most_bits).select("a", "b"), "near-copy-candidates")
+        self.stored.append(near)
         sets = self.sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
@@ -243,6 +253,20 @@ def _extra_bits(nodes: int) -> int:
     return min(24, max(0, (max(1, nodes) - 1).bit_length() - ROOMY))
 
 
+def _met(halves: DataFrame, bits: list[int], half_radius: int) -> DataFrame:
+    """(half, keys: the variants on which it meets another half) of the halves that meet any.
+
+    All variants of all halves are shuffled, by far the most rows of the search, so they carry little: a half is its
+    variant with one choice of bits flipped, so the number of that choice tells it, and one long holds all that meet."""
+    near = halves.select("half", F.posexplode(_ball(F.col("half"), bits, half_radius)).alias("flip", "key"))
+    if len(_flips(bits, half_radius)) < 64:
+        met = near.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, flip)")).alias("who")).where("bit_count(who) > 1")
+        met = met.select("key", "who", F.posexplode(_ball(F.col("key"), bits, half_radius)).alias("flip", "half")).where("shiftright(who, flip) & 1 = 1")
+    else:
+        met = near.groupBy("key").agg(F.collect_set("half").alias("who")).where("size(who) > 1").select("key", F.explode("who").alias("half"))
+    return met.groupBy("half").agg(F.collect_list("key").alias("keys"))
+
+
 def _colliding(nodes: DataFrame, radius: int, extra: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes that meet on a variant: pairs (a, b) that are alone on theirs; rows (key, half, n) of the variants on which n
     nodes, three or more, meet; and the nodes (half, node) of these halves. Of variants on which the same nodes meet, one is
@@ -250,8 +274,9 @@ def _colliding(nodes: DataFrame, radius: int, extra: int = 0) -> tuple[DataFrame
 
     Each half of a lane is a table of its own, searched by ball hashing; with `extra` bits of the next lane behind it, which
     are within the radius like the others. Nodes that agree in a half meet the same others, so a distinct half emits its
-    variants once and stands for all its nodes. Halves and variants are counted with a combine before the shuffle, so
-    one may hold any share of the nodes, and a lane's shuffle is gone before the next lane begins."""
+    variants once and stands for all its nodes. Halves are counted with a combine before the shuffle, so one may hold any
+    share of the nodes; what a variant's nodes are is looked up only for variants that two nodes meet on; and a lane's
+    shuffle is gone before the next lane begins."""
     pairs, crowds, members = [], [], []
     width = 32 + extra
     for lane, name in enumerate(_LANE):
@@ -264,17 +289,22 @@ def _colliding(nodes: DataFrame, radius: int, extra: int = 0) -> tuple[DataFrame
         of = nodes.select("node", F.explode(F.array(*halves)).alias("half"))
         sets = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"set{seed}") for seed in (0, 1)]
         one = freeze(of.groupBy("half").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"), *sets), "near-copy-halves")
-        near = one.withColumn("key", F.explode(_ball(F.col("half"), list(range(width)), (radius + 1) // 2)))
-        met = near.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), *(F.bit_xor(s).alias(s) for s in ("set0", "set1"))).where("n > 1")
+        bits, half_radius = list(range(width)), (radius + 1) // 2
+        # A half of several nodes also meets them on a variant that no other half reaches, if there is one.
+        keys = F.coalesce("keys", F.array().cast("array<long>"))
+        own = F.when(F.col("n") > 1, F.array_min(F.array_except(_ball(F.col("half"), bits, half_radius), keys)))
+        near = one.join(_met(one, bits, half_radius), "half", "left").where("n > 1 or keys is not null")
+        near = near.withColumn("key", F.explode(F.array_compact(F.array_append(keys, own)))).drop("keys")
+        near = freeze(near, "near-copy-variants")
+        met = near.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), *(F.bit_xor(s).alias(s) for s in ("set0", "set1")))
         met = freeze(met, "near-copy-keys")
-        pairs.append(met.where("n = 2").select("a", "b").distinct())
-        # Halves that many nodes share meet on all 33 variants: of variants with the same members one is enough.
+        pairs.append(freeze(met.where("n = 2").select("a", "b").distinct(), "near-copy-pairs"))
+        # Halves may meet on several variants: of variants with the same members one is enough.
         once = met.where("n > 2").groupBy("n", "a", "b", "set0", "set1").agg(F.min("key").alias("key"))
         crowds.append(freeze(near.select("key", "half").join(once.select("key", "n"), "key"), "near-copy-crowds"))
-        drop_frozen(one)
+        drop_frozen(one, near, met)
         members.append(of.join(crowds[-1].select("half").distinct(), "half", "left_semi").select("half", "node"))
-    join = lambda tables, name: freeze(reduce(DataFrame.union, tables), name)
-    return join(pairs, "near-copy-pairs").distinct(), reduce(DataFrame.union, crowds), join(members, "near-copy-members")
+    return reduce(DataFrame.union, pairs).distinct(), reduce(DataFrame.union, crowds), freeze(reduce(DataFrame.union, members), "near-copy-members")
 
 
 def _grouped(rows: DataFrame, group: DataFrame) -> DataFrame:
@@ -336,10 +366,19 @@ def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_word
     # A variant has few halves, those of a ball (33 for one flipped bit of 32), so a window over it is small.
     variant = Window.partitionBy("key")
     met = crowd.select("key", "half").join(best, "half").select("key", "half", "best", F.max("best").over(variant).alias("pivot"))
-    met = freeze(met.select("key", "half", F.col("best.node").alias("best"), F.col("pivot.node").alias("pivot")), "near-copy-met-pivots")
-    against = members.join(met.select("half", "pivot").distinct(), "half").where("node <> pivot").select(*_ordered("node", "pivot"))
-    links = verifier.links(against.union(pairs).distinct())
+    met = freeze(met.select("key", "half", F.col("best.node").alias("best"), F.col("pivot.node").alias("pivot"), F.col("pivot.weight").alias("weight")), "near-copy-met-pivots")
+    against = members.join(met.select("half", "pivot", "weight").distinct(), "half").where("node <> pivot").select("node", "pivot", "weight").distinct()
+    against = freeze(against, "near-copy-against")
+    # First each node with the greatest of its pivots: that joins most of a group, and pairs within a component need no test.
+    greatest = against.groupBy("node").agg(F.max(F.struct("weight", "pivot")).alias("to")).select("node", F.col("to.pivot").alias("pivot"))
+    links = verifier.links(greatest.select(*_ordered("node", "pivot")).union(pairs).distinct())
     group = freeze(connected_components(links), "near-copy-groups")
+    its = group.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
+    apart = _grouped(against, group).join(its, "pivot", "left").where(F.col("component") != F.coalesce("its", "pivot"))
+    apart = freeze(apart.select("node", "pivot").join(greatest, ["node", "pivot"], "left_anti").select(*_ordered("node", "pivot")).distinct(), "near-copy-untried")
+    if not apart.isEmpty():
+        links = links.union(verifier.links(apart))
+        group = freeze(connected_components(links), "near-copy-groups")
     # Variants that hold several groups even without their pivot: the members of these are searched exactly.
     grouped = freeze(_grouped(members, group), "near-copy-grouped")
     but_best = F.when(F.col("node") != F.col("best"), F.col("component"))
@@ -357,8 +396,9 @@ def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_word
         more = verifier.links(_apart_still(rest, verifier.sets_of(rest.select("node")), similarity))
         if not more.isEmpty():
             group = freeze(connected_components(links.union(more)), "near-copy-groups")
-    classes = _grouped(nodes.select("node", "set0", "set1", "rep"), group).select("set0", "set1", "component", "rep")
-    return marks, freeze(classes, "near-copy-classes")
+    classes = freeze(_grouped(nodes.select("node", "set0", "set1", "rep"), group).select("set0", "set1", "component", "rep"), "near-copy-classes")
+    drop_frozen(nodes, members, crowd, pairs, against, apart, links, group, rest, *verifier.stored)
+    return marks, classes
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2, extra_bits: int = 0) -> DataFrame:
@@ -388,9 +428,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2, extra_bits: int = 0) -> DataFrame:
     """One row of docs for each group of near_copies, columns unchanged: that with the smallest id (null ids last), of
     several rows with this id that with the smallest digest of the text, of equal rows one."""
-    _, classes = _near_copy_classes(docs, id_col, text_col, shingle_words, similarity, radius, extra_bits)
-    kept = classes.groupBy("component").agg(F.min("rep").alias("rep")).select(F.struct(F.coalesce("rep.doc_id", F.lit(0)).alias("id"), F.col("rep.none").alias("none"), F.col("rep.digest").alias("digest")).alias("key"))
-    rows = docs.select(
-        F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).cast("long").isNull().alias("none"), F.xxhash64(F.col(text_col).cast("string")).alias("digest")).alias("key"), row_of(docs)
-    )
-    return rows.join(freeze(kept, "near-copy-kept"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    marks, classes = _near_copy_classes(docs, id_col, text_col, shingle_words, similarity, radius, extra_bits)
+    kept = classes.groupBy("component").agg(F.min("rep").alias("rep"))
+    kept = freeze(kept.select(F.coalesce("rep.doc_id", F.lit(0)).alias("id"), F.col("rep.none").alias("none"), F.col("rep.digest").alias("digest")), "near-copy-kept")
+    drop_frozen(marks, classes)
+    # Plain columns as keys, the same for join and grouping: the rows are dealt once for both.
+    key, id_ = ["id", "none", "digest"], F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(id_, F.lit(0)).alias("id"), id_.isNull().alias("none"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), row_of(docs))
+    return rows.join(kept, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dialoglake.llm.common import freeze, row_of
+from dialoglake.llm.common import drop_frozen, freeze, row_of
 
 WINDOW = 16
 UNBROKEN = 32
@@ -124,8 +124,16 @@ def _chunk_rows(docs: DataFrame, id_col: str, text_col: str, with_place: bool) -
 def repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans to remove, one row each: doc_id, row (hash of id and text), start and length (code points), n_words,
     first_doc_id (the smallest id of a document that keeps one of the span's chunks)."""
+    return _spans(docs, _repeated_chunks(docs, id_col, text_col), min_words, id_col, text_col)
+
+
+def _repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(d0, d1, keeper) of the chunks that there are several of, stored."""
     once = _chunk_rows(docs, id_col, text_col, with_place=False)
-    known = freeze(once.groupBy("d0", "d1").agg(F.min("doc").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-chunks")
+    return freeze(once.groupBy("d0", "d1").agg(F.min("doc").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-chunks")
+
+
+def _spans(docs: DataFrame, known: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     every = _chunk_rows(docs, id_col, text_col, with_place=True)
     first = F.col("place").bitwiseAND(1) == 1
     again = every.join(known, ["d0", "d1"]).where((F.col("doc") != F.col("keeper")) | ~first)
@@ -146,8 +154,12 @@ def repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
 def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """docs with the repeated spans cut out of the text; all other columns as they were. drop_emptied leaves out rows
     of whose text nothing stays."""
-    spans = repeated_spans(docs, min_words, id_col, text_col)
+    known = _repeated_chunks(docs, id_col, text_col)
+    spans = _spans(docs, known, min_words, id_col, text_col)
     cut = spans.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.col("row").alias("hash")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("cut"))
+    # Stored, so that the shuffles of the chunks are gone before that of the texts begins.
+    cut = freeze(cut, "repeated-spans")
+    drop_frozen(known)
     rows = docs.select(_key(id_col).alias("doc"), _row(id_col, text_col).alias("hash"), F.col(text_col).alias("text"), row_of(docs))
     joined = rows.join(cut, ["doc", "hash"], "left")
     # What stays between the cut spans, joined again.

@@ -273,3 +273,38 @@ def test_halves_stand_for_all_their_nodes(spark):
         found.setdefault((r.key, r.n), []).append(r.node)
     assert {tuple(sorted(s)) for s in found.values()} == more and all(n == len(s) for (_, n), s in found.items())
     assert crowd.count() < sum(map(len, found.values()))
+
+
+def test_only_meeting_halves_are_looked_up(spark, monkeypatch):
+    """Variants of which one node alone knows are counted slim: texts that meet nobody leave no rows behind them."""
+    stored, real = {}, S.freeze
+    monkeypatch.setattr(S, "freeze", lambda df, name: stored.setdefault(name, []).append(0) or stored[name].append((out := real(df, name)).count()) or out)
+    rng = random.Random(21)
+    lanes = [[rng.getrandbits(64) - (1 << 63) for _ in S._LANE] for _ in range(60)]
+    nodes = spark.createDataFrame([(k, *row) for k, row in enumerate(lanes)], ", ".join(f"{c} long" for c in ["node", *S._LANE]))
+    S._colliding(nodes, 2)
+    assert sum(stored["near-copy-halves"]) == 600 and sum(stored["near-copy-variants"]) == 0
+
+
+def test_members_of_a_group_are_tried_against_one_pivot_first(spark, monkeypatch):
+    rng, tried, links = random.Random(22), [], S._Verifier.links
+    monkeypatch.setattr(S._Verifier, "links", lambda self, pairs: tried.append(pairs.count()) or links(self, pairs))
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    for _ in range(100):
+        at = rng.randrange(400)
+        texts.append(" ".join([*base[:at], f"e{rng.randrange(1 << 30)}", *base[at + 1 :]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in S.near_copies(docs).collect()} == {0}
+    assert sum(tried) <= 2 * len(texts)
+
+
+def test_rows_are_dealt_once_for_join_and_grouping(spark):
+    docs = spark.createDataFrame([(1, "a text"), (1, "a text"), (2, "another one")], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.keep_one_copy(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One of the rows, one of what is kept.
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -118,3 +118,10 @@ def test_clashing_columns_are_carried(spark):
     got = S.remove_repeats(docs, drop_emptied=True)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.cut, r.row) for r in got.collect()) == [(1, 5, "a"), (2, 6, "b"), (2, 6, "b")]
+
+
+def test_chunks_are_done_before_texts_are_dealt(spark):
+    """The shuffles of the chunks are gone before that of the texts: what is left to run only joins the spans."""
+    rows, _ = corpus(random.Random(10))
+    plan = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Window" not in plan
