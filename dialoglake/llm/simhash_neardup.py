@@ -307,11 +307,39 @@ def _colliding(nodes: DataFrame, radius: int, extra: int = 0) -> tuple[DataFrame
     return reduce(DataFrame.union, pairs).distinct(), reduce(DataFrame.union, crowds), freeze(reduce(DataFrame.union, members), "near-copy-members")
 
 
-def _grouped(rows: DataFrame, group: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, group: DataFrame | None) -> DataFrame:
     """rows with a node -> with its component; a node without links is one of its own."""
+    if group is None:
+        return rows.withColumn("component", F.col("node"))
     return rows.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _seats(crowd: DataFrame, members: DataFrame) -> DataFrame:
+    """(half, node, weight: how much the node meets in all its halves, keys: the half's variants) of all members. A half stands
+    for all its nodes: its best, of the greatest weight, is the only one of them that can be a variant's pivot, and it alone
+    has keys, so a half's variants are held and joined once, however many they and its nodes are."""
+    held = crowd.groupBy("half").agg(F.collect_list("key").alias("keys"), F.sum("n").alias("reach"))
+    held = freeze(held, "near-copy-held")
+    weights = members.join(held.select("half", "reach"), "half").groupBy("node").agg(F.sum("reach").alias("weight"))
+    weighed = freeze(members.join(weights, "node").select("half", "node", "weight"), "near-copy-weighed")
+    best = weighed.groupBy("half").agg(F.max(F.struct("weight", "node")).alias("best")).select("half", F.col("best.node").alias("best"))
+    keys = F.when(F.col("node") == F.col("best"), F.col("keys")).alias("keys")
+    seats = freeze(weighed.join(held.select("half", "keys").join(best, "half"), "half").select("half", "node", "weight", keys), "near-copy-seats")
+    drop_frozen(held, weighed)
+    return seats
+
+
+def _at_variants(seats: DataFrame) -> DataFrame:
+    """Seats with components -> rows (key, half, best: the half's best node, lo and hi: least and greatest component of its nodes,
+    rest_lo and rest_hi: of all but the best, pivot: weight, node and component of the variant's pivot). The pivot is among
+    the halves that meet on the variant, which are those of a ball (33 for one flipped bit of 32), so a window finds it."""
+    is_best, other = F.col("keys").isNotNull(), F.when(F.col("keys").isNull(), F.col("component"))
+    of_best = (F.max(F.when(is_best, F.col(c))).alias(c) for c in ("weight", "node", "component"))
+    halves = seats.groupBy("half").agg(*of_best, F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(other).alias("rest_lo"), F.max(other).alias("rest_hi"), F.first("keys", ignorenulls=True).alias("keys"))
+    rows = halves.withColumn("key", F.explode("keys")).withColumn("pivot", F.max(F.struct("weight", "node", "component")).over(Window.partitionBy("key")))
+    return rows.select("key", "half", F.col("node").alias("best"), "lo", "hi", "rest_lo", "rest_hi", "pivot")
+
+
 #: Sizes of sets in one class differ by this factor at most.
 CLASS_STEP = 1.05
 
@@ -358,46 +386,41 @@ def _near_copy_classes(docs: DataFrame, id_col: str, text_col: str, shingle_word
     nodes = freeze(marks.groupBy(*_MARKS).agg(rep).withColumn("node", F.monotonically_increasing_id()), "near-copy-nodes")
     verifier = _Verifier(docs, nodes, id_col, text_col, shingle_words, similarity)
     pairs, crowd, members = _colliding(nodes, radius, extra_bits)
-    # In every crowded variant, the member that meets most others against the rest. A half stands for all its nodes: its best
-    # node is the only one of them that can be a variant's pivot.
-    reach = crowd.groupBy("half").agg(F.sum("n").alias("reach"))
-    weights = members.join(reach, "half").groupBy("node").agg(F.sum("reach").alias("weight"))
-    best = members.join(weights, "node").groupBy("half").agg(F.max(F.struct("weight", "node")).alias("best"))
-    # A variant has few halves, those of a ball (33 for one flipped bit of 32), so a window over it is small.
-    variant = Window.partitionBy("key")
-    met = crowd.select("key", "half").join(best, "half").select("key", "half", "best", F.max("best").over(variant).alias("pivot"))
-    met = freeze(met.select("key", "half", F.col("best.node").alias("best"), F.col("pivot.node").alias("pivot"), F.col("pivot.weight").alias("weight")), "near-copy-met-pivots")
-    against = members.join(met.select("half", "pivot", "weight").distinct(), "half").where("node <> pivot").select("node", "pivot", "weight").distinct()
-    against = freeze(against, "near-copy-against")
-    # First each node with the greatest of its pivots: that joins most of a group, and pairs within a component need no test.
-    greatest = against.groupBy("node").agg(F.max(F.struct("weight", "pivot")).alias("to")).select("node", F.col("to.pivot").alias("pivot"))
+    # In every crowded variant, the member that meets most others against the rest: its pivot.
+    seats = _seats(crowd, members)
+    variants = _at_variants(_grouped(seats, None))
+    # First each node with the greatest of its halves' pivots: that joins most of a group, and pairs within a component need
+    # no test.
+    top = variants.groupBy("half").agg(F.max("pivot").alias("pivot"))
+    tops = seats.join(top, "half").where("node <> pivot.node").groupBy("node").agg(F.max("pivot").alias("pivot"))
+    greatest = freeze(tops.select("node", F.col("pivot.node").alias("pivot")), "near-copy-greatest")
     links = verifier.links(greatest.select(*_ordered("node", "pivot")).union(pairs).distinct())
     group = freeze(connected_components(links), "near-copy-groups")
-    its = group.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
-    apart = _grouped(against, group).join(its, "pivot", "left").where(F.col("component") != F.coalesce("its", "pivot"))
-    apart = freeze(apart.select("node", "pivot").join(greatest, ["node", "pivot"], "left_anti").select(*_ordered("node", "pivot")).distinct(), "near-copy-untried")
+    # Then the pivots of other components than a node's own. A half whose nodes are all of its pivots' component makes no row.
+    grouped = freeze(_grouped(seats, group), "near-copy-grouped")
+    others = _at_variants(grouped).where("lo <> pivot.component or hi <> pivot.component").select("half", "pivot").distinct()
+    apart = grouped.join(others, "half").where("component <> pivot.component").select("node", F.col("pivot.node").alias("pivot"))
+    apart = freeze(apart.join(greatest, ["node", "pivot"], "left_anti").select(*_ordered("node", "pivot")).distinct(), "near-copy-untried")
     if not apart.isEmpty():
         links = links.union(verifier.links(apart))
         group = freeze(connected_components(links), "near-copy-groups")
+        drop_frozen(grouped)
+        grouped = freeze(_grouped(seats, group), "near-copy-grouped")
     # Variants that hold several groups even without their pivot: the members of these are searched exactly.
-    grouped = freeze(_grouped(members, group), "near-copy-grouped")
-    but_best = F.when(F.col("node") != F.col("best"), F.col("component"))
-    spread = grouped.join(met.select("half", "best").distinct(), "half").groupBy("half").agg(
-        F.struct(F.min("component").alias("x"), F.max("component").alias("y")).alias("all"), F.struct(F.min(but_best).alias("x"), F.max(but_best).alias("y")).alias("others")
-    )
-    its = F.when(F.col("best") == F.col("pivot"), F.col("others")).otherwise(F.col("all"))
-    placed = met.join(spread, "half").select("key", "half", "best", "pivot", its.alias("its"))
-    unsettled = placed.select("half", "best", "pivot", F.min("its.x").over(variant).alias("x"), F.max("its.y").over(variant).alias("y")).where("x <> y")
-    sought = unsettled.select("half", F.when(F.col("best") == F.col("pivot"), F.col("pivot")).alias("settled")).distinct()
-    rest = grouped.join(sought, "half").where(~F.col("node").eqNullSafe(F.col("settled"))).select("node", "component").distinct()
+    is_pivot, variant = F.col("best") == F.col("pivot.node"), Window.partitionBy("key")
+    placed = _at_variants(grouped).withColumn("x", F.when(is_pivot, F.col("rest_lo")).otherwise(F.col("lo"))).withColumn("y", F.when(is_pivot, F.col("rest_hi")).otherwise(F.col("hi")))
+    unsettled = placed.select("half", "best", is_pivot.alias("is_pivot"), F.min("x").over(variant).alias("x"), F.max("y").over(variant).alias("y")).where("x <> y")
+    # A best node that is the pivot of all these variants needs no search.
+    sought = unsettled.groupBy("half").agg(F.max(F.when(~F.col("is_pivot"), 1)).alias("all"), F.max("best").alias("best"))
+    rest = grouped.join(sought, "half").where("all = 1 or node <> best").select("node", "component").distinct()
     rest = freeze(rest, "near-copy-rest")
-    drop_frozen(met, grouped)
+    drop_frozen(seats, greatest, grouped)
     if not rest.isEmpty():
         more = verifier.links(_apart_still(rest, verifier.sets_of(rest.select("node")), similarity))
         if not more.isEmpty():
             group = freeze(connected_components(links.union(more)), "near-copy-groups")
     classes = freeze(_grouped(nodes.select("node", "set0", "set1", "rep"), group).select("set0", "set1", "component", "rep"), "near-copy-classes")
-    drop_frozen(nodes, members, crowd, pairs, against, apart, links, group, rest, *verifier.stored)
+    drop_frozen(nodes, members, crowd, pairs, apart, links, group, rest, *verifier.stored)
     return marks, classes
 
 

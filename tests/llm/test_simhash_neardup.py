@@ -308,3 +308,50 @@ def test_rows_are_dealt_once_for_join_and_grouping(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # One of the rows, one of what is kept.
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_joins_on_halves_make_rows_by_members_not_by_variants(spark, monkeypatch):
+    """A half meets others on up to 33 variants; joins on it make a row for each of its nodes, not for each variant too."""
+    stored, real, kind, counted = {}, S.freeze, type(spark.range(1)), []
+    join = kind.join
+
+    def watch(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, str) and on == "half" and how is None:
+            counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "freeze", lambda df, name: stored.setdefault(name, []).append(out := real(df, name)) or out)
+    monkeypatch.setattr(S, "drop_frozen", lambda *tables: None)
+    monkeypatch.setattr(kind, "join", watch)
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        at = rng.randrange(100)
+        texts.append(" ".join([*base[:at], f"e{rng.randrange(1 << 30)}", *base[at + 1 :]]))
+    _, classes = S._near_copy_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 5, 0.8, 2, 0)
+    monkeypatch.undo()
+    members = stored["near-copy-members"][0].count()
+    print(f"{members} members of halves, {sum(counted)} rows of joins on halves: {counted}")
+    assert classes.select("component").distinct().count() == 1
+    assert members > 500 and sum(counted) <= 5 * members
+
+
+def test_pivots_of_variants(spark):
+    """Pivot, components and those without the half's best node, against a plain version."""
+    rng = random.Random(14)
+    node_of = {h: rng.sample(range(40), rng.randint(1, 6)) for h in range(25)}
+    keys_of = {h: rng.sample(range(100, 112), rng.randint(1, 5)) for h in node_of}
+    size = {k: sum(len(node_of[h]) for h in node_of if k in keys_of[h]) for k in range(100, 112)}
+    crowd = spark.createDataFrame([(k, h, size[k]) for h in keys_of for k in keys_of[h]], "key long, half long, n long")
+    members = spark.createDataFrame([(h, x) for h in node_of for x in node_of[h]], "half long, node long")
+    seats = S._seats(crowd, members)
+    weight = {x: sum(size[k] for h in node_of if x in node_of[h] for k in keys_of[h]) for x in range(40)}
+    assert {(r.half, r.node, r.weight) for r in seats.collect()} == {(h, x, weight[x]) for h in node_of for x in node_of[h]}
+    best = {h: max((weight[x], x) for x in node_of[h]) for h in node_of}
+    pivot = {k: max(best[h] for h in node_of if k in keys_of[h]) for k in {k for ks in keys_of.values() for k in ks}}
+    got = S._at_variants(seats.withColumn("component", F.col("node") % 3)).collect()
+    ends = lambda c: (min(c), max(c)) if c else (None, None)
+    want = {(k, h, best[h][1], *ends([x % 3 for x in node_of[h]]), *ends([x % 3 for x in node_of[h] if x != best[h][1]]), (*pivot[k], pivot[k][1] % 3)) for h in keys_of for k in keys_of[h]}
+    assert {(r.key, r.half, r.best, r.lo, r.hi, r.rest_lo, r.rest_hi, tuple(r.pivot)) for r in got} == want and len(got) == len(want)
